@@ -44,7 +44,7 @@ def sparse(spark, sf) -> DataFrame:
 
 
 def fix_blocks(spark, sf, bsize=(4, 8, 8)) -> DataFrame:
-    return B.pack(sparse(spark, sf), DIMS, bsize)
+    return B.pack(sparse(spark, sf), DIMS, bsize, ids=datasets(spark, sf))
 
 
 def fix(spark, sf) -> DataFrame:
@@ -63,7 +63,7 @@ def mov(spark, sf) -> DataFrame:
 
 
 def mov_blocks(spark, sf, bsize=(4, 8, 8)) -> DataFrame:
-    return B.pack(_wrapped(sparse(spark, sf)), DIMS, bsize, fill=1)
+    return B.pack(_wrapped(sparse(spark, sf)), DIMS, bsize, fill=1, ids=datasets(spark, sf))
 
 
 def tczyx(spark, sf) -> DataFrame:
@@ -81,7 +81,12 @@ def tczyx(spark, sf) -> DataFrame:
 
 
 def grid(spark, sf) -> DataFrame:
-    return fix(spark, sf).drop("v")
+    """Coordinates of every voxel; datasets spread over the cluster before they expand."""
+    out = B.block_skeleton(datasets(spark, sf), DIMS, (1, 32, 32)).repartition("ds", "blk_z")
+    z = F.lit(0).cast("bigint")
+    for a in ("y", "x"):
+        out = out.withColumn(a, F.explode(F.sequence(z, F.lit(31).cast("bigint"))))
+    return out.select("ds", F.col("blk_z").alias("z"), "y", "x")
 
 
 def mask(spark, sf) -> DataFrame:
@@ -129,7 +134,7 @@ def disp(spark, sf) -> DataFrame:
 
 
 def disp_blocks(spark, sf, bsize=(4, 8, 8)) -> DataFrame:
-    return B.pack(disp(spark, sf), DIMS, bsize, cols=("dz", "dy", "dx"))
+    return B.pack(disp(spark, sf), DIMS, bsize, cols=("dz", "dy", "dx"), ids=datasets(spark, sf))
 
 
 def prob(spark, sf) -> DataFrame:
