@@ -56,6 +56,15 @@ def strict_peaks(a: np.ndarray) -> np.ndarray:
     return peak
 
 
+def inside(row, shape, margin) -> np.ndarray:
+    """Which voxels of a block padded by `margin` lie in the volume."""
+    axes = [
+        (np.arange(n) + o - m >= 0) & (np.arange(n) + o - m < int(d))
+        for n, o, m, d in zip(shape, B.core_origin(row), margin, row.dims)
+    ]
+    return axes[0][:, None, None] & axes[1][None, :, None] & axes[2][None, None, :]
+
+
 def smooth(blocks: DataFrame, sigmas, keys=("ds",), cols=("v",)) -> DataFrame:
     """Gaussian smoothing of a volume, or of all components of a field."""
     halo = [radius(s) for s in sigmas]
@@ -124,13 +133,7 @@ def morphology(blocks: DataFrame, steps, keys=("ds",), col="m") -> DataFrame:
 
     def kernel(arrays, row):
         a = arrays[0].astype(float)
-        org, dims = B.core_origin(row), [int(d) for d in row.dims]
-        # Which voxels of the padded array exist.
-        real = [
-            (np.arange(s) + o - len(steps) >= 0) & (np.arange(s) + o - len(steps) < d)
-            for s, o, d in zip(a.shape, org, dims)
-        ]
-        real = real[0][:, None, None] & real[1][None, :, None] & real[2][None, None, :]
+        real = inside(row, a.shape, halo)
         for step in steps:
             worst, best = (np.inf, np.minimum) if step == "erode" else (-np.inf, np.maximum)
             a = np.where(real, a, worst)
