@@ -270,5 +270,8 @@ def sql(body: str, **ctes: str) -> str:
 
     for text in [*ctes.values(), body]:
         visit(text)
-    parts = [f"{n} AS ({CTES[n]})" for n in needed] + [f"{n} AS ({t})" for n, t in ctes.items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in needed]
+    for n, t in ctes.items():
+        kept = "" if re.search(rf"\bJOIN {n}\b|\bFROM {n}\b", t) else "MATERIALIZED "  # not for recursive ones
+        parts.append(f"{n} AS {kept}({t})")
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
