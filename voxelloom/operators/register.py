@@ -210,7 +210,7 @@ def _evaluate(fix, mov, params, dims, bsize, keys):
     moved = warp(target, mov, dims, bsize, keys, ("v",), affine="tried").withColumnRenamed("v", "w")
     on = [*keys, *B.BLK]
     weight = ["mask"] if "mask" in fix.columns else []
-    both = moved.join(fix.select(*on, "v", *weight), on)
+    both = moved.join(fix.select(*on, "v", *weight), on).join(params.select(*keys, "tried"), list(keys))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fix.select(*keys).schema)
     mid = [(d - 1) / 2.0 for d in dims]
 
@@ -221,8 +221,12 @@ def _evaluate(fix, mov, params, dims, bsize, keys):
                 shape = B.core_shape(row)
                 w, v = np.asarray(row.w).reshape(shape), np.asarray(row.v).reshape(shape)
                 use = np.asarray(row.mask, dtype=float).ravel() if weight else np.ones(w.size)
+                at, a = [p.ravel() for p in block_positions(row)], np.asarray(row.tried).reshape(3, 4)
+                for i, d in enumerate(dims):  # voxels that map out of the moving volume say nothing
+                    q = a[i, 0] * at[0] + a[i, 1] * at[1] + a[i, 2] * at[2] + a[i, 3]
+                    use = use * ((q >= 0) & (q <= d - 1))
                 g = [np.gradient(w, axis=i).ravel() if shape[i] > 1 else np.zeros(w.size) for i in range(3)]
-                x = [p.ravel() - c for p, c in zip(block_positions(row), mid)] + [np.ones(w.size)]
+                x = [p - c for p, c in zip(at, mid)] + [np.ones(w.size)]
                 j = np.stack([gi * xj for gi in g for xj in x])
                 r = (v - w).ravel()
                 terms = np.concatenate([[(use * r * r).sum(), use.sum()], (j * use) @ r, ((j * use) @ j.T).ravel()])
@@ -241,7 +245,7 @@ def refine_affine(fix: DataFrame, mov: DataFrame, init: DataFrame, dims, bsize,
     Each iteration is one warp and one aggregate over all keys.  A step that does not
     lower the mean squared difference is halved and tried again, so the error never
     grows.  State is one small row per key, checkpointed per iteration.  Voxels outside
-    the optional `mask` column of `fix` do not count.
+    the optional `mask` column of `fix`, or outside the moving volume, do not count.
     """
     keys = list(keys)
     fix, mov = cut(fix), cut(mov)

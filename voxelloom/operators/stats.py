@@ -146,3 +146,21 @@ def corr_spaced(fix_vox: DataFrame, mov_vox: DataFrame, fix_spacing, mov_spacing
         F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"),
     )
     return sums.withColumn("r", corr_of_sums())
+
+
+def winsorize_blocks(blocks: DataFrame, limits: DataFrame, keys=("ds",), col="v") -> DataFrame:
+    """Clip block values to columns q0, q1 of `limits` (one small row per key)."""
+    df = blocks.join(limits, list(keys))
+    return df.withColumn(col, F.transform(col, lambda v: F.least(F.greatest(v, F.col("q0")), F.col("q1")))).drop("q0", "q1")
+
+
+def standardize(blocks: DataFrame, keys=("ds",), col="v") -> DataFrame:
+    """Block values with mean 0 and deviation 1 per key (flat volumes become 0)."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    fold = F.aggregate(col, zero, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
+    part = blocks.select(*keys, F.size(col).alias("n"), fold.alias("f"))
+    m = part.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("f.s").alias("_s"), F.sum("f.q").alias("_q"))
+    mean = F.col("_s") / F.col("_n")
+    m = m.select(*keys, mean.alias("_mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("_sd"))
+    scaled = F.transform(col, lambda v: F.when(F.col("_sd") > 0, (v - F.col("_mean")) / F.col("_sd")).otherwise(0.0))
+    return blocks.join(m, list(keys)).withColumn(col, scaled).drop("_mean", "_sd")

@@ -86,11 +86,15 @@ ORACLES["ransac_translation"] = sql(
 
 
 def ransac_affine(spark, sf):
-    out = R.ransac(cut(_matches(spark, sf)), 2.0)
+    """Consensus of the spot matches; the moving volume is an exact shift by (0, 1, 2)."""
+    out = R.ransac(cut(_matches(spark, sf)), 0.9)
     return out.select("ds", "inliers", *A.columns(F.col("m"), 4))
 
 
 QUERIES["ransac_affine"] = ransac_affine
+ORACLES["ransac_affine"] = sql(
+    "SELECT ds, count(*) AS inliers, 1e0 AS m00, 0e0 AS m01, 0e0 AS m02, 0e0 AS m03, 0e0 AS m10, 1e0 AS m11, 0e0 AS m12, 1e0 AS m13,"
+    " 0e0 AS m20, 0e0 AS m21, 1e0 AS m22, 2e0 AS m23 FROM mt WHERE mz = fz AND my = fy + 1 AND mx = fx + 2 GROUP BY ds", **_MATCH)
 
 
 def _pairs_of_points(spark, sf):

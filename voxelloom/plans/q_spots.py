@@ -34,8 +34,55 @@ ORACLES["spots_peak"] = sql("SELECT * FROM pk", **_CH)
 QUERIES["spots_channels"] = lambda s, d: N.local_max(channel_blocks(s, d), threshold=45.0, keys=("ds", "c")).groupBy("ds", "c").agg(
     F.count("*").alias("n_spots"), F.sum("v").cast("bigint").alias("total"))
 ORACLES["spots_channels"] = sql("SELECT ds, c, count(*) AS n_spots, CAST(sum(v) AS BIGINT) AS total FROM pk GROUP BY 1, 2", **_CH)
-QUERIES["spots_log"] = lambda s, d: P.detect_log(channel_blocks(s, d), [0.6, 0.9, 1.2], 1.0, 0.05, keys=("ds", "c"))
-QUERIES["blob_log"] = lambda s, d: P.detect_log(X.fix_blocks(s, d, BS), [0.6, 0.9, 1.2], 1.0, 0.05)
+_SIGMAS = [0.6, 0.9, 1.2]
+
+
+def _log_sql(volume):
+    """Scale-space blobs of a volume CTE (k, z, y, x, v) in SQL; k names the image."""
+    dims = dict(zip("zyx", X.DIMS))
+    rng = {a: f"range(-1, {n + 1})" for a, n in dims.items()}
+    ctes = {"vol": volume}
+    for i, s in enumerate(_SIGMAS):
+        ks = N.gauss_weights(s)
+        r = len(ks) // 2
+        ctes[f"w{i}"] = "SELECT * FROM (VALUES " + ", ".join(f"({j - r}, {float(v)!r}::DOUBLE)" for j, v in enumerate(ks)) + ") AS t(o, w)"
+        prev = "vol"
+        for a in "zyx":  # one voxel beyond the border along the axes already smoothed
+            name = f"s{i}{a}"
+            tgt = (f"SELECT CAST(p AS BIGINT) AS {a}, w, least(greatest(p + o, 0), {dims[a] - 1}) AS q FROM {rng[a]} e(p), w{i}")
+            ctes[name] = (f"SELECT d.k, {', '.join('t.' + b if b == a else 'd.' + b for b in 'zyx')}, sum(t.w * d.v) AS v"
+                          f" FROM ({tgt}) t JOIN {prev} d ON d.{a} = t.q GROUP BY ALL")
+            prev = name
+        ctes[f"l{i}"] = (
+            f"SELECT c.k, c.z, c.y, c.x, {i} AS s, {s * s!r}::DOUBLE * (6 * any_value(c.v) - sum(n.v)) AS r FROM {prev} c CROSS JOIN"
+            " (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) f(oz, oy, ox)"
+            f" JOIN {prev} n ON n.k = c.k AND n.z = c.z + oz AND n.y = c.y + oy AND n.x = c.x + ox WHERE "
+            + " AND ".join(f"c.{a} BETWEEN 0 AND {n - 1}" for a, n in dims.items()) + " GROUP BY 1, 2, 3, 4")
+    ctes["resp"] = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(_SIGMAS)))
+    ctes["cand"] = "SELECT * FROM resp WHERE r >= 1"
+    ctes["beat"] = (
+        "SELECT DISTINCT c.k, c.z, c.y, c.x, c.s FROM (SELECT * FROM cand, range(-1, 2) i(oz), range(-1, 2) j(oy), range(-1, 2) l(ox),"
+        " range(-1, 2) m(os) WHERE oz <> 0 OR oy <> 0 OR ox <> 0 OR os <> 0) c JOIN resp n ON n.k = c.k AND n.z = c.z + oz AND"
+        " n.y = c.y + oy AND n.x = c.x + ox AND n.s = c.s + os WHERE n.r >= c.r")
+    ctes["blob"] = "SELECT * FROM cand ANTI JOIN beat USING (k, z, y, x, s)"
+    ctes["top"] = "SELECT k, max(r) AS top FROM blob GROUP BY k"
+    ctes["found"] = ("SELECT blob.*, vol.v, CASE s " + " ".join(f"WHEN {i} THEN {v!r}::DOUBLE" for i, v in enumerate(_SIGMAS))
+                     + " END AS sigma FROM blob JOIN top USING (k) JOIN vol USING (k, z, y, x) WHERE r >= 0.05 * top")
+    return ctes
+
+
+def _log(blocks, keys):
+    b = P.detect_log(blocks, _SIGMAS, 1.0, 0.05, keys=keys)
+    return b.select(*keys, "z", "y", "x", "sigma", F.round("response", 6).alias("response"), F.col("v").cast("bigint").alias("v"))
+
+
+QUERIES["spots_log"] = lambda s, d: _log(channel_blocks(s, d), ("ds", "c"))
+ORACLES["spots_log"] = sql(
+    "SELECT k // 3 AS ds, k % 3 AS c, z, y, x, sigma, round(r, 6) AS response, v FROM found", **_CH,
+    **_log_sql("SELECT ds * 3 + c AS k, z, y, x, v FROM f"))
+QUERIES["blob_log"] = lambda s, d: _log(X.fix_blocks(s, d, BS), ("ds",))
+ORACLES["blob_log"] = sql(
+    "SELECT k AS ds, z, y, x, sigma, round(r, 6) AS response, v FROM found", **_log_sql("SELECT ds AS k, z, y, x, v FROM fx_fix"))
 QUERIES["top_spots"] = lambda s, d: P.strongest(N.local_max(X.fix_blocks(s, d, BS)), 50).select(
     "ds", "z", "y", "x", F.col("v").cast("bigint").alias("v"), "rank")
 ORACLES["top_spots"] = sql(

@@ -14,6 +14,7 @@ from voxelloom.operators import filters as N
 from voxelloom.operators import local as LO
 from voxelloom.operators import register as R
 from voxelloom.operators import spots as P
+from voxelloom.operators import stats as T
 from voxelloom.operators import warp as W
 from voxelloom.session import cut
 
@@ -31,7 +32,8 @@ DEFAULTS = {
 
 
 def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
-    """Spots, context matches, consensus affine; datasets that miss a guard keep the identity."""
+    """Spots, context matches, consensus affine on top of the current one; datasets that
+    miss a guard keep what they have."""
     moved = through(fix, mov, current, dims, bsize)
     sides = {}
     for name, blocks in (("fix", fix), ("mov", moved)):
@@ -47,16 +49,15 @@ def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
         lost = current.join(found, "ds", "left_anti").count()
         if lost:
             raise ValueError(f"{lost} datasets have too few spots or matches")
-    return current.select("ds").join(found.select("ds", "m"), "ds", "left").select("ds", F.coalesce("m", A.identity()).alias("m"))
+    both = current.select("ds", F.col("m").alias("a")).join(found.select("ds", F.col("m").alias("b")), "ds", "left")
+    return both.select("ds", A.compose(F.col("a"), F.coalesce("b", A.identity())).alias("m"))
 
 
 def affine_step(fix, mov, current, dims, bsize, p) -> DataFrame:
-    """Intensity refinement on smoothed volumes, starting from the identity."""
+    """Intensity refinement of the current affine on smoothed, standardised volumes."""
     s = [p["smooth"]] * 3
-    moved = through(fix, mov, current, dims, bsize)
-    start = current.select("ds", A.identity().alias("m"))
-    return R.refine_affine(N.smooth(fix, s), N.smooth(moved, s), start, dims, bsize, p["iterations"], p["learning_rate"],
-                           p["min_step"]).select("ds", "m")
+    sides = [T.standardize(N.smooth(side, s)) for side in (fix, mov)]
+    return R.refine_affine(*sides, current, dims, bsize, p["iterations"], p["learning_rate"], p["min_step"]).select("ds", "m")
 
 
 STEPS: dict[str, Callable] = {"ransac": ransac_step, "affine": affine_step}
@@ -69,13 +70,11 @@ def through(fix, mov, affine, dims, bsize) -> DataFrame:
 
 
 def global_align(fix, mov, dims, bsize, steps: str | None = None, config: dict | None = None, init: DataFrame | None = None):
-    """Fold the steps; each starts from the volume its predecessor produced."""
+    """Fold the steps; each starts from the affine its predecessor produced."""
     cfg = deep_merge(DEFAULTS, config)
     current = init if init is not None else fix.select("ds").distinct().select("ds", A.identity().alias("m"))
     for step in phase_steps(cfg, "global_align", steps):
-        found = STEPS[step](fix, mov, current, dims, bsize, step_params(cfg, "global_align", step))
-        both = current.select("ds", F.col("m").alias("a")).join(found.select("ds", F.col("m").alias("b")), "ds")
-        current = cut(both.select("ds", A.compose(F.col("a"), F.col("b")).alias("m")))
+        current = cut(STEPS[step](fix, mov, current, dims, bsize, step_params(cfg, "global_align", step)))
     return current
 
 
