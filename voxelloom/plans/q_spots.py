@@ -53,11 +53,11 @@ def _log_sql(volume):
             ctes[name] = (f"SELECT d.k, {', '.join('t.' + b if b == a else 'd.' + b for b in 'zyx')}, sum(t.w * d.v) AS v"
                           f" FROM ({tgt}) t JOIN {prev} d ON d.{a} = t.q GROUP BY ALL")
             prev = name
+        around = " + ".join(f"lag(v) OVER w{a} + lead(v) OVER w{a}" for a in "zyx")
+        lines = ", ".join(f"w{a} AS (PARTITION BY k, {', '.join(b for b in 'zyx' if b != a)} ORDER BY {a})" for a in "zyx")
         ctes[f"l{i}"] = (
-            f"SELECT c.k, c.z, c.y, c.x, {i} AS s, {s * s!r}::DOUBLE * (6 * any_value(c.v) - sum(n.v)) AS r FROM {prev} c CROSS JOIN"
-            " (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) f(oz, oy, ox)"
-            f" JOIN {prev} n ON n.k = c.k AND n.z = c.z + oz AND n.y = c.y + oy AND n.x = c.x + ox WHERE "
-            + " AND ".join(f"c.{a} BETWEEN 0 AND {n - 1}" for a, n in dims.items()) + " GROUP BY 1, 2, 3, 4")
+            f"SELECT * FROM (SELECT k, z, y, x, {i} AS s, {s * s!r}::DOUBLE * (6 * v - ({around})) AS r FROM {prev} WINDOW {lines}) WHERE "
+            + " AND ".join(f"{a} BETWEEN 0 AND {n - 1}" for a, n in dims.items()))
     ctes["resp"] = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(_SIGMAS)))
     ctes["cand"] = "SELECT * FROM resp WHERE r >= 1"
     ctes["beat"] = (
@@ -78,7 +78,7 @@ def _log(blocks, keys):
 
 QUERIES["spots_log"] = lambda s, d: _log(channel_blocks(s, d), ("ds", "c"))
 ORACLES["spots_log"] = sql(
-    "SELECT k // 3 AS ds, k % 3 AS c, z, y, x, sigma, round(r, 6) AS response, v FROM found", **_CH,
+    "SELECT k // 3 AS ds, k % 3 AS c, z, y, x, sigma, round(r, 6) AS response, v FROM found", g=_CH["g"], f=_CH["f"],
     **_log_sql("SELECT ds * 3 + c AS k, z, y, x, v FROM f"))
 QUERIES["blob_log"] = lambda s, d: _log(X.fix_blocks(s, d, BS), ("ds",))
 ORACLES["blob_log"] = sql(
