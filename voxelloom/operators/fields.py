@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelloom.operators import blocks as B
 from voxelloom.operators import filters as N
 from voxelloom.operators.warp import block_positions, trilinear, warp
+from voxelloom.session import cut
 
 COMPONENTS = ("dz", "dy", "dx")
 
@@ -45,7 +46,10 @@ def invert(field: DataFrame, iterations=10, step: float = 1.0, smooth=0.0, use_r
     sigmas = list(smooth) if isinstance(smooth, (list, tuple)) else [smooth] * len(levels)
     if len(sigmas) != len(levels):
         raise ValueError("one smoothing sigma per level")
-    far = [r + 1 for r in (reach(field) if max_reach is None else max_reach)]
+    if max_reach is None:
+        field = cut(field)  # read twice: for its reach and for the inversion
+        max_reach = reach(field)
+    far = [r + 1 for r in max_reach]
     soft = max(N.radius(s) for s in sigmas)
     rounds = sum(levels) + sqrt_iterations + 2 if use_root else 1
     halo = [f * rounds + soft for f in far]

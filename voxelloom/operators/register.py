@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 from voxelloom.functions import affine as A
 from voxelloom.operators import blocks as B
 from voxelloom.operators import filters as N
-from voxelloom.operators import stats as T
 from voxelloom.operators.warp import block_positions, warp
 from voxelloom.session import cut
 
 FIX, MOV = ("fz", "fy", "fx"), ("mz", "my", "mx")
 
 
+def unit(a: np.ndarray) -> np.ndarray:
+    a = a - a.mean()
+    length = np.sqrt((a * a).sum())
+    return a / length if length > 0 else np.zeros_like(a)
+
+
 def contexts(blocks: DataFrame, r: int, threshold: float, keys=("ds",)) -> DataFrame:
-    """Strict maxima of at least `threshold` with the (2r+1)^3 cube around each."""
+    """Strict maxima of at least `threshold` with the (2r+1)^3 cube around each.
+
+    Cubes (`patch`) are shifted and scaled to mean 0 and length 1; flat ones are all 0.
+    """
     halo = [max(r, 1)] * 3
 
     def kernel(arrays, row):
@@ -30,22 +38,22 @@ def contexts(blocks: DataFrame, r: int, threshold: float, keys=("ds",)) -> DataF
         pos = np.argwhere(N.strict_peaks(N.trim(seen, [h - 1 for h in halo])) & (core >= threshold))
         org = B.core_origin(row)
         start = halo[0] - r
-        cubes = [a[tuple(slice(p + start, p + start + 2 * r + 1) for p in at)].ravel() for at in pos]
+        cubes = [unit(a[tuple(slice(p + start, p + start + 2 * r + 1) for p in at)].ravel()) for at in pos]
         return {**{n: pos[:, i] + org[i] for i, n in enumerate("zyx")}, "v": core[tuple(pos.T)], "patch": cubes}
 
     return B.map_block_rows(B.exchange(blocks, halo, ("v",), keys), kernel,
                             "z bigint, y bigint, x bigint, v double, patch array<double>", halo, keys=keys)
 
 
-def near_pairs(fix: DataFrame, mov: DataFrame, max_distance: float, keys=("ds",), extra=()) -> DataFrame:
-    """Fixed and moving spots within a distance: fz .. mx, dist2 and `extra` per side.
+def near_pairs(fix: DataFrame, mov: DataFrame, max_distance: float, keys=("ds",)) -> DataFrame:
+    """Fixed and moving spots within a distance: fz .. mx, dist2.
 
     Grid cells as wide as the distance make it an equi-join.  Spots are strict maxima
     on a lattice, so a cell holds a bounded number of them.
     """
     cell = float(max_distance)
-    f = fix.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", FIX)], *[F.col(e).alias(f"f_{e}") for e in extra])
-    m = mov.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", MOV)], *[F.col(e).alias(f"m_{e}") for e in extra])
+    f = fix.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", FIX)])
+    m = mov.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", MOV)])
     for i in range(3):
         c = F.floor(F.col(FIX[i]) / cell)
         f = f.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
@@ -66,10 +74,24 @@ def distance_limit(dims, max_distance: float | None, diagonal: float | None) ->
 
 
 def match(fix: DataFrame, mov: DataFrame, limit: float, min_r: float, keys=("ds",)) -> DataFrame:
-    """Best moving spot for each fixed spot by correlation of their contexts."""
-    pairs = near_pairs(fix, mov, limit, keys, ("patch",))
-    sums = pairs.withColumn("s", T.pair_sums("f_patch", "m_patch")).select(*keys, *FIX, *MOV, "dist2", "s.*")
-    scored = sums.withColumn("r", F.round(T.corr_of_sums(), 6)).where(F.col("r") >= float(min_r))
+    """Best moving spot for each fixed spot by correlation of their contexts.
+
+    Pairs are found on positions alone; contexts (`patch`, mean 0 and length 1, so that
+    their product is the correlation) join the pairs afterwards.
+    """
+    fp = fix.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", FIX)], F.col("patch").alias("fp"))
+    mp = mov.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", MOV)], F.col("patch").alias("mp"))
+    pairs = near_pairs(fix, mov, limit, keys).join(fp, [*keys, *FIX]).join(mp, [*keys, *MOV])
+    keep = [*keys, *FIX, *MOV, "dist2"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keep).schema) + ", r double"
+
+    def correlate(batches):
+        for pdf in batches:
+            r = [float(np.dot(a, b)) if len(a) else np.nan for a, b in zip(pdf["fp"], pdf["mp"])]
+            yield pdf[keep].assign(r=np.array(r, dtype=float))
+
+    scored = pairs.select(*keep, "fp", "mp").mapInPandas(correlate, schema)
+    scored = scored.withColumn("r", F.round("r", 6)).where(F.col("r") >= float(min_r))
     rank = F.struct("r", *[(-F.col(c)).alias(f"_{c}") for c in MOV])
     best = F.max_by(F.struct(*MOV, "r", "dist2"), rank)
     return scored.groupBy(*keys, *FIX).agg(best.alias("b")).select(*keys, *FIX, "b.*")

@@ -101,15 +101,13 @@ SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 def pair_sums(a: str, b: str):
     """Count and moment sums of two aligned arrays, folded in the JVM."""
-    zero = F.struct(*[F.lit(0.0).alias(s) for s in SUMS])
-    pairs = F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))
-
-    def add(s, p):
-        x, y = p["a"], p["b"]
-        terms = (F.lit(1.0), x, y, x * x, y * y, x * y)
-        return F.struct(*[(s[name] + t).alias(name) for name, t in zip(SUMS, terms)])
-
-    return F.aggregate(pairs, zero, add)
+    zero = F.lit(0.0)
+    plain, squared = (lambda s, x: s + x), (lambda s, x: s + x * x)
+    parts = (
+        F.size(a).cast("double"), F.aggregate(a, zero, plain), F.aggregate(b, zero, plain), F.aggregate(a, zero, squared),
+        F.aggregate(b, zero, squared), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, plain),
+    )
+    return F.struct(*[p.alias(n) for n, p in zip(SUMS, parts)])
 
 
 def corr_of_sums():
