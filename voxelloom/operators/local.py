@@ -11,16 +11,17 @@ from voxelloom.operators import blocks as B
 from voxelloom.operators import fields as D
 from voxelloom.operators import filters as N
 from voxelloom.operators.warp import warp
+from voxelloom.session import cut
 
 
 def _scores(f, m, real_f, real_m, reach, metric):
     """Score (lower is better) and voxel count of every shift of `m` against `f`."""
     out = []
     for s in np.ndindex(*[2 * r + 1 for r in reach]):
-        cut = tuple(slice(o, o + n) for o, n in zip(s, f.shape))
-        use = real_m[cut] & real_f
+        box = tuple(slice(o, o + n) for o, n in zip(s, f.shape))
+        use = real_m[box] & real_f
         n = int(use.sum())
-        a, b = f[use], m[cut][use]
+        a, b = f[use], m[box][use]
         if metric == "ssd":
             score = float(((a - b) ** 2).sum()) / n if n else np.inf
         else:
@@ -84,6 +85,7 @@ def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=
     shift = A.translation(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in D.COMPONENTS])
     transforms = fix.select(*on).join(found, on, "left").select(
         *on, shift.alias("m"), F.col("score").isNotNull().alias("aligned"))
+    transforms = cut(transforms)  # one small row per block; the search runs once
     field = D.blend(transforms, dims, bsize, overlap, keys)
     if smooth:
         field = N.smooth(field, [smooth] * 3, keys, D.COMPONENTS)

@@ -77,7 +77,8 @@ def match(fix: DataFrame, mov: DataFrame, limit: float, min_r: float, keys=("ds"
     """Best moving spot for each fixed spot by correlation of their contexts.
 
     Pairs are found on positions alone; contexts (`patch`, mean 0 and length 1, so that
-    their product is the correlation) join the pairs afterwards.
+    their product is the correlation) join the pairs afterwards.  Both inputs are read
+    twice: pass stored ones.
     """
     fp = fix.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", FIX)], F.col("patch").alias("fp"))
     mp = mov.select(*keys, *[F.col(a).alias(n) for a, n in zip("zyx", MOV)], F.col("patch").alias("mp"))
@@ -107,7 +108,7 @@ def consensus_shift(matches: DataFrame, tolerance: float, keys=("ds",)) -> DataF
     ball = [(z, y, x) for z in range(-t, t + 1) for y in range(-t, t + 1) for x in range(-t, t + 1)
             if z * z + y * y + x * x <= tolerance * tolerance]
     shift = [(F.col(m) - F.col(f)).cast("bigint").alias(n) for f, m, n in zip(FIX, MOV, ("sz", "sy", "sx"))]
-    seen = matches.groupBy(*keys, *shift).agg(F.count("*").alias("n"))
+    seen = cut(matches.groupBy(*keys, *shift).agg(F.count("*").alias("n")))
     offs = F.explode(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(("z", "y", "x"), b)]) for b in ball]))
     votes = seen.withColumn("o", offs).groupBy(
         *keys, *[(F.col(f"s{a}") + F.col(f"o.{a}")).alias(f"s{a}") for a in "zyx"]).agg(F.sum("n").alias("inliers"))

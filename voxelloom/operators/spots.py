@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators import blocks as B
 from voxelloom.operators import filters as N
+from voxelloom.session import cut
 
 
 def sigma_range(blob_sizes, num_sigma_max: int = 7) -> list[float]:
@@ -54,6 +55,7 @@ def detect_log(blocks: DataFrame, sigmas, threshold: float, threshold_rel: float
     spots = B.map_block_rows(B.exchange(blocks, halo, ("v",), keys), kernel,
                              "z bigint, y bigint, x bigint, sigma double, response double, v double", halo, keys=keys)
     if threshold_rel is not None:
+        spots = cut(spots)  # few rows; the detection must not run twice
         top = spots.groupBy(*keys).agg(F.max("response").alias("_top"))
         spots = spots.join(top, list(keys)).where(F.col("response") >= F.col("_top") * float(threshold_rel)).drop("_top")
     return spots

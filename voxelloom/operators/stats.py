@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.session import cut
+
 
 def value_counts(vox: DataFrame, keys=("ds",), col="v") -> DataFrame:
-    """Rows per distinct value; equal values combine before the shuffle."""
-    return vox.groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    """Rows per distinct value; equal values combine before the shuffle.
+
+    Stored, because every statistic below reads the counts several times and the
+    volume must be read just once.
+    """
+    return cut(vox.groupBy(*keys, F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
 
 
 def _binned(counts: DataFrame, keys, nbins: int):

@@ -78,28 +78,27 @@ def filter_links(links: DataFrame, min_r: float) -> DataFrame:
     return links.where(F.col("r") >= float(min_r))
 
 
-def place(tiles: DataFrame, links: DataFrame, rounds: int, keys=("ds",), fixed: int = 0, cut_every: int = 8) -> DataFrame:
+def place(tiles: DataFrame, links: DataFrame, rounds: int, keys=("ds",), fixed: int = 0) -> DataFrame:
     """Corrections (dy, dx) per tile by Jacobi rounds of the least-squares system.
 
     A link says that content of tile a at g lies at g + s in tile b, so the corrected
     positions differ by -s.  Tile `fixed` does not move; the tables are one row per
-    tile and per link, and rounds are cut by checkpoints.
+    tile and per link, and every round is checkpointed.
     """
     both = links.select(*keys, F.col("a_tile_id").alias("tile_id"), F.col("b_tile_id").alias("other"), F.col("sy").alias("ey"), F.col("sx").alias("ex"))
     both = both.unionByName(links.select(
         *keys, F.col("b_tile_id").alias("tile_id"), F.col("a_tile_id").alias("other"), (-F.col("sy")).alias("ey"), (-F.col("sx")).alias("ex")))
-    pos = tiles.select(*keys, "tile_id", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"))
-    for i in range(rounds):
+    both = cut(both)
+    pos = cut(tiles.select(*keys, "tile_id", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")))
+    for _ in range(rounds):
         known = pos.select(*keys, F.col("tile_id").alias("other"), "dy", "dx")
         mean = both.join(known, [*keys, "other"]).groupBy(*keys, "tile_id").agg(
             F.avg(F.col("dy") + F.col("ey")).alias("my"), F.avg(F.col("dx") + F.col("ex")).alias("mx"))
         free = F.col("tile_id") != fixed
-        pos = pos.join(mean, [*keys, "tile_id"], "left").select(
+        pos = cut(pos.join(mean, [*keys, "tile_id"], "left").select(
             *keys, "tile_id",
             F.when(free, F.coalesce("my", "dy")).otherwise(F.col("dy")).alias("dy"),
-            F.when(free, F.coalesce("mx", "dx")).otherwise(F.col("dx")).alias("dx"))
-        if (i + 1) % cut_every == 0:
-            pos = cut(pos)
+            F.when(free, F.coalesce("mx", "dx")).otherwise(F.col("dx")).alias("dx")))
     return pos
 
 

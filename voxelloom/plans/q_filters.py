@@ -11,6 +11,7 @@ from voxelloom.operators import stats as T
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.fixtures import sql
 from voxelloom.plans.q_select import r6
+from voxelloom.session import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,10 +100,10 @@ ORACLES["local_max"] = sql(_PEAK)
 
 
 def blob_laplace(spark, sf):
-    """Laplacian response at least 0.3 of the dataset's strongest."""
-    lap = B.unpack(N.laplace(X.fix_blocks(spark, sf, (4, 16, 16))))
+    """Laplacian response of at least 1 and at least 0.3 of the dataset's strongest."""
+    lap = cut(B.unpack(N.laplace(X.fix_blocks(spark, sf, (4, 16, 16)))).where("v >= 1"))
     top = lap.groupBy("ds").agg(F.max("v").alias("top"))
-    return lap.join(top, "ds").where(F.col("v") >= F.greatest(F.lit(1.0), 0.3 * F.col("top"))).select(
+    return lap.join(top, "ds").where(F.col("v") >= 0.3 * F.col("top")).select(
         "ds", "z", "y", "x", F.col("v").cast("bigint").alias("response"))
 
 

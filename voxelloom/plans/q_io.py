@@ -9,6 +9,7 @@ from voxelloom.operators import blocks as B
 from voxelloom.operators import fields as D
 from voxelloom.operators import pyramid as P
 from voxelloom.operators import register as R
+from voxelloom.plans import fixture_files as FF
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.fixtures import sql
 from voxelloom.plans.q_select import ORACLES as SEL
@@ -52,7 +53,7 @@ def _tiffs(spark, sf, deflate):
     root = scratch_path(spark, "tiff")
     vox = X.tczyx(spark, sf).groupBy("ds", "c", "z", "y", "x").agg(F.sum("v").alias("v"))
     blocks = B.pack(vox, X.DIMS, BS, keys=("ds", "c"))
-    I.write_tiff(blocks, root, F.concat(F.lit("d"), "ds"), deflate=deflate)
+    FF.write_tiff(blocks, root, F.concat(F.lit("d"), "ds"), deflate=deflate)
     return root
 
 
@@ -86,7 +87,7 @@ ORACLES["src_tiff_channels"] = sql(
 
 def src_mask(spark, sf):
     root = scratch_path(spark, "mask")
-    I.write_nrrd(X.mask(spark, sf), root, F.concat(F.lit("d"), "ds"))
+    FF.write_nrrd(X.mask(spark, sf), root, F.concat(F.lit("d"), "ds"))
     vox = B.unpack(I.read_nrrd(spark, f"{root}/*.nrrd"), keys=("image",))
     return vox.select(_number("image"), "z", "y", "x", F.col("v").cast("int").alias("m"))
 

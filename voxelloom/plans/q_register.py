@@ -32,7 +32,7 @@ def _mov_spots(s, d):
 
 
 def _matches(s, d):
-    return R.match(_fix_spots(s, d), _mov_spots(s, d), 4.0, 0.6)
+    return R.match(cut(_fix_spots(s, d)), cut(_mov_spots(s, d)), 4.0, 0.6)
 
 
 _SPOT = dict(
@@ -177,5 +177,12 @@ def local_align(spark, sf):
 
 
 QUERIES["local_align"] = local_align
-# The moving volume is an exact shift, so every block must find it.
-ORACLES["local_align"] = sql("SELECT ds, z, y, x, 0e0 AS dz, 1e0 AS dy, 2e0 AS dx FROM fx_grid")
+# The moving volume is an exact shift: every block that is not flat must find it.
+_T16 = "least(greatest(least({a} - (c{a}*16 - 2) + 0.5e0, (c{a}+1)*16 + 2 - {a} - 0.5e0) / 4e0, 0e0), 1e0)"
+ORACLES["local_align"] = sql(
+    "SELECT ds, z, y, x, 0e0 AS dz, round(sum(w * ok) / sum(w), 6) + 0e0 AS dy, round(sum(w * ok * 2) / sum(w), 6) + 0e0 AS dx"
+    " FROM j GROUP BY 1, 2, 3, 4",
+    c="SELECT ds, cy, cx, CASE WHEN max(v) > min(v) THEN 1 ELSE 0 END AS ok FROM fx_fix, range(2) a(cy), range(2) b(cx)"
+      " WHERE y BETWEEN cy*16 - 2 AND cy*16 + 17 AND x BETWEEN cx*16 - 2 AND cx*16 + 17 GROUP BY 1, 2, 3",
+    j="SELECT g.ds, g.z, g.y, g.x, ok, " + _T16.format(a="y") + " * " + _T16.format(a="x") + " AS w"
+      " FROM fx_grid g JOIN c ON g.ds = c.ds AND cy BETWEEN y // 16 - 1 AND y // 16 + 1 AND cx BETWEEN x // 16 - 1 AND x // 16 + 1")

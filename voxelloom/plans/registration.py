@@ -56,7 +56,7 @@ def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
 def affine_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     """Intensity refinement of the current affine on smoothed, standardised volumes."""
     s = [p["smooth"]] * 3
-    sides = [T.standardize(N.smooth(side, s)) for side in (fix, mov)]
+    sides = [T.standardize(cut(N.smooth(side, s))) for side in (fix, mov)]
     return R.refine_affine(*sides, current, dims, bsize, p["iterations"], p["learning_rate"], p["min_step"]).select("ds", "m")
 
 

@@ -7,7 +7,6 @@ pages in parallel, so one huge file is no single task.  Uncompressed and deflate
 from __future__ import annotations
 
 import gzip
-import json
 import re
 import struct
 import zlib
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions import paths as L
 from voxelloom.operators import blocks as B
-from voxelloom.sources.files import read_range, write_file
+from voxelloom.sources.files import read_range
 
 #: TIFF tag numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, STRIP_AT, STRIP_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 270, 273, 279, 339
@@ -132,28 +131,6 @@ def ingest_tiff(spark: SparkSession, glob: str, out_root: str, bsize, dtype: str
     return chunked.write(blocks, out_root, folder, fmt, dtype, "zlib" if fmt == "zarr" else "gzip")
 
 
-def write_tiff(blocks: DataFrame, root: str, name, keys=("ds", "c"), channel: str = "c", dtype: str = "uint16", deflate=True) -> int:
-    """Block table -> one TIFF stack per dataset (small exports; a stack is one file)."""
-    others = [k for k in keys if k != channel]
-    vox = B.unpack(blocks, keys=keys)
-    rows = vox.select(name.alias("name"), *keys, "z", "y", "x", "v")
-
-    def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        cs = sorted(pdf[channel].unique())
-        shape = [int(pdf[a].max()) + 1 for a in "zyx"]
-        pages = []
-        for c in cs:
-            part = pdf[pdf[channel] == c]
-            a = np.zeros(shape, dtype=dtype)
-            a[part["z"], part["y"], part["x"]] = part["v"].to_numpy()
-            pages.extend(a)
-        text = json.dumps({"SizeC": len(cs), "SizeZ": shape[0]})
-        write_file(f"{root.rstrip('/')}/{pdf['name'].iloc[0]}.tif", encode_tiff(pages, deflate, text))
-        return pd.DataFrame({"n": [len(pages)]})
-
-    return int(rows.groupBy(*others).applyInPandas(put, "n bigint").agg(F.sum("n")).first()[0])
-
-
 def encode_nrrd(a: np.ndarray, codec: str = "gzip") -> bytes:
     kind = {"u1": "uint8", "u2": "uint16", "i4": "int32", "f4": "float", "f8": "double"}[a.dtype.str[1:]]
     head = (f"NRRD0004\ntype: {kind}\ndimension: {a.ndim}\nsizes: {' '.join(str(s) for s in a.shape[::-1])}\n"
@@ -191,18 +168,3 @@ def read_nrrd(spark: SparkSession, glob: str) -> DataFrame:
 
     schema = "path string, blk_z bigint, blk_y bigint, blk_x bigint, dims array<bigint>, bsize array<bigint>, v array<double>"
     return files.mapInPandas(decode, schema).withColumn("image", L.base_name("path"))
-
-
-def write_nrrd(vox: DataFrame, root: str, name, keys=("ds",), col="m", dtype="uint8") -> int:
-    """Mask voxels -> one NRRD file per key (low-resolution masks)."""
-
-    def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros([int(pdf[k].max()) + 1 for k in "zyx"], dtype=dtype)
-        a[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"].to_numpy()
-        write_file(f"{root.rstrip('/')}/{pdf['name'].iloc[0]}.nrrd", encode_nrrd(a))
-        return pd.DataFrame({"n": [a.size]})
-
-    rows = vox.select(name.alias("name"), *keys, "z", "y", "x", F.col(col).alias("v"))
-    return int(rows.groupBy(*keys).applyInPandas(put, "n bigint").agg(F.sum("n")).first()[0])
-
-
