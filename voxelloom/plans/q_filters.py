@@ -111,10 +111,9 @@ QUERIES["blob_laplace"] = blob_laplace
 ORACLES["blob_laplace"] = sql(
     "SELECT ds, z, y, x, response FROM lap JOIN (SELECT ds, max(response) AS top FROM lap GROUP BY ds) USING (ds)"
     " WHERE response >= greatest(1e0, 0.3e0 * top)",
-    o="SELECT * FROM (VALUES (-1,0,0),(1,0,0),(0,-1,0),(0,1,0),(0,0,-1),(0,0,1)) AS t(oz, oy, ox)",
-    lap="SELECT a.ds, a.z, a.y, a.x, CAST(6 * any_value(a.v) - sum(b.v) AS BIGINT) AS response FROM fx_fix a CROSS JOIN o"
-        " JOIN fx_fix b ON a.ds = b.ds AND b.z = least(greatest(a.z + oz, 0), 6) AND b.y = least(greatest(a.y + oy, 0), 31)"
-        " AND b.x = least(greatest(a.x + ox, 0), 31) GROUP BY 1, 2, 3, 4",
+    lap="SELECT ds, z, y, x, CAST(6 * v - (" + " + ".join(
+        f"coalesce(lag(v) OVER w{a}, v) + coalesce(lead(v) OVER w{a}, v)" for a in "zyx") + ") AS BIGINT) AS response FROM fx_fix WINDOW "
+        + ", ".join(f"w{a} AS (PARTITION BY ds, {', '.join(b for b in 'zyx' if b != a)} ORDER BY {a})" for a in "zyx"),
 )
 
 _SUMS = ("count(*)::DOUBLE AS n, sum(a)::DOUBLE AS sa, sum(b)::DOUBLE AS sb, sum(a*a)::DOUBLE AS saa,"
