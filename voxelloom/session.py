@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,9 +42,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when none is configured."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Without that setting a cluster is refused: executors would write to their own disks.
+    Only local[...], where driver and executors are one process, gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="voxelloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
