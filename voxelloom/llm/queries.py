@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontam
+from voxelloom.llm import decontam, substring
 from voxelloom.llm.setup import ready
 
 
@@ -24,5 +24,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without the words of windows that start in an earlier document too."""
+    done = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
+    return done.select("doc_id", "n_words", "n_removed", kept)
+
+
+QUERIES = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {}
