@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontam, substring
+from voxelloom.llm import decontam, simhash, substring
 from voxelloom.llm.setup import ready
 
 
@@ -31,5 +31,11 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", kept)
 
 
-QUERIES = {"op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies among `documents` by SimHash fingerprints within 3 bits."""
+    groups = simhash.group(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {}
