@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontam, simhash, substring
+from voxelloom.llm import decontam, langid, packing, simhash, substring
 from voxelloom.llm.setup import ready
 
 
@@ -37,5 +37,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words for all `documents`, each source and each text at most once in a bin."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all `documents`, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~HELD_OUT))
+    told = langid.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", HELD_OUT.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {}
