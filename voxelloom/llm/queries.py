@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontam, langid, packing, simhash, substring
+from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring
 from voxelloom.llm.setup import ready
 
 
@@ -42,16 +42,59 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all `documents`, learned from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs.where(~HELD_OUT))
+    model = langid.fit(docs.where(~held_out()))
     told = langid.predict(docs.select("doc_id", "text"), model)
-    return told.select("doc_id", HELD_OUT.alias("held_out"), "lang_pred", "score")
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `conversations` and one made of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    hostile = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hostile).alias("text"))
+    chats = chat.format_chats(rows.unionByName(more).withColumn("parts", chat.text_parts(F.col("text"))))
+    turns = chat.read_turns(F.col("formatted"))
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP1_SQL = r"""
+WITH m AS (
+  SELECT conv_id::BIGINT conv_id, turn::BIGINT turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), p AS (
+  SELECT *, 20 + length(role) + length(text)
+    + len(regexp_extract_all(role || ' ' || text, '[<\[]~*/?(?:s|ROLE|INST|SYS|IMG|AUDIO|DOC|PAD)[>\]]')) AS chars
+  FROM m
+), g AS (
+  SELECT conv_id, count(*) n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') loss, sum(chars)::BIGINT chars
+  FROM p GROUP BY conv_id
+)
+SELECT conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  chars AS formatted_chars FROM g
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 40 shards by rendezvous hashing of their ids."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    numbered = shard.number(shard.assign(rows, "doc_id", shards=40), ["doc_id", "text_crc32"])
+    return numbered.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
