@@ -28,7 +28,7 @@ from voxelloom.llm import words as W
 #: Cells of a sketch segment.
 SEGMENT = 1 << 22
 #: Windows that a task holds before it sends what it has.
-HELD = 1 << 21
+HELD = 1 << 20
 ADDED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -126,95 +126,94 @@ def sketch(docs: DataFrame, text: str, window: int, depth: int, width: int) -> D
     return parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
 
 
-def _entries(h1, h2, ids, keys, pos, bucket_bits: int):
-    """Of a run of documents: marks it knows itself, and for each bucket the entries that others must judge."""
-    order = np.lexsort((pos, ids, h2, h1))
-    h1, h2, ids, keys, pos = h1[order], h2[order], ids[order], keys[order], pos[order]
-    fresh = np.ones(len(h1), dtype=bool)
-    fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    group = np.cumsum(fresh) - 1
-    known = ids > ids[np.flatnonzero(fresh)][group]
-    out = {"bucket": [], "entries": [], _ID: [], _KEY: [], _STARTS: [], _SIZES: []}
-    for row in _marks(ids[known], keys[known], pos[known]):
-        out["bucket"].append(row[1] & ((1 << bucket_bits) - 1))
-        out["entries"].append(None)
-        for name, value in zip((_ID, _KEY, _STARTS, _SIZES), row):
-            out[name].append(value)
-    h1, h2, ids, keys, pos = (x[~known] for x in (h1, h2, ids, keys, pos))
-    bucket = (h2 >> np.uint64(32)).astype(np.int64) & ((1 << bucket_bits) - 1)
-    order = np.lexsort((pos, keys, ids, bucket))
-    h1, h2, ids, keys, pos, bucket = (x[order] for x in (h1, h2, ids, keys, pos, bucket))
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0, 0]
+def _blocks(part, ids, keys, pos, *more):
+    """(part, packed places) for each part: documents once, positions as differences, other columns as they are."""
+    order = np.lexsort((pos, keys, ids, part))
+    part, ids, keys, pos = part[order], ids[order], keys[order], pos[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
-        if a == b:
-            continue
         fresh = np.ones(b - a, dtype=bool)
         fresh[1:] = (ids[a + 1:b] != ids[a:b - 1]) | (keys[a + 1:b] != keys[a:b - 1])
         docs = np.flatnonzero(fresh) + a
-        step = np.diff(pos[a:b], prepend=0)
         parts = [
             zstandard.compress(np.concatenate((ids[docs], keys[docs], np.diff(docs, append=b))).tobytes(), 1),
-            zstandard.compress(step.astype(np.int32).tobytes(), 1),
-            h1[a:b].tobytes(), h2[a:b].astype(np.uint32).tobytes(),
+            zstandard.compress(np.diff(pos[a:b], prepend=0).astype(np.int32).tobytes(), 1),
+            *(x[order[a:b]].tobytes() for x in more),
         ]
-        out["bucket"].append(int(bucket[a]))
-        out["entries"].append(struct.pack("<4Q", *map(len, parts)) + b"".join(parts))
-        for name in (_ID, _KEY, _STARTS, _SIZES):
-            out[name].append(None)
-    return pa.RecordBatch.from_pydict(out, _ROWS)
-
-
-_ROWS = pa.schema([("bucket", pa.int64()), ("entries", pa.binary()), (_ID, pa.int64()), (_KEY, pa.int64()),
-                   (_STARTS, pa.list_(pa.int32())), (_SIZES, pa.list_(pa.int32()))])
-_MARKS = pa.schema(list(_ROWS)[2:])
+        yield int(part[a]), struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
 
-def _opened(data: bytes):
-    sizes = struct.unpack_from("<4Q", data)
-    edges = np.cumsum((32, *sizes))
-    docs, step, h1, h2 = (data[a:b] for a, b in zip(edges[:-1], edges[1:]))
+def _opened(data: bytes, kinds=()):
+    """(ids, keys, positions, other columns) of packed places."""
+    n = 2 + len(kinds)
+    edges = np.cumsum((8 * n, *struct.unpack_from(f"<{n}Q", data)))
+    docs, step, *more = (data[a:b] for a, b in zip(edges[:-1], edges[1:]))
     ids, keys, counts = np.frombuffer(zstandard.decompress(docs), np.int64).reshape(3, -1)
     pos = np.cumsum(np.frombuffer(zstandard.decompress(step), np.int32), dtype=np.int64)
-    return np.repeat(ids, counts), np.repeat(keys, counts), pos, np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint32)
+    return np.repeat(ids, counts), np.repeat(keys, counts), pos, *map(np.frombuffer, more, kinds)
 
 
-def _marks(ids, keys, pos):
-    """(id, key, starts, sizes): window starts of each document as runs."""
+_SENT = pa.schema([("bucket", pa.int64()), ("entries", pa.binary()), ("marks", pa.binary())])
+_MARKED = pa.schema([("bucket", pa.int64()), ("marks", pa.binary())])
+_DOCS = pa.schema([(_ID, pa.int64()), (_KEY, pa.int64()), (_STARTS, pa.list_(pa.int32())), (_SIZES, pa.list_(pa.int32()))])
+
+
+def _owner(ids, keys, parts: int) -> np.ndarray:
+    """Part of the documents that a row belongs to; copies of one text are spread."""
+    return (W.mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _entries(h1, h2, ids, keys, pos, parts: int):
+    """Of a run of documents: marks it knows itself, and for each bucket the entries that others must judge."""
+    order = np.lexsort((ids, h2, h1))
+    h1, h2, ids, keys, pos = h1[order], h2[order], ids[order], keys[order], pos[order]
+    fresh = np.ones(len(h1), dtype=bool)
+    fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    known = ids > ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    out = [(g, None, blob) for g, blob in _blocks(_owner(ids[known], keys[known], parts), ids[known], keys[known], pos[known])]
+    h1, h2, ids, keys, pos = (x[~known] for x in (h1, h2, ids, keys, pos))
+    bucket = ((h2 >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    out += [(g, blob, None) for g, blob in _blocks(bucket, ids, keys, pos, h1, h2.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(_SENT.types)], schema=_SENT)
+
+
+def _judge(table: pa.Table, parts: int) -> pa.Table:
+    """One bucket of windows: which entries have a smaller document elsewhere; marks of the tasks pass through."""
+    done = [(r["bucket"], r["marks"]) for r in table.select(["bucket", "marks"]).to_pylist() if r["marks"] is not None]
+    blobs = [x.as_py() for x in table.column("entries") if x.is_valid]
+    if blobs:
+        ids, keys, pos, h1, h2 = (np.concatenate(x) for x in zip(*(_opened(x, (np.uint64, np.uint32)) for x in blobs)))
+        order = np.lexsort((ids, h2, h1))
+        h1, h2, low = h1[order], h2[order], ids[order]
+        fresh = np.ones(len(h1), dtype=bool)
+        fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        late = order[low > low[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]
+        ids, keys, pos = ids[late], keys[late], pos[late]
+        done += _blocks(_owner(ids, keys, parts), ids, keys, pos)
+    return pa.Table.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(_MARKED.types)], schema=_MARKED)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One part of the documents: window starts of each as runs, one row a document."""
+    ids, keys, pos = (np.concatenate(x) for x in zip(*(_opened(x.as_py()) for x in table.column("marks"))))
     order = np.lexsort((pos, keys, ids))
     ids, keys, pos = ids[order], keys[order], pos[order]
-    if not len(ids):
-        return
     doc = np.ones(len(ids), dtype=bool)
     doc[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
     run = doc.copy()
     run[1:] |= pos[1:] > pos[:-1] + 1
     heads = np.flatnonzero(run)
     tails = np.concatenate((heads[1:], [len(pos)])) - 1
-    edges = np.concatenate((np.flatnonzero(doc[heads]), [len(heads)]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(ids[heads[a]]), int(keys[heads[a]]), pos[heads[a:b]].astype(np.int32), (pos[tails[a:b]] - pos[heads[a:b]] + 1).astype(np.int32)
+    first = np.flatnonzero(doc[heads])
+    edges = np.concatenate((first, [len(heads)]))
+    return pa.Table.from_arrays([
+        pa.array(ids[heads[first]]), pa.array(keys[heads[first]]), W.lists(pos[heads].astype(np.int32), edges, pa.int32()),
+        W.lists((pos[tails] - pos[heads] + 1).astype(np.int32), edges, pa.int32()),
+    ], schema=_DOCS)
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """One bucket of windows: which entries have a smaller document elsewhere; marks of the tasks pass through."""
-    column = table.column("entries")
-    done = table.filter(column.is_null()).select([_ID, _KEY, _STARTS, _SIZES])
-    blobs = [x.as_py() for x in column if x.is_valid]
-    if not blobs:
-        return done
-    ids, keys, pos, h1, h2 = (np.concatenate(x) for x in zip(*map(_opened, blobs)))
-    order = np.lexsort((ids, h2, h1))
-    h1, h2, low = h1[order], h2[order], ids[order]
-    fresh = np.ones(len(h1), dtype=bool)
-    fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    late = order[low > low[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]
-    rows = list(_marks(ids[late], keys[late], pos[late]))
-    more = pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_MARKS.types)], schema=_MARKS)
-    return pa.concat_tables([done.cast(_MARKS), more])
-
-
-def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width: int, bucket_bits: int) -> DataFrame:
-    """(id, key, starts, sizes): windows that also start in a document with a smaller id; several rows a document."""
+def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width: int, parts: int) -> DataFrame:
+    """(id, key, starts, sizes): windows that also start in a document with a smaller id, as runs; one row a document."""
 
     def flagged(batches):
         bits = repeated.value
@@ -222,7 +221,7 @@ def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width:
 
         def flush():
             joined = [np.concatenate(x) for x in zip(*held)]
-            return _entries(*joined, bucket_bits)
+            return _entries(*joined, parts)
 
         for batch, start, row, (h1, h2) in _hashed(batches, text, window, True):
             maybe = np.ones(len(h1), dtype=bool)
@@ -239,9 +238,12 @@ def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width:
         if n:
             yield flush()
 
-    fields = f"{_ID} long, {_KEY} long, {_STARTS} array<int>, {_SIZES} array<int>"
-    sent = docs.select(text, _ID, _KEY).mapInArrow(flagged, f"bucket long, entries binary, {fields}")
-    return sent.groupBy("bucket").applyInArrow(_judge, fields)
+    def judge(table: pa.Table) -> pa.Table:
+        return _judge(table, parts)
+
+    sent = docs.select(text, _ID, _KEY).mapInArrow(flagged, "bucket long, entries binary, marks binary")
+    judged = sent.groupBy("bucket").applyInArrow(judge, "bucket long, marks binary")
+    return judged.groupBy("bucket").applyInArrow(_gather, f"{_ID} long, {_KEY} long, {_STARTS} array<int>, {_SIZES} array<int>")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, depth: int = 2,
@@ -268,9 +270,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         at = segment // depth * (SEGMENT // 8)
         bits[segment % depth, at:at + SEGMENT // 8] = np.frombuffer(zstandard.decompress(bytes(data)), np.uint8)
     repeated = spark.sparkContext.broadcast(bits)
-    bucket_bits = max(4, (guess >> 22).bit_length())
-    found = marks(keyed, text, window, repeated, depth, width, bucket_bits)
-    found = found.groupBy(_ID, _KEY).agg(F.flatten(F.collect_list(_STARTS)).alias(_STARTS), F.flatten(F.collect_list(_SIZES)).alias(_SIZES))
+    found = marks(keyed, text, window, repeated, depth, width, max(16, guess >> 21))
     joined = keyed.join(found, [_ID, _KEY], "left")
     names = docs.columns
 

@@ -68,7 +68,7 @@ def bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser in which every bit of the input moves every bit of the output."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -111,7 +111,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = S
         s = starts[at:to] - base
         out[at:to] = (sums[ends[at:to] - base] - sums[s]) * inverse[s]
         at = to
-    return _mix(out)
+    return mix(out)
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += words[j:j + n]
-    return _mix(out)
+    return mix(out)
 
 
 def whole(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
