@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring
+from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring, tokens
 from voxelloom.llm.setup import ready
 
 
@@ -96,5 +96,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all `documents`, written in the file format and read back."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokens.read(tokens.write(docs, tokens.folder(docs), public_tokenizers.path("byte_bpe_50k.json"), 2))
+
+
+QUERIES = {"op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
