@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring, tokens
+from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring, tokens, topk
 from voxelloom.llm.setup import ready
 
 
@@ -104,5 +104,23 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(docs, tokens.folder(docs), public_tokenizers.path("byte_bpe_50k.json"), 2))
 
 
-QUERIES = {"op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest scores among all `embeddings` of every row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top(rows, query=F.col("vec_id") % 50 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+QUERIES = {"op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op10_topk": OP10_SQL}
