@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import chat, decontam, langid, packing, shard, simhash, substring, tokens, topk
+from voxelloom.llm import chat, decontam, langid, license, packing, shard, simhash, substring, tokens, topk
 from voxelloom.llm.setup import ready
 
 
@@ -42,6 +42,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates in all `documents`, one row a match."""
+    return license.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
@@ -122,5 +127,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-QUERIES = {"op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op5_license": op5_license, "op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op10_topk": OP10_SQL}
