@@ -209,7 +209,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not sizes:
         return None
     top = (1 << 63) - 1
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, per_language / n) * top))])
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, top if n <= per_language else top * per_language // n)])
     rank = F.xxhash64(key, "text").bitwiseAND(F.lit(top))
     chosen = labelled.where(rank <= share[F.col("lang")]).select("lang", "text")
 
