@@ -8,8 +8,8 @@ the last have the same shape, so row i is in batch i // rows at i % rows and is
 
 from __future__ import annotations
 
+import os
 import posixpath
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,85 +21,118 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.llm import words as W
 from voxelloom.llm.setup import stored
 from voxelloom.session import scratch_path
 from voxelloom.sources.files import open_fs
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_rows long"
-#: A blank before white space or at the end of a text.
-_ODD = re.compile(r" (?:\s|\Z)")
+#: Stands between pieces: white space, so the pre-tokenizer sets it apart.
+_MARK = "\x0b"
+#: First bytes of characters that are or may be white space.
+_MAYBE_WHITE = np.zeros(256, dtype=bool)
+_MAYBE_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    """A byte-level BPE tokenizer with a bounded memory of words it has met.
+    """A byte-level BPE tokenizer with a bounded memory of the pieces it has met.
 
-    The pre-tokenizer of such a file always starts a new piece at a blank that is followed by anything but white space,
-    so a text may be cut there, and equal words have equal ids.  Texts that hold a special token are encoded whole.
+    The pre-tokenizer of such a file always starts a new token at a blank that is followed by anything but white space,
+    so a text may be cut there and equal pieces have equal ids.  Texts that hold a special token are encoded whole.
+    New pieces go through the tokenizer many at once; a piece is found again by its hash.
     """
 
-    def __init__(self, path: str, end: int, memory: int = 400_000):
+    def __init__(self, path: str, end: int, memory: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
-        self.end = np.array([end], self.kind).tobytes()
+        self.end = np.array([end], self.kind)
         self.memory = memory
-        self.known: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def one(self, text: str) -> np.ndarray:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, self.kind).tobytes() for x in encode(texts, add_special_tokens=False)]
+        return np.array(encode([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words with a blank before them; many at once, as lines of one text.
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces go to the pool: (place, number) of each.
 
-        A line break between a word and a blank is a piece and a token of its own.
+        Most are encoded at once, with a mark between that is a token of its own after anything but white space.
         """
-        plain = [w for w in words if "\n" not in w and not w[-1].isspace()]
-        if self.line is not None and len(plain) > 1:
-            ids = np.frombuffer(self._encode(["\n".join([" " + w for w in plain])])[0], self.kind)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) == len(plain) - 1:
-                raw, size = ids.tobytes(), ids.itemsize
-                edges = [0, *((cuts + 1) * size).tolist(), len(raw) + size]
-                self.known.update((w, raw[a:b - size]) for w, a, b in zip(plain, edges[:-1], edges[1:]))
-        rest = [w for w in words if w not in self.known]
-        if rest:
-            self.known.update(zip(rest, self._encode([" " + w for w in rest])))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text and the end id."""
-        if any(s in text for s in self.special):
-            return self._encode([text])[0] + self.end
-        units = text.split(" ")
-        if _ODD.search(text):
-            merged = [units[0]]
-            for u in units[1:]:
-                if u and not u[0].isspace():
-                    merged.append(u)
-                else:
-                    merged[-1] += " " + u
-            units = merged
-        head, units = units[0], units[1:]
-        if len(self.known) > self.memory:
-            self.known.clear()
-        missing = set(units).difference(self.known)
-        again = missing.intersection(self.once)
-        self.known.update((w, self.once.pop(w)) for w in again)
-        missing -= again
-        if missing:
-            self._learn(list(missing))
-        out = self._encode([head])[0] + b"".join(map(self.known.__getitem__, units)) + self.end
-        # words met in one text so far wait apart, so that the many rare ones do not drive out the others
-        if len(self.once) > self.memory:
-            self.once.clear()
-        self.once.update((w, self.known.pop(w)) for w in missing)
-        return out
+        at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        added, base = [self.pool], len(self.pool)
+        plain = np.fromiter((_MARK not in p and not p[-1].isspace() for p in pieces), bool, len(pieces))
+        todo = np.flatnonzero(~plain).tolist()
+        for some in np.array_split(np.flatnonzero(plain), plain.sum() // 4096 + 1):
+            ids = self.one(_MARK.join([pieces[i] for i in some.tolist()])) if self.mark is not None else np.zeros(0, self.kind)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(some) and len(cuts) == len(some) - 1:
+                edges = np.concatenate(([-1], cuts, [len(ids)]))
+                at[some], size[some] = base + edges[:-1] + 1, np.diff(edges) - 1
+                added.append(ids)
+                base += len(ids)
+            else:
+                todo += some.tolist()
+        for i in todo:
+            ids = self.one(pieces[i])
+            at[i], size[i] = base, len(ids)
+            added.append(ids)
+            base += len(ids)
+        self.pool = np.concatenate(added)
+        return at, size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each text and the end) of texts given as bytes and offsets; no end ids."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        start = np.zeros(len(data), dtype=bool)
+        start[:-1] = (data[:-1] == 0x20) & ~_MAYBE_WHITE[data[1:]]
+        last = offsets[1:-1] - 1
+        start[last[last >= 0]] = False  # the blank that ends a text
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(data))
+        hashed, which = np.unique(W.hashes(data, starts, ends), return_inverse=True)
+        first = np.empty(len(hashed), np.int64)
+        first[which] = np.arange(len(which))  # any place of each piece
+        if len(self.keys) > self.memory:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.keys, hashed), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != hashed) if len(self.keys) else np.arange(len(hashed))
+        if len(new):
+            raw = data.tobytes()
+            at, size = self._learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            keys = np.concatenate((self.keys, hashed[new]))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.at, self.size = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+            place = np.searchsorted(self.keys, hashed)
+        place = place[which]
+        size = self.size[place]
+        total = np.concatenate(([0], np.cumsum(size)))
+        found = self.pool[np.repeat(self.at[place] - total[:-1], size) + np.arange(total[-1])]
+        return found, total[np.searchsorted(starts, offsets)]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of each whole text with the end id."""
+        raw = data.tobytes()
+        whole = any(s in raw for s in self.special)
+        ids, first = self.encode(data, offsets)
+        for i in range(len(offsets) - 1):
+            if whole and any(s in (text := raw[offsets[i]:offsets[i + 1]]) for s in self.special):
+                yield np.concatenate((self.one(text.decode()), self.end))
+            else:
+                yield np.concatenate((ids[first[i]:first[i + 1]], self.end))
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -178,10 +211,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, doc_id: str =
         part = TaskContext.get().partitionId()
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.arrow"
         writer = None
-        for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for whole in batches:
+            for batch in W.slices(whole, "text", 4 << 20):
                 writer = writer or Writer(path, length, rows, known.kind)
-                writer.add(doc, np.frombuffer(known.encode(t.as_py()), known.kind))
+                for doc, ids in zip(batch.column(0).to_pylist(), known.texts(*W.flat(batch.column(1)))):
+                    writer.add(doc, ids)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [writer.docs], "n_tokens": [writer.tokens],
