@@ -44,7 +44,7 @@ def expanded(part: Column, patch: int, audio_rate: float, page_tokens: int) -> C
     counted = (F.when(part["type"] == "image", rows * (columns + 1))
                .when(part["type"] == "audio", F.ceil(part["seconds"] * audio_rate))
                .when(part["type"] == "document", part["pages"].cast("long") * page_tokens))
-    return F.coalesce(F.greatest(counted, F.lit(0)), F.lit(1)).cast("long")
+    return F.coalesce(F.when(counted < 0, F.lit(0)).otherwise(counted), F.lit(1)).cast("long")
 
 
 def _kind(part: Column) -> Column:

@@ -173,7 +173,8 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
     coverage: share of the template's words that the alignment matches, `least` or more; first and end are words, char_* code
     points of the text, ends exclusive.  Equal or overlapping templates are all reported; of overlapping places of one
-    template the best.  Null, empty and unrelated texts have an empty list; a template without words is never found; a
+    template the best.  A place is a candidate if it shares `grams` + `window` - 1 words in a row with the template (5 by
+    default, fewer for shorter templates).  Null, empty and unrelated texts have an empty list; a template without words is never found; a
     column named `licenses` is replaced.  Whole texts are scanned; `band` is how far words may shift between fingerprints.
     """
     spark = docs.sparkSession
