@@ -236,7 +236,7 @@ def test_rank_over_slices(spark):
 
 def test_group_parts_hold_every_member(spark):
     df = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").alias("o"), F.col("id").cast("string").alias("p"))
-    parts = M.group_tuple(df, "k", "o", "p", part_size=64).toPandas().sort_values("part")
+    parts = M.group_parts(df, "k", "o", "p", part_size=64).toPandas().sort_values("part")
     assert parts["n"].max() == 64 and sum(parts["p"].map(list), []) == [str(i) for i in range(1000)]
 
 

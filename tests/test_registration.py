@@ -10,7 +10,7 @@ from voxelloom.operators import fields as D
 from voxelloom.plans.registration import register
 
 DIMS, BS, SHIFT = (8, 24, 24), (8, 12, 12), (0, 1, 2)
-CONFIG = {"ransac": {"threshold": 70.0, "max_spot_match_distance": 4.0, "align_threshold": 0.9}}
+CONFIG = {"ransac": {"cc_radius": 1, "point_matches_threshold": 8, "fix_spots_count_threshold": 8, "mov_spots_count_threshold": 8, "threshold": 70.0, "max_spot_match_distance": 4.0, "align_threshold": 0.9}}
 
 
 @pytest.fixture(scope="module")

@@ -142,7 +142,7 @@ def as_parts(blocks: DataFrame, keys=("ds",), col="v") -> DataFrame:
     return blocks.select(*keys, *B.BLK, "dims", "bsize", F.array(*org, *size).alias("part_box"), F.col(col).alias(f"part_{col}"))
 
 
-def components(edges: DataFrame, keys=("ds",), max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys=("ds",)) -> DataFrame:
     """Connected components of a graph: keys, label, root (the smallest label).
 
     Alternating star contraction: the number of rounds grows with the logarithm of the
@@ -151,7 +151,7 @@ def components(edges: DataFrame, keys=("ds",), max_rounds: int = 60) -> DataFram
     keys = list(keys)
     edges = cut(edges.select(*keys, "a", "b"))
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, [*keys, "a"]).where("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -163,8 +163,6 @@ def components(edges: DataFrame, keys=("ds",), max_rounds: int = 60) -> DataFram
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct()
     return roots.unionByName(edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
 

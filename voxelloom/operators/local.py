@@ -70,7 +70,7 @@ def block_shifts(fix: DataFrame, mov: DataFrame, reach, overlap=(0, 0, 0), metri
     return both.mapInPandas(run, f"{key_schema}, dz bigint, dy bigint, dx bigint, score double, n bigint")
 
 
-def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=(1, 2, 2), overlap=(0, 2, 2),
+def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=None, overlap=(0, 2, 2),
           mask: DataFrame | None = None, smooth: float = 0.0, inverse_iterations: int = 0, keys=("ds",)) -> dict[str, DataFrame]:
     """Block-wise alignment after a global affine: transforms, field, aligned volume.
 
@@ -81,7 +81,7 @@ def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=
     on = [*keys, *B.BLK]
     target = fix.select(*on, "dims", "bsize").join(affine.select(*keys, "m"), list(keys))
     moved = warp(target, mov, dims, bsize, keys)
-    found = block_shifts(fix, moved, reach, overlap, "corr", mask, keys)
+    found = block_shifts(fix, moved, reach or overlap, overlap, "corr", mask, keys)
     shift = A.translation(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in D.COMPONENTS])
     transforms = fix.select(*on).join(found, on, "left").select(
         *on, shift.alias("m"), F.col("score").isNotNull().alias("aligned"))

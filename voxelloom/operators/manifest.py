@@ -63,12 +63,13 @@ def multi_map(df: DataFrame, **outputs) -> dict[str, DataFrame]:
     return {name: df.select(*cols) for name, cols in outputs.items()}
 
 
-def group_tuple(df: DataFrame, key: str, order: str, value: str, part_size: int = 65536) -> DataFrame:
-    """Ordered member lists per key.
+def group_tuple(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Members of each key in order: key, rn (from 1), value; a row a member, so no row grows with the hottest key."""
+    return rank_in_group(df, [key], order).select(key, "rn", value)
 
-    A list longer than `part_size` comes in numbered parts, so that no row grows
-    with the hottest key; the parts together hold every member.
-    """
+
+def group_parts(df: DataFrame, key: str, order: str, value: str, part_size: int) -> DataFrame:
+    """The members as lists in numbered parts of `part_size`; the parts together hold every member."""
     ranked = rank_in_group(df, [key], order)
     part = F.expr(f"(rn - 1) div {int(part_size)}")
     return ranked.groupBy(key, part.alias("part")).agg(

@@ -166,20 +166,50 @@ def residual2(m, f=FIX, t=MOV):
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def ransac(matches: DataFrame, threshold: float, hypotheses: int = 64, keys=("ds",)) -> DataFrame:
+def trials_needed(share: float, confidence: float, size: int = 4) -> float:
+    """Samples of `size` matches until one is free of outliers with the given confidence."""
+    return 1.0 if share >= 1 else math.log(1 - confidence) / math.log1p(-share**size)
+
+
+def ransac(matches: DataFrame, threshold: float, confidence: float = 0.999, least_share: float = 0.1, batch: int = 64, keys=("ds",)) -> DataFrame:
     """Consensus affine per key: keys, m, inliers, hypothesis.
 
-    A hypothesis splits the matches of a key into four by hash and takes the one with
-    the smallest hash of each part, an aggregate that combines map-side.  Inliers are
-    counted per batch and summed.  The winner is refitted to its inliers.
+    A hypothesis splits the matches of a key into four by hash and takes the one with the smallest hash of each part, an
+    aggregate that combines map-side.  Its cost is the sum of squared distances, each at most threshold squared, so of
+    models with equal inliers the closer one wins.  Trials double until every key has enough for its best inlier share (and
+    `confidence`); a consensus of less than `least_share` of the matches is not searched for.  The winner is refitted to
+    the matches that agree with it as closely as the median one does.
     """
     keys, point = list(keys), [*FIX, *MOV]
-    trial = matches.select(*keys, *point).withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys).schema)
+    totals = matches.groupBy(*keys).agg(F.count("*").alias("total"))
+    best, done = None, 0
+    while True:
+        size = batch if not done else done
+        found = cut(_trials(matches, threshold, done, done + size, keys, key_schema))
+        best = found if best is None else best.unionByName(found)
+        rank = F.struct("cost", "hyp")
+        best = cut(best.groupBy(*keys).agg(F.min_by(F.struct("m", "n", "cost", "hyp"), rank).alias("b")).select(*keys, "b.*"))
+        done += size
+        share = best.join(totals, keys).agg(F.min(F.greatest(F.col("n") / F.col("total"), F.lit(float(least_share))))).first()[0]
+        if share is None or done >= trials_needed(share, confidence):
+            break
+    best = best.select(*keys, F.col("m").alias("_m"), F.col("n").alias("inliers"), F.col("hyp").alias("hypothesis"))
+    close = matches.join(best, keys).withColumn("_d", F.sqrt(residual2(F.col("_m")))).where(F.col("_d") <= float(threshold))
+    spread = close.groupBy(*keys).agg(F.percentile_approx("_d", 0.5).alias("_mid"))
+    near = close.join(spread, keys).where(F.col("_d") <= F.greatest(F.col("_mid") * 3 * 1.4826, F.lit(0.1 * threshold)))
+    refit = fit_affine(near, keys)
+    return best.join(refit, keys, "left").select(*keys, F.coalesce("m", "_m").alias("m"), "inliers", "hypothesis")
+
+
+def _trials(matches, threshold: float, start: int, stop: int, keys, key_schema: str) -> DataFrame:
+    """(keys, hyp, m, n, cost) of hypotheses start..stop - 1."""
+    point = [*FIX, *MOV]
+    trial = matches.select(*keys, *point).withColumn("hyp", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
     trial = trial.withColumn("slot", F.pmod(F.xxhash64(*point, "hyp"), F.lit(4)))
     pick = F.min_by(F.array(*[F.col(c).cast("double") for c in point]), F.xxhash64(*point, "hyp", F.lit(17)))
     quads = trial.groupBy(*keys, "hyp", "slot").agg(pick.alias("p"))
     quads = quads.groupBy(*keys, "hyp").agg(F.flatten(F.collect_list("p")).alias("p")).where(F.size("p") == 24)
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys).schema)
 
     def solve(batches):
         for pdf in batches:
@@ -190,30 +220,28 @@ def ransac(matches: DataFrame, threshold: float, hypotheses: int = 64, keys=("ds
             yield pdf.loc[ok, [*keys, "hyp"]].assign(m=list(m))
 
     hyps = cut(quads.mapInPandas(solve, f"{key_schema}, hyp int, m array<double>"))
-    packed = hyps.groupBy(*keys).agg(F.collect_list("hyp").alias("hyps"), F.flatten(F.collect_list("m")).alias("ms"))
+    part = (F.col("hyp") - start) % max(1, (stop - start) // 256)  # a row holds 256 models at most
+    packed = hyps.groupBy(*keys, part.alias("_part")).agg(F.collect_list("hyp").alias("hyps"), F.flatten(F.collect_list("m")).alias("ms"))
 
     def count(batches):
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                hyp = np.asarray(part["hyps"].iloc[0])
-                m = np.asarray(part["ms"].iloc[0]).reshape(-1, 3, 4)
-                f = part[list(FIX)].to_numpy(float)
-                moved = np.einsum("hij,nj->hni", m[:, :, :3], f) + m[:, None, :, 3]
-                d2 = ((moved - part[list(MOV)].to_numpy(float)[None]) ** 2).sum(axis=2)
-                rows = pd.DataFrame({"hyp": hyp, "n": (d2 <= threshold**2).sum(axis=1)})
+            for _, rows in pdf.groupby([*keys, "_part"], sort=False):
+                hyp = np.asarray(rows["hyps"].iloc[0])
+                m = np.asarray(rows["ms"].iloc[0]).reshape(-1, 3, 4)
+                n, cost = np.zeros(len(m), np.int64), np.zeros(len(m))
+                for at in range(0, len(rows), 2048):
+                    f, t = (rows[list(c)].to_numpy(float)[at:at + 2048] for c in (FIX, MOV))
+                    d2 = ((np.einsum("hij,nj->hni", m[:, :, :3], f) + m[:, None, :, 3] - t[None]) ** 2).sum(axis=2)
+                    n += (d2 <= threshold**2).sum(axis=1)
+                    cost += np.minimum(d2, threshold**2).sum(axis=1)
+                out = pd.DataFrame({"hyp": hyp, "n": n, "cost": cost})
                 for i, k in enumerate(keys):
-                    rows.insert(i, k, key[i])
-                yield rows
+                    out.insert(i, k, rows[k].iloc[0])
+                yield out
 
-    tried = matches.select(*keys, *point).join(packed, keys).mapInPandas(count, f"{key_schema}, hyp int, n bigint")
-    score = tried.groupBy(*keys, "hyp").agg(F.sum("n").alias("inliers")).join(hyps, [*keys, "hyp"])
-    best = score.groupBy(*keys).agg(
-        F.max_by(F.struct("m", "inliers", "hyp"), F.struct("inliers", (-F.col("hyp")).alias("h"))).alias("b"))
-    best = cut(best.select(*keys, F.col("b.m").alias("_m"), "b.inliers", F.col("b.hyp").alias("hypothesis")))
-    close = matches.join(best, keys).where(residual2(F.col("_m")) <= float(threshold) ** 2)
-    refit = fit_affine(close, keys)
-    out = best.join(refit, keys, "left")
-    return out.select(*keys, F.coalesce("m", "_m").alias("m"), "inliers", "hypothesis")
+    tried = matches.select(*keys, *point).join(packed, keys).mapInPandas(count, f"{key_schema}, hyp int, n bigint, cost double")
+    score = tried.groupBy(*keys, "hyp").agg(F.sum("n").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+    return score.join(hyps, [*keys, "hyp"])
 
 
 def centres(fix: DataFrame, mov: DataFrame, keys=("ds",)) -> DataFrame:
@@ -227,13 +255,35 @@ def centres(fix: DataFrame, mov: DataFrame, keys=("ds",)) -> DataFrame:
     return both.select(*keys, A.translation(*[F.col(f"m{a}") - F.col(f"f{a}") for a in "zyx"]).alias("m"))
 
 
-def _evaluate(fix, mov, params, dims, bsize, keys):
-    """Moment sums of one Gauss-Newton step at the affine `tried` of each key."""
+def gradients(fix: DataFrame, keys=("ds",)) -> DataFrame:
+    """`fix` with central differences gz, gy, gx of its values, across block faces (half of it at the volume's border)."""
+    halo = [1, 1, 1]
+
+    def kernel(arrays, row):
+        out = []
+        for i in range(3):
+            ahead, behind = [[slice(1, -1)] * 3 for _ in range(2)]
+            ahead[i], behind[i] = slice(2, None), slice(None, -2)
+            out.append((arrays[0][tuple(ahead)] - arrays[0][tuple(behind)]) / 2.0)
+        return out
+
+    on = [*keys, *B.BLK]
+    grads = B.map_blocks(B.exchange(fix, halo, ("v",), keys), kernel, halo, ("v",), [(f"g{c}", "double") for c in "zyx"], keys)
+    return fix.join(grads.select(*on, "gz", "gy", "gx"), on)
+
+
+def _evaluate(fix, mov, params, dims, bsize, keys, margin):
+    """Moment sums of one Gauss-Newton step at the affine `tried` of each key.
+
+    Every step compares the same voxels: those at least `margin` inside the fixed volume and, by the first affine,
+    inside the moving one.
+    One of them that is mapped outside now counts as the mean, so losing overlap never looks like a better fit.
+    """
     target = fix.select(*keys, *B.BLK, "dims", "bsize").join(params.select(*keys, "tried"), list(keys))
     moved = warp(target, mov, dims, bsize, keys, ("v",), affine="tried").withColumnRenamed("v", "w")
     on = [*keys, *B.BLK]
     weight = ["mask"] if "mask" in fix.columns else []
-    both = moved.join(fix.select(*on, "v", *weight), on).join(params.select(*keys, "tried"), list(keys))
+    both = moved.join(fix.select(*on, "v", "gz", "gy", "gx", *weight), on).join(params.select(*keys, "tried", "first"), list(keys))
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fix.select(*keys).schema)
     mid = [(d - 1) / 2.0 for d in dims]
 
@@ -241,18 +291,22 @@ def _evaluate(fix, mov, params, dims, bsize, keys):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                shape = B.core_shape(row)
-                w, v = np.asarray(row.w).reshape(shape), np.asarray(row.v).reshape(shape)
-                use = np.asarray(row.mask, dtype=float).ravel() if weight else np.ones(w.size)
+                w, v = np.asarray(row.w).ravel(), np.asarray(row.v).ravel()
+                count = np.asarray(row.mask, dtype=float).ravel() if weight else np.ones(w.size)
                 at, a = [p.ravel() for p in block_positions(row)], np.asarray(row.tried).reshape(3, 4)
-                for i, d in enumerate(dims):  # voxels that map out of the moving volume say nothing
-                    q = a[i, 0] * at[0] + a[i, 1] * at[1] + a[i, 2] * at[2] + a[i, 3]
-                    use = use * ((q >= 0) & (q <= d - 1))
-                g = [np.gradient(w, axis=i).ravel() if shape[i] > 1 else np.zeros(w.size) for i in range(3)]
+                first = np.asarray(row.first).reshape(3, 4)
+                inside = np.ones(w.size, dtype=bool)
+                for i, d in enumerate(dims):
+                    q, q0 = (b[i, 0] * at[0] + b[i, 1] * at[1] + b[i, 2] * at[2] + b[i, 3] for b in (a, first))
+                    inside &= (q >= 0) & (q <= d - 1)
+                    for near in (q0, at[i]):
+                        count = count * ((near >= margin[i]) & (near <= d - 1 - margin[i]))
                 x = [p - c for p, c in zip(at, mid)] + [np.ones(w.size)]
-                j = np.stack([gi * xj for gi in g for xj in x])
-                r = (v - w).ravel()
-                terms = np.concatenate([[(use * r * r).sum(), use.sum()], (j * use) @ r, ((j * use) @ j.T).ravel()])
+                # the last two parameters are a gain and an offset of the moving values
+                j = np.stack([*(np.asarray(g).ravel() * xj for g in (row.gz, row.gy, row.gx) for xj in x), w, np.ones(w.size)])
+                r = v - np.where(inside, w, 0.0)
+                use = count * inside
+                terms = np.concatenate([[(count * r * r).sum(), count.sum()], (j * use) @ r, ((j * use) @ j.T).ravel()])
                 out.append({**{k: getattr(row, k) for k in keys}, "s": terms})
             yield pd.DataFrame(out, columns=[*keys, "s"])
 
@@ -261,50 +315,62 @@ def _evaluate(fix, mov, params, dims, bsize, keys):
     return total.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda e: e["t"]).alias("s"))
 
 
-def refine_affine(fix: DataFrame, mov: DataFrame, init: DataFrame, dims, bsize, iterations: int = 10,
-                  learning_rate: float = 1.0, min_step: float = 0.0, keys=("ds",)) -> DataFrame:
+def refine_affine(fix: DataFrame, mov: DataFrame, init: DataFrame, dims, bsize, iterations: int = 100,
+                  learning_rate: float = 1.0, min_step: float = 1e-3, keys=("ds",), margin=(1, 1, 1)) -> DataFrame:
     """Intensity-based refinement of the affine of each key: keys, m, first_error, error.
 
-    Each iteration is one warp and one aggregate over all keys.  A step that does not
-    lower the mean squared difference is halved and tried again, so the error never
-    grows.  State is one small row per key, checkpointed per iteration.  Voxels outside
-    the optional `mask` column of `fix`, or outside the moving volume, do not count.
+    Damped Gauss-Newton with a gain and an offset of the moving values: each iteration is one warp and one aggregate over all keys.  The Jacobian is that of the fixed
+    volume, with differences across block faces, made once.  A step that does not lower the error is taken back and damped
+    more, so the error never grows.  State is one small row per key, checkpointed per iteration; it ends after `iterations`
+    or when no key moves a voxel by `min_step`.  Values are taken against the fixed volume's mean (over the optional `mask`
+    column of `fix`, whose other voxels do not count).  `margin`: voxels from either volume's border that are not compared; it should cover what the affine may still move and what smoothing at the border has changed.
     """
     keys = list(keys)
-    fix, mov = cut(fix), cut(mov)
-    state = init.select(*keys, F.col("m").alias("tried"), F.col("m").alias("best"), F.lit(None).cast("double").alias("error"),
-                        F.lit(None).cast("double").alias("first_error"), F.lit(None).cast("array<double>").alias("step"),
-                        F.lit(float(learning_rate)).alias("rate"))
+    count = F.aggregate("mask", F.lit(0.0), lambda n, x: n + x.cast("double")) if "mask" in fix.columns else F.size("v").cast("double")
+    value = F.zip_with("v", "mask", lambda x, y: x * y.cast("double")) if "mask" in fix.columns else F.col("v")
+    mean = fix.groupBy(*keys).agg((F.sum(F.aggregate(value, F.lit(0.0), lambda n, x: n + x)) / F.sum(count)).alias("_mean"))
+    centred = [side.join(mean, keys).withColumn("v", F.transform("v", lambda x: x - F.col("_mean"))).drop("_mean") for side in (fix, mov)]
+    fix, mov = cut(gradients(cut(centred[0]), keys)), cut(centred[1])
+    state = init.select(*keys, F.col("m").alias("tried"), F.col("m").alias("best"), F.col("m").alias("first"), F.lit(None).cast("double").alias("error"),
+                        F.lit(None).cast("double").alias("first_error"), F.lit(None).cast("array<double>").alias("s"),
+                        F.lit(1e-3).alias("damping"), F.lit(None).cast("double").alias("moved"))
     state = cut(state)
     schema = state.schema
     mid = np.array([(d - 1) / 2.0 for d in dims])
+    reach = np.concatenate([np.maximum(mid, 1.0), [1.0]])
 
     def update(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                s = np.asarray(row.pop("s"))
-                now = s[0] / max(s[1], 1.0)
-                if pd.isna(row["error"]) or now < row["error"]:
+                s = np.asarray(row.pop("now"))
+                right, h = s[2:16], s[16:].reshape(14, 14)
+                # what is left after the best gain and offset
+                fit = right[12:] @ np.linalg.lstsq(h[12:, 12:], right[12:], rcond=None)[0]
+                error = max(s[0] - fit, 0.0) / max(s[1], 1.0)
+                if pd.isna(row["error"]) or error < row["error"]:
                     if pd.isna(row["first_error"]):
-                        row["first_error"] = now
-                    h = s[14:].reshape(12, 12)
-                    h = h + np.eye(12) * (1e-6 * np.trace(h) / 12 + 1e-12)
-                    row.update(error=now, best=row["tried"], step=np.linalg.solve(h, s[2:14]))
+                        row["first_error"] = error
+                    row.update(error=error, best=row["tried"], s=s, damping=max(row["damping"] / 4, 1e-6))
                 else:
-                    row["rate"] *= 0.5
-                d = row["rate"] * np.asarray(row["step"]).reshape(3, 4)
-                if np.abs(d).max() > min_step:
-                    # best o (centre + (I + d) (x - centre))
-                    inner = np.eye(4)
-                    inner[:3] += d
-                    inner[:3, 3] -= d[:, :3] @ mid
-                    outer = np.vstack([np.asarray(row["best"]).reshape(3, 4), [0, 0, 0, 1]])
-                    row["tried"] = (outer @ inner)[:3].ravel()
+                    row["damping"] *= 8
+                s = np.asarray(row["s"])
+                h = s[16:].reshape(14, 14)
+                scale = np.diag(h) + 1e-9 * np.trace(h) + 1e-12
+                d = learning_rate * np.linalg.solve(h + row["damping"] * np.diag(scale), s[2:16])[:12].reshape(3, 4)
+                row["moved"] = float((np.abs(d) * reach).sum(axis=1).max())
+                # best o (centre + (I + d) (x - centre))
+                inner = np.eye(4)
+                inner[:3] += d
+                inner[:3, 3] -= d[:, :3] @ mid
+                outer = np.vstack([np.asarray(row["best"]).reshape(3, 4), [0, 0, 0, 1]])
+                row["tried"] = (outer @ inner)[:3].ravel()
                 out.append(row)
             yield pd.DataFrame(out, columns=schema.names)
 
     for _ in range(iterations):
-        sums = _evaluate(fix, mov, state, dims, bsize, keys)
+        sums = _evaluate(fix, mov, state, dims, bsize, keys, margin).withColumnRenamed("s", "now")
         state = cut(state.join(sums, keys).mapInPandas(update, schema))
+        if not state.where(F.col("moved") > float(min_step)).head(1):
+            break
     return state.select(*keys, F.col("best").alias("m"), "first_error", "error")

@@ -86,11 +86,12 @@ def apply_mask(vox: DataFrame, mask: DataFrame, keys=("ds",), scale=(1, 1, 1)) -
 
 
 def apply_mask_blocks(blocks: DataFrame, mask_blocks: DataFrame, keys=("ds",), col="v", mask_col="m") -> DataFrame:
-    """Block form: voxels outside the mask become 0; joins block rows, not voxels."""
+    """Block form: voxels outside the mask become 0, blocks without a mask block wholly; joins block rows, not voxels."""
     on = [*keys, "blk_z", "blk_y", "blk_x"]
-    df = blocks.join(mask_blocks.select(*on, mask_col), on)
-    zeroed = F.zip_with(col, mask_col, lambda v, m: F.when(m != 0, v).otherwise(F.lit(0).cast("double")))
-    return df.withColumn(col, zeroed).drop(mask_col)
+    df = blocks.join(mask_blocks.select(*on, mask_col), on, "left")
+    zero = F.lit(0).cast(blocks.schema[col].dataType.elementType)
+    zeroed = F.zip_with(col, mask_col, lambda v, m: F.when(m != 0, v).otherwise(zero))
+    return df.withColumn(col, F.coalesce(zeroed, F.transform(col, lambda v: zero))).drop(mask_col)
 
 
 def skip_factors(spacing, working: float) -> list[int]:

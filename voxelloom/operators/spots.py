@@ -11,10 +11,11 @@ from voxelloom.operators import filters as N
 from voxelloom.session import cut
 
 
-def sigma_range(blob_sizes, num_sigma_max: int = 7) -> list[float]:
-    """Scales for blob diameters smallest..largest, at most `num_sigma_max` of them."""
+def sigma_range(blob_sizes, num_sigma_max: int | None = None) -> list[float]:
+    """Scales for blob diameters smallest..largest, one a voxel of sigma; at most `num_sigma_max` where given."""
     lo, hi = [s / (2.0 * np.sqrt(3.0)) for s in blob_sizes]
-    count = int(min(num_sigma_max, max(1, round(hi - lo) + 1)))
+    count = max(1, round(hi - lo) + 1)
+    count = count if num_sigma_max is None else min(int(num_sigma_max), count)
     return [float(s) for s in np.linspace(lo, hi, count)]
 
 
@@ -115,12 +116,14 @@ def detect_radial(blocks: DataFrame, threshold: float, dog=None, keys=("ds",)) -
                             "z double, y double, x double, cz bigint, cy bigint, cx bigint, v double", halo, keys=keys)
 
 
-def strongest(spots: DataFrame, n: int, keys=("ds",), value="v", parts: int = 32) -> DataFrame:
-    """The n strongest spots per key, ties by position.
+def strongest(spots: DataFrame, n: int | None, keys=("ds",), value="v", slice_rows: int = 1 << 17) -> DataFrame:
+    """The n strongest spots per key with their rank, ties by position; None keeps all of them, without a rank.
 
-    First the best n of each of `parts` salted slices, then the best n of those: no
-    task sorts more than a slice of the largest key.
+    First the best n of each salted slice of about `slice_rows` spots of the largest key, then the best n of those.
     """
+    if n is None:
+        return spots.withColumn("rank", F.lit(None).cast("int"))
+    parts = max(1, -(-(spots.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) // max(slice_rows, 2 * int(n))))
     order = [F.desc(value), "z", "y", "x"]
     salt = F.pmod(F.xxhash64("z", "y", "x"), F.lit(parts))
     first = spots.withColumn("_s", salt).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order)))

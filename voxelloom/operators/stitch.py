@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators import stats as T
-from voxelloom.session import cut
 
 
 def overlap_pairs(tiles: DataFrame, cell, keys=("ds",)) -> DataFrame:
@@ -33,9 +34,12 @@ def overlap_pairs(tiles: DataFrame, cell, keys=("ds",)) -> DataFrame:
 
 
 def lines(vox: DataFrame, keys=("ds",)) -> DataFrame:
-    """Tile voxels as lines along x: keys, tile_id, z, y, line array<double>."""
+    """Tile voxels as lines along x from 0: keys, tile_id, z, y, line array<double>; voxels that are not stored are 0."""
     g = vox.groupBy(*keys, "tile_id", "z", "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col("v").cast("double").alias("v")))).alias("l"))
-    return g.select(*keys, "tile_id", "z", "y", F.col("l.v").alias("line"))
+    last = F.element_at("l", -1)["x"]
+    by_x = F.map_from_entries("l")
+    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")), lambda i: F.coalesce(by_x[i.cast(vox.schema["x"].dataType)], F.lit(0.0)))
+    return g.select(*keys, "tile_id", "z", "y", F.when(F.size("l") == last + 1, F.col("l.v")).otherwise(filled).alias("line"))
 
 
 def shift_scores(pairs: DataFrame, vox: DataFrame, reach: int, keys=("ds",)) -> DataFrame:
@@ -78,28 +82,56 @@ def filter_links(links: DataFrame, min_r: float) -> DataFrame:
     return links.where(F.col("r") >= float(min_r))
 
 
-def place(tiles: DataFrame, links: DataFrame, rounds: int, keys=("ds",), fixed: int = 0) -> DataFrame:
-    """Corrections (dy, dx) per tile by Jacobi rounds of the least-squares system.
-
-    A link says that content of tile a at g lies at g + s in tile b, so the corrected
-    positions differ by -s.  Tile `fixed` does not move; the tables are one row per
-    tile and per link, and every round is checkpointed.
+def solve_places(tile: np.ndarray, a: np.ndarray, b: np.ndarray, shift: np.ndarray, fixed: int, tolerance: float) -> np.ndarray:
+    """Least-squares positions of tiles from links pos[a] - pos[b] = shift, by conjugate gradients over sparse links."""
+    at = {int(t): i for i, t in enumerate(tile)}
+    i, j = (np.array([at[int(t)] for t in side], dtype=np.int64) for side in (a, b))
+    n, free = len(tile), np.where(tile == fixed, 0.0, 1.0)
+    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    out = np.zeros((n, shift.shape[1]))
+    for c in range(shift.shape[1]):
+        def product(p):
+            return free * (degree * p - np.bincount(i, p[j], n) - np.bincount(j, p[i], n))
+
+        x = np.zeros(n)
+        r = free * (np.bincount(i, shift[:, c], n) - np.bincount(j, shift[:, c], n))
+        p, now = r.copy(), float(r @ r)
+        least = now * tolerance**2
+        while now > least:
+            q = product(p)
+            along = float(p @ q)
+            if along <= 0:
+                break
+            x += now / along * p
+            r -= now / along * q
+            last, now = now, float(r @ r)
+            p = r + now / last * p
+        out[:, c] = x
+    return out
+
+
+def place(tiles: DataFrame, links: DataFrame, keys=("ds",), fixed: int = 0, tolerance: float = 1e-10) -> DataFrame:
+    """Corrections (dy, dx) per tile: the least-squares solution of all links.
+
+    A link says that content of tile a at g lies at g + s in tile b, so the corrected positions differ by -s.  Tile `fixed`
+    does not move; tiles that no chain of links joins to it keep a mean correction of 0.  A task solves one dataset from its
+    tile and link rows (a few numbers each, no pixels); links to tiles that are not listed do not count.
     """
-    both = links.select(*keys, F.col("a_tile_id").alias("tile_id"), F.col("b_tile_id").alias("other"), F.col("sy").alias("ey"), F.col("sx").alias("ex"))
-    both = both.unionByName(links.select(
-        *keys, F.col("b_tile_id").alias("tile_id"), F.col("a_tile_id").alias("other"), (-F.col("sy")).alias("ey"), (-F.col("sx")).alias("ex")))
-    both = cut(both)
-    pos = cut(tiles.select(*keys, "tile_id", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")))
-    for _ in range(rounds):
-        known = pos.select(*keys, F.col("tile_id").alias("other"), "dy", "dx")
-        mean = both.join(known, [*keys, "other"]).groupBy(*keys, "tile_id").agg(
-            F.avg(F.col("dy") + F.col("ey")).alias("my"), F.avg(F.col("dx") + F.col("ex")).alias("mx"))
-        free = F.col("tile_id") != fixed
-        pos = cut(pos.join(mean, [*keys, "tile_id"], "left").select(
-            *keys, "tile_id",
-            F.when(free, F.coalesce("my", "dy")).otherwise(F.col("dy")).alias("dy"),
-            F.when(free, F.coalesce("mx", "dx")).otherwise(F.col("dx")).alias("dx")))
-    return pos
+    keys = list(keys)
+    both = links.select(*keys, "a_tile_id", "b_tile_id", F.col("sy").cast("double").alias("sy"), F.col("sx").cast("double").alias("sx"))
+    both = both.join(tiles.select(*keys, F.col("tile_id").alias("a_tile_id")), [*keys, "a_tile_id"], "left_semi")
+    both = both.join(tiles.select(*keys, F.col("tile_id").alias("b_tile_id")), [*keys, "b_tile_id"], "left_semi")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.select(*keys, "tile_id").schema) + ", dy double, dx double"
+
+    def solve(mine: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:
+            return pd.DataFrame(columns=[*keys, "tile_id", "dy", "dx"])
+        tile = np.unique(mine["tile_id"].to_numpy())
+        found = solve_places(tile, *(linked[c].to_numpy() for c in ("a_tile_id", "b_tile_id")), linked[["sy", "sx"]].to_numpy(float), fixed, tolerance)
+        return pd.DataFrame({**{k: mine[k].iloc[0] for k in keys}, "tile_id": tile, "dy": found[:, 0], "dx": found[:, 1]})
+
+    grouped = tiles.select(*keys, "tile_id").groupBy(*keys).cogroup(both.groupBy(*keys))
+    return grouped.applyInPandas(solve, schema)
 
 
 def fuse(vox: DataFrame, tiles: DataFrame, keys=("ds",)) -> DataFrame:

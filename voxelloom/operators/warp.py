@@ -196,8 +196,8 @@ def transform_coords(points: DataFrame, affine: DataFrame | None = None, field:
         moved = A.apply(F.col("_m"), [F.col(a) for a in AXES])
         df = df.withColumns(dict(zip(AXES, moved))).drop("_m")
     if field is not None:
-        at = df.select(*keys, id_col, *[(F.col(a) / float(s)).alias(a) for a, s in zip(AXES, field_spacing)])
-        d = sample_points(at, field, keys, ("dz", "dy", "dx"), id_col, AXES, field_bsize)
-        df = df.join(d, [*keys, id_col])
-        df = df.withColumns({a: F.col(a) + F.col(f"d{a}") for a in AXES}).drop("dz", "dy", "dx")
+        # whole rows travel with the points: ids may repeat, and nothing is joined back
+        at = df.select(*keys, F.struct(*df.columns).alias("_row"), *[(F.col(a) / float(s)).alias(a) for a, s in zip(AXES, field_spacing)])
+        d = sample_points(at, field, keys, ("dz", "dy", "dx"), "_row", AXES, field_bsize)
+        df = d.select(*[(F.col(f"_row.{c}") + F.col(f"d{c}") if c in AXES else F.col(f"_row.{c}")).alias(c) for c in df.columns])
     return df

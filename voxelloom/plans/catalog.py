@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import importlib
-import os
 
 QUERIES, ORACLES = {}, {}
 for _name in ("q_select", "q_manifest", "q_filters", "q_transform", "q_labels", "q_spots", "q_register", "q_stitch", "q_io"):
-    if not os.path.exists(os.path.join(os.path.dirname(__file__), _name + ".py")):
-        continue
     _module = importlib.import_module(f"voxelloom.plans.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

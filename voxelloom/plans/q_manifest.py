@@ -69,12 +69,8 @@ ORACLES["mf_multimap"] = sql(
 )
 QUERIES["mf_filter"] = lambda s, d: X.manifest(s, d).where(F.col("use_mask") & (L.default("fix_subpath").isNotNull()))
 ORACLES["mf_filter"] = sql("SELECT * FROM fx_manifest WHERE use_mask AND fix_subpath <> ''")
-QUERIES["mf_group"] = lambda s, d: M.group_tuple(X.results(s, d), "meta_id", "seq", "path").withColumn(
-    "path", L.join_list("path"))
-ORACLES["mf_group"] = sql(
-    "SELECT meta_id, CAST((rn - 1) // 65536 AS BIGINT) AS part, count(*) AS n, string_agg(path, ',' ORDER BY rn) AS path"
-    " FROM (SELECT *, row_number() OVER (PARTITION BY meta_id ORDER BY seq) AS rn FROM fx_results) GROUP BY 1, 2"
-)
+QUERIES["mf_group"] = lambda s, d: M.group_tuple(X.results(s, d), "meta_id", "seq", "path")
+ORACLES["mf_group"] = sql("SELECT meta_id, row_number() OVER (PARTITION BY meta_id ORDER BY seq) AS rn, path FROM fx_results")
 QUERIES["mf_group_size"] = lambda s, d: M.group_fixed(X.results(s, d), "meta_id", "seq", "path", 4).withColumn(
     "path", L.join_list("path"))
 ORACLES["mf_group_size"] = sql(

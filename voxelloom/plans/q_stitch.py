@@ -54,27 +54,16 @@ def _links(spark, sf):
     return p.select("ds", "a_tile_id", "b_tile_id", (F.col("by") - F.col("ay")).alias("sy"), (F.col("bx") - F.col("ax")).alias("sx"))
 
 
-_ROUNDS = 4
-
-
 def tile_solve(spark, sf):
-    p = S.place(_tiles(spark, sf), _links(spark, sf), _ROUNDS)
-    return p.select("ds", "tile_id", F.round("dy", 12).alias("dy"), F.round("dx", 12).alias("dx"))
+    """Corrections from consistent links: the stage errors, relative to tile 0."""
+    p = S.place(_tiles(spark, sf), _links(spark, sf))
+    return p.select("ds", "tile_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("dy", "dx")])
 
 
 QUERIES["tile_solve"] = tile_solve
-_J = {"c0": "SELECT ds, tile_id, 0e0 AS dy, 0e0 AS dx FROM fx_tiles"}
-for _i in range(1, _ROUNDS + 1):
-    _J[f"c{_i}"] = (
-        f"SELECT c.ds, c.tile_id, CASE WHEN c.tile_id = 0 THEN 0e0 ELSE coalesce(avg(o.dy + e.ey), c.dy) END AS dy,"
-        f" CASE WHEN c.tile_id = 0 THEN 0e0 ELSE coalesce(avg(o.dx + e.ex), c.dx) END AS dx FROM c{_i-1} c LEFT JOIN e ON e.ds = c.ds"
-        f" AND e.i = c.tile_id LEFT JOIN c{_i-1} o ON o.ds = e.ds AND o.tile_id = e.k GROUP BY c.ds, c.tile_id, c.dy, c.dx")
 ORACLES["tile_solve"] = sql(
-    f"SELECT ds, tile_id, round(dy, 12) AS dy, round(dx, 12) AS dx FROM c{_ROUNDS}", t=_T, p=_P,
-    k="SELECT p.ds, a_tile_id, b_tile_id, b.jy - a.jy AS sy, b.jx - a.jx AS sx FROM p JOIN t a ON a.ds = p.ds AND a.tile_id = a_tile_id"
-      " JOIN t b ON b.ds = p.ds AND b.tile_id = b_tile_id",
-    e="SELECT ds, a_tile_id AS i, b_tile_id AS k, sy AS ey, sx AS ex FROM k UNION ALL SELECT ds, b_tile_id, a_tile_id, -sy, -sx FROM k",
-    **_J)
+    "SELECT t.ds, t.tile_id, (o.jy - t.jy)::DOUBLE + 0e0 AS dy, (o.jx - t.jx)::DOUBLE + 0e0 AS dx FROM fx_tiles t JOIN fx_tiles o"
+    " ON o.ds = t.ds AND o.tile_id = 0")
 QUERIES["fuse_tiles"] = lambda s, d: S.fuse(X.tile_voxels(s, d), _tiles(s, d)).withColumn("v", r6("v"))
 _FW = "least(y + 1, h - y) * least(x + 1, w - x)"
 ORACLES["fuse_tiles"] = sql(

@@ -18,16 +18,16 @@ from voxelloom.operators import stats as T
 from voxelloom.operators import warp as W
 from voxelloom.session import cut
 
-#: Defaults; sections of a phase override the section of the same name.
+#: Defaults; sections of a phase override the section of the same name.  None: all spots; shifts up to the overlap.
 DEFAULTS = {
     "ransac": {
-        "threshold": 30.0, "nspots": 5000, "cc_radius": 1, "match_threshold": 0.6, "max_spot_match_distance": None,
-        "point_matches_threshold": 8, "align_threshold": 2.0, "diagonal_constraint": 0.25,
-        "fix_spots_count_threshold": 8, "mov_spots_count_threshold": 8, "hypotheses": 64, "safeguard_exceptions": True,
+        "threshold": 30.0, "nspots": None, "cc_radius": 20, "match_threshold": 0.6, "max_spot_match_distance": None,
+        "point_matches_threshold": 50, "align_threshold": 2.0, "diagonal_constraint": 0.25,
+        "fix_spots_count_threshold": 100, "mov_spots_count_threshold": 100, "confidence": 0.999, "safeguard_exceptions": True,
     },
-    "affine": {"smooth": 1.0, "iterations": 4, "learning_rate": 1.0, "min_step": 0.0},
+    "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3},
     "global_align": {"steps": ["ransac"]},
-    "local_align": {"steps": ["deform"], "reach": [1, 2, 2], "overlap": [0, 2, 2], "smooth": 0.0, "inverse_iterations": 0},
+    "local_align": {"steps": ["deform"], "reach": None, "overlap": [0, 2, 2], "smooth": 0.0, "inverse_iterations": 0},
 }
 
 
@@ -44,7 +44,7 @@ def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     limit = R.distance_limit(dims, p["max_spot_match_distance"], p["diagonal_constraint"])
     matches = cut(R.match(sides["fix"], sides["mov"], limit, p["match_threshold"]))
     enough = P.enough(matches, p["point_matches_threshold"]).select("ds")
-    found = R.ransac(matches.join(enough, "ds", "left_semi"), p["align_threshold"], p["hypotheses"])
+    found = R.ransac(matches.join(enough, "ds", "left_semi"), p["align_threshold"], p["confidence"])
     if not p["safeguard_exceptions"]:
         lost = current.join(found, "ds", "left_anti").count()
         if lost:
@@ -57,7 +57,8 @@ def affine_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     """Intensity refinement of the current affine on smoothed, standardised volumes."""
     s = [p["smooth"]] * 3
     sides = [T.standardize(cut(N.smooth(side, s))) for side in (fix, mov)]
-    return R.refine_affine(*sides, current, dims, bsize, p["iterations"], p["learning_rate"], p["min_step"]).select("ds", "m")
+    margin = [max(1, min(N.radius(p["smooth"]), d // 8)) for d in dims]  # smoothing repeats border voxels
+    return R.refine_affine(*sides, current, dims, bsize, p["iterations"], p["learning_rate"], p["min_step"], margin=margin).select("ds", "m")
 
 
 STEPS: dict[str, Callable] = {"ransac": ransac_step, "affine": affine_step}

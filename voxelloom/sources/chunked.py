@@ -1,6 +1,6 @@
 """Chunked array containers: N5 and Zarr v2 datasets <-> block tables.
 
-One chunk file is one block.  Readers list chunk files with `binaryFile` and decode
+One chunk file is one block.  Readers derive the chunk paths from the attributes and open
 them in the tasks; writers store each block from the task that holds it.  Codecs:
 raw, gzip, zlib.  Absent chunks are blocks of zeros (`densify` adds them).
 """
@@ -14,11 +14,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.operators import blocks as B
-from voxelloom.sources.files import read_file, write_file
+from voxelloom.sources.files import open_fs, qualified, read_file, read_optional, remove_folder, write_file
 
 #: Sample types of both formats.
 TYPES = ("uint8", "uint16", "uint32", "uint64", "int8", "int16", "int32", "int64", "float32", "float64")
@@ -90,13 +91,13 @@ def read_attributes(folder: str, fmt: str) -> dict:
 def write(blocks: DataFrame, root: str, folder, fmt: str = "n5", dtype: str = "uint16", codec: str = "gzip", cols=("v",), spacing=None) -> int:
     """Write a block table; returns the number of chunk files.
 
-    `folder`: column expression with the path of a block's dataset below `root`
+    A dataset that was there before is removed with all its chunks.  `folder`: column expression with the path of a block's dataset below `root`
     (say `<container>/<subpath>`), so one job writes many datasets.  More than one
     column makes a vector dataset with the component as the first (slowest) axis.
     """
     if dtype not in TYPES or codec not in ("raw", "gzip", "zlib"):
         raise ValueError(f"unsupported sample type {dtype} or codec {codec}")
-    root, vector = root.rstrip("/"), len(cols) > 1
+    root, vector = qualified(blocks.sparkSession, root).rstrip("/"), len(cols) > 1
     df = blocks.select(folder.alias("folder"), *B.BLK, "dims", "bsize", *cols)
 
     def put(batches):
@@ -118,6 +119,7 @@ def write(blocks: DataFrame, root: str, folder, fmt: str = "n5", dtype: str = "u
     def put_attributes(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
+                remove_folder(f"{root}/{row.folder}")
                 dims, chunk = list(row.dims), list(row.bsize)
                 if vector:
                     dims, chunk = [len(cols), *dims], [len(cols), *chunk]
@@ -128,46 +130,66 @@ def write(blocks: DataFrame, root: str, folder, fmt: str = "n5", dtype: str = "u
             yield pd.DataFrame({"n": [0]})
 
     heads = df.select("folder", "dims", "bsize").distinct().mapInPandas(put_attributes, "n bigint")
-    done = df.mapInPandas(put, "n bigint").unionByName(heads).agg(F.sum("n")).first()[0]
+    heads.agg(F.sum("n")).collect()  # first the old datasets go, then chunks come
+    done = df.mapInPandas(put, "n bigint").agg(F.sum("n")).first()[0]
     return int(done or 0)
 
 
+def datasets(root: str, fmt: str = "n5", subpath: str | None = None) -> list[str]:
+    """Datasets below `root` (relative paths), by walking down to the first folder that is one; chunks are never listed."""
+    fs, base = open_fs(root)
+    mark, found, todo = "attributes.json" if fmt == "n5" else ".zarray", [], [base.rstrip("/")]
+    while todo:
+        folder = todo.pop()
+        entries = fs.get_file_info(pafs.FileSelector(folder))
+        names = {e.base_name for e in entries}
+        if mark in names and (fmt != "n5" or b'"dimensions"' in fs.open_input_file(f"{folder}/{mark}").read()):
+            found.append(folder[len(base.rstrip("/")):].strip("/"))
+        else:
+            todo += [e.path for e in entries if e.type == pafs.FileType.Directory]
+    tail = "/" + subpath.strip("/") if subpath else ""
+    return sorted(f for f in found if not tail or ("/" + f).endswith(tail))
+
+
 def read(spark: SparkSession, root: str, fmt: str = "n5", subpath: str | None = None, cols=("v",)) -> DataFrame:
-    """All datasets below `root` (or those whose path ends in `subpath`) as blocks:
-    folder, blk_z, blk_y, blk_x, dims, bsize, <cols>.  Only matching chunks are opened."""
-    root, vector = root.rstrip("/"), len(cols) > 1
-    rank = 4 if vector else 3
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = "/" + r"/".join([r"\d+"] * rank) if fmt == "n5" else "/" + r"[./]".join([r"\d+"] * rank)
-    sub = rf"/\Q{subpath.strip('/')}\E" if subpath else ""
-    files = files.where(F.col("path").rlike(f"{sub}{tail}$")).select("path", "content")
+    """All datasets below `root` (or those whose path ends in `subpath`) as blocks: folder, blk_z, blk_y, blk_x, dims, bsize, <cols>.
 
-    def decode(batches):
-        import re
+    Chunk paths follow from the attributes and are opened by the tasks, so only chunks of these datasets are touched;
+    chunks that do not exist are left out (see `densify`).
+    """
+    root, vector = qualified(spark, root).rstrip("/"), len(cols) > 1
+    rows = []
+    for name in datasets(root, fmt, subpath):
+        a = read_attributes(f"{root}/{name}".rstrip("/"), fmt)
+        if len(a["dims"]) != 3 + vector:
+            raise ValueError(f"{name} has {len(a['dims'])} axes, not {3 + vector}")
+        grid = [-(-d // c) for d, c in zip(a["dims"], a["chunk"])][-3:]
+        rows.append((name, [int(d) for d in a["dims"]], [int(c) for c in a["chunk"]], grid, a["dtype"], a["codec"], a["sep"]))
+    known = spark.createDataFrame(rows, "folder string, full array<bigint>, chunk array<bigint>, grid array<bigint>, dtype string, codec string, sep string")
+    count = F.col("grid")[0] * F.col("grid")[1] * F.col("grid")[2]
+    chunks = known.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))).repartition("folder", "at")
 
-        seen: dict[str, dict] = {}
-        pattern = re.compile(r"^(.*?)" + tail.replace(r"\d+", r"(\d+)") + "$")
-        base = root.split(":", 1)[-1].lstrip("/")
+    def decode(batches):
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                m = pattern.match(path)
-                folder, at = m.group(1), [int(v) for v in m.groups()[1:]]
-                if folder not in seen:
-                    seen[folder] = read_attributes(folder, fmt)
-                a = seen[folder]
+            out = []
+            for r in pdf.itertuples(index=False):
+                at = [int(i) for i in np.unravel_index(r.at, [int(g) for g in r.grid])]
+                place = [0] * vector + at
+                name = "/".join(map(str, place[::-1])) if fmt == "n5" else r.sep.join(map(str, place))
+                content = read_optional(f"{root}/{r.folder}/{name}")
+                if content is None:
+                    continue
                 if fmt == "n5":
-                    at, block = at[::-1], decode_n5(content, a["dtype"], a["codec"])
+                    block = decode_n5(content, r.dtype, r.codec)
                 else:
-                    block = np.frombuffer(_unpack(content, a["codec"]), dtype=np.dtype(a["dtype"])).reshape(a["chunk"])
-                    block = block[tuple(slice(0, min(c, d - i * c)) for c, d, i in zip(a["chunk"], a["dims"], at))]
-                short = folder.split(base, 1)[-1].strip("/")
+                    block = np.frombuffer(_unpack(content, r.codec), dtype=np.dtype(r.dtype)).reshape([int(c) for c in r.chunk])
+                    block = block[tuple(slice(0, min(c, d - i * c)) for c, d, i in zip(r.chunk, r.full, place))]
                 parts = [block] if not vector else list(block)
-                rows.append([short, *at[-3:], a["dims"][-3:], a["chunk"][-3:], *[p.astype(float).ravel() for p in parts]])
-            yield pd.DataFrame(rows, columns=["folder", *B.BLK, "dims", "bsize", *cols])
+                out.append([r.folder, *at, r.full[-3:], r.chunk[-3:], *[p.astype(float).ravel() for p in parts]])
+            yield pd.DataFrame(out, columns=["folder", *B.BLK, "dims", "bsize", *cols])
 
     schema = "folder string, blk_z bigint, blk_y bigint, blk_x bigint, dims array<bigint>, bsize array<bigint>"
-    return files.mapInPandas(decode, schema + "".join(f", {c} array<double>" for c in cols))
+    return chunks.mapInPandas(decode, schema + "".join(f", {c} array<double>" for c in cols))
 
 
 def densify(blocks: DataFrame, keys=("folder",), cols=("v",), fill: float = 0.0) -> DataFrame:

@@ -22,6 +22,7 @@ from voxelloom.sources.files import read_range
 
 #: TIFF tag numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, STRIP_AT, STRIP_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 270, 273, 279, 339
+SAMPLES, PREDICTOR, TILE_WIDTH = 277, 317, 322
 
 
 def encode_tiff(pages: list[np.ndarray], deflate: bool = False, description: str = "") -> bytes:
@@ -76,6 +77,11 @@ def tiff_pages(path: str) -> tuple[list[dict], str]:
                 tags[tag] = struct.unpack(f"{order}{count}{code}", value[:sizes[kind] * count])
         if not pages:
             text = tags.get(DESCRIPTION, "")
+        for tag, name in ((SAMPLES, "more than one sample a pixel"), (PREDICTOR, "a predictor")):
+            if tags.get(tag, (1,))[0] != 1:
+                raise ValueError(f"{path}: pages with {name} are not supported")
+        if TILE_WIDTH in tags or STRIP_AT not in tags:
+            raise ValueError(f"{path}: tiled pages are not supported")
         kind = {1: "u", 2: "i", 3: "f"}[tags.get(SAMPLE_FORMAT, (1,))[0]]
         pages.append({"ny": tags[HEIGHT][0], "nx": tags[WIDTH][0], "dtype": f"{order}{kind}{tags[BITS][0] // 8}",
                       "codec": tags.get(COMPRESSION, (1,))[0], "at": list(tags[STRIP_AT]), "bytes": list(tags[STRIP_BYTES])})
@@ -83,26 +89,49 @@ def tiff_pages(path: str) -> tuple[list[dict], str]:
     return pages, text
 
 
-def size_c(description: str) -> int:
-    """Number of channels from an OME or JSON description (1 when not given)."""
-    m = re.search(r'SizeC="(\d+)"', description) or re.search(r'"SizeC":\s*(\d+)', description)
-    return int(m.group(1)) if m else 1
+def size_of(axis: str, description: str) -> int | None:
+    """Extent along an axis from an OME or JSON description."""
+    m = re.search(rf'Size{axis}="(\d+)"', description) or re.search(rf'"Size{axis}":\s*(\d+)', description)
+    return int(m.group(1)) if m else None
+
+
+def places(pages: int, description: str) -> tuple[list[dict], int, int]:
+    """(t, c, z) of every page, number of planes and of times.
+
+    The description gives the axes after x and y, the fastest first; without it planes come first, then channels, then times.
+    """
+    m = re.search(r'DimensionOrder="XY([CZT]{3})"', description)
+    order = m.group(1) if m else "ZCT"
+    size = {a: size_of(a, description) for a in "CZT"}
+    size["C"], size["T"] = size["C"] or 1, size["T"] or 1
+    size["Z"] = size["Z"] or pages // (size["C"] * size["T"])
+    if size["C"] * size["Z"] * size["T"] != pages:
+        raise ValueError(f"{pages} pages do not make {size['C']} channels of {size['Z']} planes at {size['T']} times")
+    out = []
+    for i in range(pages):
+        at = {}
+        for a in order:
+            at[a] = i % size[a]
+            i //= size[a]
+        out.append({"t": at["T"], "c": at["C"], "blk_z": at["Z"]})
+    return out, size["Z"], size["T"]
 
 
 def read_tiff(spark: SparkSession, glob: str) -> DataFrame:
-    """TIFF stacks as blocks of one plane: path, image, c, block id, dims, bsize, v.
+    """TIFF stacks as blocks of one plane: path, image, t, nt, c, block id, dims, bsize, v.
 
-    Pages are ordered channel by channel, each with its planes along z.
+    Pages are placed by the dimension order that the file states.  Layouts that are not read raise an error.
     """
     files = spark.read.format("binaryFile").load(glob).select("path")
-    fields = "path string, c bigint, blk_z bigint, nz bigint, ny bigint, nx bigint, dtype string, codec int, at array<bigint>, bytes array<bigint>"
+    fields = "path string, t bigint, nt bigint, c bigint, blk_z bigint, nz bigint, ny bigint, nx bigint, dtype string, codec int, at array<bigint>, bytes array<bigint>"
 
     def headers(batches):
         for pdf in batches:
             for path in pdf["path"]:
                 pages, text = tiff_pages(path)
-                nz = len(pages) // size_c(text)
-                yield pd.DataFrame([{"path": path, "c": i // nz, "blk_z": i % nz, "nz": nz, **p} for i, p in enumerate(pages)])
+                where, nz, nt = places(len(pages), text)
+                rows = [{"path": path, **w, "nt": nt, "nz": nz, **p} for w, p in zip(where, pages)]
+                yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in fields.split(", ")])
 
     def planes(batches):
         for pdf in batches:
@@ -114,20 +143,21 @@ def read_tiff(spark: SparkSession, glob: str) -> DataFrame:
                 if r.codec not in (1, 8, 32946):
                     raise ValueError(f"{r.path}: unsupported compression {r.codec}")
                 v = np.frombuffer(data, dtype=np.dtype(r.dtype))[: r.ny * r.nx].astype(float)
-                out.append([r.path, r.c, r.blk_z, 0, 0, [r.nz, r.ny, r.nx], [1, r.ny, r.nx], v])
-            yield pd.DataFrame(out, columns=["path", "c", *B.BLK, "dims", "bsize", "v"])
+                out.append([r.path, r.t, r.nt, r.c, r.blk_z, 0, 0, [r.nz, r.ny, r.nx], [1, r.ny, r.nx], v])
+            yield pd.DataFrame(out, columns=["path", "t", "nt", "c", *B.BLK, "dims", "bsize", "v"])
 
-    pages = files.mapInPandas(headers, fields).repartition("path", "c", "blk_z")
-    df = pages.mapInPandas(planes, "path string, c bigint, blk_z bigint, blk_y bigint, blk_x bigint, dims array<bigint>, bsize array<bigint>, v array<double>")
+    pages = files.mapInPandas(headers, fields).repartition("path", "t", "c", "blk_z")
+    df = pages.mapInPandas(planes, "path string, t bigint, nt bigint, c bigint, blk_z bigint, blk_y bigint, blk_x bigint, dims array<bigint>, bsize array<bigint>, v array<double>")
     return df.withColumn("image", L.base_name("path"))
 
 
 def ingest_tiff(spark: SparkSession, glob: str, out_root: str, bsize, dtype: str = "uint16", fmt: str = "zarr", subpath: str = "s0") -> int:
-    """Any number of TIFF files -> one container each, `<out>/<name>.<fmt>/cN/<subpath>`."""
+    """Any number of TIFF files -> one container each, `<out>/<name>.<fmt>/cN/<subpath>` (`cN/tN/<subpath>` with several times)."""
     from voxelloom.sources import chunked
 
-    blocks = B.rechunk(read_tiff(spark, glob), bsize, keys=("image", "c"))
-    folder = F.concat("image", F.lit(f".{fmt}/c"), F.col("c"), F.lit(f"/{subpath}"))
+    blocks = B.rechunk(read_tiff(spark, glob), bsize, keys=("image", "t", "nt", "c"))
+    time = F.when(F.col("nt") > 1, F.concat(F.lit("/t"), F.col("t"))).otherwise("")
+    folder = F.concat("image", F.lit(f".{fmt}/c"), F.col("c"), time, F.lit(f"/{subpath}"))
     return chunked.write(blocks, out_root, folder, fmt, dtype, "zlib" if fmt == "zarr" else "gzip")
 
 
