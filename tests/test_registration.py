@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_properties import array, table
 from voxelloom.operators import blocks as B
 from voxelloom.operators import fields as D
-from voxelloom.plans.registration import register
+from voxelloom.plans.registration import Pair, register
 
 DIMS, BS, SHIFT = (8, 24, 24), (8, 12, 12), (0, 1, 2)
 CONFIG = {"ransac": {"cc_radius": 1, "point_matches_threshold": 8, "fix_spots_count_threshold": 8, "mov_spots_count_threshold": 8, "threshold": 70.0, "max_spot_match_distance": 4.0, "align_threshold": 0.9}}
@@ -85,3 +85,17 @@ def test_refinement_from_a_near_start(spark):
     assert out["error"] < 0.05 * out["first_error"]
     np.testing.assert_allclose(np.array(out["m"]).reshape(3, 4)[:, 3], 0, atol=0.25)
     assert B.BLK
+
+
+def test_affine_of_a_coarse_pair_serves_a_finer_one(spark):
+    """Anisotropic spacing and two scales: the global affine is physical, the local pair has half the voxel size in plane."""
+    fine = np.random.default_rng(3).integers(0, 100, (8, 48, 48)).astype(float)
+    fine = np.repeat(np.repeat(fine[:, ::2, ::2], 2, 1), 2, 2)
+    moved = np.roll(fine, (0, 2, 4), (0, 1, 2)) * 2 + 1
+    coarse = [table(spark, v[:, ::2, ::2], BS) for v in (fine, moved)]
+    local = Pair(table(spark, fine, (8, 24, 24)), table(spark, moved, (8, 24, 24)), (8, 48, 48), (8, 24, 24), (6.5, 0.5, 0.5), (6.5, 0.5, 0.5))
+    out = register(*coarse, DIMS, BS, "ransac", "", CONFIG, spacing=(6.5, 1.0, 1.0), local=local)
+    m = np.array(out["affine"].first()["m"]).reshape(3, 4)
+    np.testing.assert_allclose(m, np.hstack([np.eye(3), [[0.0], [1.0], [2.0]]]), atol=1e-6)
+    got = array(out["aligned"], (8, 48, 48))
+    np.testing.assert_allclose(got[:, 4:-6, 4:-8], (fine * 2 + 1)[:, 4:-6, 4:-8], atol=1e-6)

@@ -32,6 +32,16 @@ def compose(outer: Column, inner: Column) -> Column:
     return F.array(*out)
 
 
+def physical(m: Column, fix_spacing, mov_spacing) -> Column:
+    """The affine between voxels as one between physical positions of the two images."""
+    return F.array(*[m[4 * i + j] * float(mov_spacing[i] if j == 3 else mov_spacing[i] / fix_spacing[j]) for i in range(3) for j in range(4)])
+
+
+def voxels(m: Column, fix_spacing, mov_spacing) -> Column:
+    """The affine between physical positions as one between voxels of images with these spacings."""
+    return physical(m, [1.0 / s for s in fix_spacing], [1.0 / s for s in mov_spacing])
+
+
 def invert(m: Column) -> Column:
     """Closed-form inverse; NULL when singular."""
     a = [[m[4 * i + j] for j in range(3)] for i in range(3)]

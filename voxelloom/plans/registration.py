@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,26 +80,48 @@ def global_align(fix, mov, dims, bsize, steps: str | None = None, config: dict |
     return current
 
 
-def register(fix, mov, dims, bsize, global_steps=None, local_steps=None, config=None, mask=None, extra=None, init=None) -> dict:
+@dataclass
+class Pair:
+    """Two block tables on grids of one shape, with the physical voxel sizes (z, y, x) of each."""
+
+    fix: DataFrame
+    mov: DataFrame
+    dims: Sequence[int]
+    bsize: Sequence[int]
+    fix_spacing: Sequence[float] = (1.0, 1.0, 1.0)
+    mov_spacing: Sequence[float] = (1.0, 1.0, 1.0)
+
+
+def register(fix, mov, dims, bsize, global_steps=None, local_steps=None, config=None, mask=None, extra=None, init=None,
+             spacing=(1.0, 1.0, 1.0), mov_spacing=None, local: Pair | None = None) -> dict:
     """Both phases: affine, its inverse, field, aligned volumes; '' as steps skips a phase.
 
-    `extra`: further images (block table with `image` and `ds`) to warp with the result.
+    The global phase runs on `fix` and `mov`, the local phase on `local` where given (another scale, say), else on the same
+    pair.  Affines, `init` too, are in physical units: voxels times `spacing` (of the moving volume `mov_spacing`, if it
+    differs).  The field is in voxels of the local pair, and `mask` and `extra` lie on its grid.  `extra`: further images (block
+    table with `image` and `ds`) to warp with the result.
     """
     cfg = deep_merge(DEFAULTS, config)
-    fix, mov = cut(fix), cut(mov)
-    start = init if init is not None else fix.select("ds").distinct().select("ds", A.identity().alias("m"))
-    affine = start if global_steps == "" else global_align(fix, mov, dims, bsize, global_steps, config, start)
+    whole = Pair(cut(fix), cut(mov), dims, bsize, spacing, mov_spacing or spacing)
+    start = init if init is not None else whole.fix.select("ds").distinct().select("ds", A.identity().alias("m"))
+    affine = start
+    if global_steps != "":
+        start = start.select("ds", A.voxels(F.col("m"), whole.fix_spacing, whole.mov_spacing).alias("m"))
+        found = global_align(whole.fix, whole.mov, dims, bsize, global_steps, config, start)
+        affine = cut(found.select("ds", A.physical(F.col("m"), whole.fix_spacing, whole.mov_spacing).alias("m")))
     out = {"affine": affine, "inverse_affine": affine.select("ds", A.invert(F.col("m")).alias("m"))}
-    target = fix.select("ds", *W.B.BLK, "dims", "bsize").join(affine, "ds")
+    near = whole if local is None else replace(local, fix=cut(local.fix), mov=cut(local.mov))
+    grid = affine.select("ds", A.voxels(F.col("m"), near.fix_spacing, near.mov_spacing).alias("m"))
+    target = near.fix.select("ds", *W.B.BLK, "dims", "bsize").join(grid, "ds")
     if local_steps == "":
-        out["aligned"] = W.warp(target, mov, dims, bsize)
+        out["aligned"] = W.warp(target, near.mov, near.dims, near.bsize)
     else:
         p = cfg["local_align"]
-        out.update(LO.align(fix, mov, affine, dims, bsize, p["reach"], p["overlap"], mask, p["smooth"], p["inverse_iterations"]))
-        target = cut(out["field"]).join(affine, "ds")
+        out.update(LO.align(near.fix, near.mov, grid, near.dims, near.bsize, p["reach"], p["overlap"], mask, p["smooth"], p["inverse_iterations"]))
+        target = cut(out["field"]).join(grid, "ds")
         out["field"] = target.drop("m")
     if extra is not None:
         copies = target.join(extra.select("ds", "image").distinct(), "ds")
         field = None if local_steps == "" else D.COMPONENTS
-        out["extra"] = W.warp(copies, extra, dims, bsize, ("ds", "image"), field=field)
+        out["extra"] = W.warp(copies, extra, near.dims, near.bsize, ("ds", "image"), field=field)
     return out
