@@ -39,7 +39,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most `limit` bytes of text; a longer text is a run of its own."""
     _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
     at = 0
