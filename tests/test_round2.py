@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_properties import array, table
 from voxelloom.functions import affine as A
+from voxelloom.operators import labels as L
 from voxelloom.operators import register as R
 from voxelloom.operators import select as S
 from voxelloom.operators import stitch as ST
@@ -140,3 +141,15 @@ def test_consensus_survives_many_outliers(spark):
     out = R.ransac(df, 2.0).first()
     np.testing.assert_allclose(np.array(out.m).reshape(3, 4), np.hstack([np.eye(3), [[3], [-2], [5]]]), atol=1e-6)
     assert out.inliers >= 120
+
+
+@pytest.mark.parametrize("bsize", [(4, 8, 8), (4, 4, 2), (1, 8, 8)])
+def test_masked_labels_do_not_depend_on_the_block_size(spark, bsize):
+    a = np.zeros((4, 8, 8))
+    a[1, 2, :], a[2, 5:, 3] = 1, 1
+    mask = np.ones_like(a)
+    mask[:, :, 4] = 0
+    labels = L.segment(table(spark, a, bsize), "threshold", threshold=0.5)
+    got = array(L.merge(labels, mask=table(spark, mask, bsize).withColumnRenamed("v", "m")), a.shape)
+    want = L.connected((a > 0) & (mask > 0))
+    assert (got == want).all()

@@ -31,14 +31,17 @@ def model(name: str):
     return add
 
 
-def connected(mask: np.ndarray, in_plane: bool = False) -> np.ndarray:
-    """Face-connected components of a block; label = 1 + smallest index of the component."""
+def connected(mask: np.ndarray, in_plane: bool = False, labels: np.ndarray | None = None) -> np.ndarray:
+    """Face-connected components of a block, of voxels with one label where `labels` are given; label = 1 + smallest index
+    of the component."""
     index = np.arange(mask.size).reshape(mask.shape)
     pairs = []
     for ax in (1, 2) if in_plane else (0, 1, 2):
         low = tuple(slice(0, -1) if i == ax else slice(None) for i in range(3))
         high = tuple(slice(1, None) if i == ax else slice(None) for i in range(3))
         both = mask[low] & mask[high]
+        if labels is not None:
+            both &= labels[low] == labels[high]
         pairs.append((index[low][both], index[high][both]))
     a, b = (np.concatenate([p[i] for p in pairs]) for i in range(2))
     root = index.ravel().copy()
@@ -193,12 +196,20 @@ def relabel(labels: DataFrame, changes: DataFrame, keys=("ds",)) -> DataFrame:
 def merge(labels: DataFrame, keys=("ds",), in_plane: bool = False, mask: DataFrame | None = None) -> DataFrame:
     """One label per object across all blocks: the smallest of those that touch.
 
-    With `mask` (block table, column `m`) labels outside it become 0 first.
+    With `mask` (block table, column `m`; a block without one is outside) labels outside it become 0 first, and labels that
+    fall apart by that are split, so the result does not depend on the block size.
     """
     if mask is not None:
         on = [*keys, *B.BLK]
         zeroed = F.zip_with("v", "m", lambda v, m: F.when(m != 0, v).otherwise(F.lit(0).cast("bigint")))
-        labels = labels.join(mask.select(*on, "m"), on).withColumn("v", zeroed).drop("m")
+        zeroed = F.coalesce(zeroed, F.transform("v", lambda v: F.lit(0).cast("bigint")))
+        labels = labels.join(mask.select(*on, "m"), on, "left").withColumn("v", zeroed).drop("m")
+
+        def split(arrays, row):
+            a = arrays[0]
+            return [global_ids(connected(a != 0, in_plane, a), B.core_origin(row), row.dims)]
+
+        labels = B.map_blocks(as_parts(labels, keys), split, (0, 0, 0), ("v",), [("v", "bigint")], keys)
     labels = cut(labels)  # the model's output is used three times
     edges, places = touching(labels, keys, in_plane)
     roots = components(edges, keys).where("label <> root")

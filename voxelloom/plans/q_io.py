@@ -73,16 +73,14 @@ ORACLES["src_ingest"] = sql(_CH)
 
 
 def src_tiff_channels(spark, sf):
-    """Stacks split by channel and cut to blocks: per-block counts and sums."""
+    """Stacks split by channel and cut to blocks: every voxel."""
     planes = I.read_tiff(spark, f"{_tiffs(spark, sf, False)}/*.tif")
     blocks = B.rechunk(planes, BS, keys=("image", "c"))
-    return B.volume_checks(blocks, keys=("image", "c"))
+    return B.unpack(blocks, keys=("image", "c")).select("image", "c", "z", "y", "x", F.col("v").cast("bigint").alias("v"))
 
 
 QUERIES["src_tiff_channels"] = src_tiff_channels
-ORACLES["src_tiff_channels"] = sql(
-    "SELECT concat('d', ds) AS image, c, z // 4 AS blk_z, y // 16 AS blk_y, x // 16 AS blk_x, count(*) AS n,"
-    " CAST(sum(v) AS DOUBLE) AS total FROM ch GROUP BY 1, 2, 3, 4, 5", ch=_CH)
+ORACLES["src_tiff_channels"] = sql("SELECT concat('d', ds) AS image, c, z, y, x, v FROM ch", ch=_CH)
 
 
 def src_mask(spark, sf):
@@ -134,19 +132,22 @@ ORACLES["affine_io"] = sql("SELECT * FROM fx_affine")
 
 
 def sink_blocks(spark, sf):
-    """Pyramid blocks stored by channel and scale; checks from the stored table."""
+    """Pyramid blocks stored by channel and scale; every voxel of scale 0 and the sum of scale 1, from the stored table."""
     vox = X.tczyx(spark, sf).groupBy("ds", "c", "z", "y", "x").agg(F.sum("v").alias("v"))
     blocks = P.full(B.pack(vox, X.DIMS, (8, 16, 16), keys=("ds", "c")), 1, keys=("ds", "c"))
     path = scratch_path(spark, "blocks")
     T.write_blocks(blocks, path)
-    stored = spark.read.parquet(path).where("scale = 0").withColumns({"c": F.col("c").cast("bigint")})
-    return B.volume_checks(stored, keys=("ds", "c"))
+    stored = spark.read.parquet(path).withColumns({"c": F.col("c").cast("bigint")})
+    coarse = B.volume_checks(stored.where("scale = 1"), keys=("ds", "c")).groupBy("ds", "c").agg(F.round(F.sum("total"), 3).alias("total1"))
+    full = B.unpack(stored.where("scale = 0"), keys=("ds", "c")).select("ds", "c", "z", "y", "x", F.col("v").cast("bigint").alias("v"))
+    return full.join(coarse, ["ds", "c"])
 
 
 QUERIES["sink_blocks"] = sink_blocks
 ORACLES["sink_blocks"] = sql(
-    "SELECT ds, c, z // 8 AS blk_z, y // 16 AS blk_y, x // 16 AS blk_x, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM ch"
-    " GROUP BY 1, 2, 3, 4, 5", ch=_CH)
+    "SELECT ch.*, total1 FROM ch JOIN t USING (ds, c)", ch=_CH,
+    l="SELECT ds, c, avg(v) AS a FROM ch GROUP BY ds, c, z // 2, y // 2, x // 2",
+    t="SELECT ds, c, round(sum(a), 3) + 0e0 AS total1 FROM l GROUP BY ds, c")
 
 
 def sink_slot(spark, sf):

@@ -69,21 +69,7 @@ def merge_labels_masked(spark, sf):
 
 _CUT = " AND (y-16)*(y-16)+(x-16)*(x-16) <= 144"
 QUERIES["merge_labels_masked"] = merge_labels_masked
-# A block label keeps its id when the mask cuts its first voxel away, and parts of one
-# block label stay one object: components of the masked voxels, joined by block label.
-ORACLES["merge_labels_masked"] = sql(
-    "SELECT c.ds, c.z, c.y, c.x, m.root AS label FROM c JOIN m ON m.ds = c.ds AND m.a = c.blab",
-    fg=_FG,
-    e0="SELECT a.ds, a.id AS a, b.id AS b FROM fg a CROSS JOIN (VALUES (0,1,0),(0,-1,0),(0,0,1),(0,0,-1),(1,0,0),(-1,0,0))"
-       " o(oz, oy, ox) JOIN fg b ON b.ds = a.ds AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox" + _SAME_BLOCK,
-    r0="SELECT ds, id AS a, id AS b FROM fg UNION SELECT r0.ds, r0.a, e0.b FROM r0 JOIN e0 ON e0.ds = r0.ds AND e0.a = r0.b",
-    c="SELECT fg.ds, z, y, x, min(r0.b) AS blab FROM r0 JOIN fg ON r0.ds = fg.ds AND r0.a = fg.id"
-      " WHERE (y-16)*(y-16)+(x-16)*(x-16) <= 144 GROUP BY 1, 2, 3, 4",
-    e1="SELECT DISTINCT a.ds, a.blab AS a, b.blab AS b FROM c a CROSS JOIN (VALUES (0,1,0),(0,-1,0),(0,0,1),(0,0,-1),"
-       "(1,0,0),(-1,0,0)) o(oz, oy, ox) JOIN c b ON b.ds = a.ds AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox",
-    r1="SELECT DISTINCT ds, blab AS a, blab AS b FROM c UNION SELECT r1.ds, r1.a, e1.b FROM r1 JOIN e1 ON e1.ds = r1.ds AND e1.a = r1.b",
-    m="SELECT ds, a, min(b) AS root FROM r1 GROUP BY 1, 2",
-)
+ORACLES["merge_labels_masked"] = components_sql("SELECT * FROM lab", fg=_FG + _CUT)
 QUERIES["seg_2d"] = lambda s, d: _labels(L.merge(_segmented(s, d, in_plane=True), in_plane=True))
 ORACLES["seg_2d"] = components_sql("SELECT * FROM lab", planes=True)
 QUERIES["min_size"] = lambda s, d: _labels(L.drop_small(L.merge(_segmented(s, d)), 3))

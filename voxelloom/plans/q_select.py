@@ -58,17 +58,15 @@ ORACLES["axis_map"] = sql("SELECT ds, t, z, c, y, x, v FROM fx_tczyx")
 
 
 def rechunk(spark, sf):
+    """Every voxel with the new block it is in."""
     out = B.rechunk(X.fix_blocks(spark, sf, (4, 8, 8)), (7, 12, 5))
-    size = [F.size("v").cast("bigint").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, b: a + b).alias("total")]
-    return out.select("ds", *B.BLK, *size, F.element_at("v", 1).alias("first_v"), F.element_at("v", -1).alias("last_v"))
+    kept = out.select("*", *[F.col(b).alias(f"in_{b}") for b in B.BLK])
+    vox = B.unpack(kept, extra=[f"in_{b}" for b in B.BLK])
+    return vox.select("ds", *[F.col(f"in_{b}").alias(b) for b in B.BLK], "z", "y", "x", F.col("v").cast("bigint").alias("v"))
 
 
 QUERIES["rechunk"] = rechunk
-ORACLES["rechunk"] = sql(
-    "SELECT ds, z // 7 AS blk_z, y // 12 AS blk_y, x // 5 AS blk_x, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total,"
-    " CAST(arg_min(v, (z * 32 + y) * 32 + x) AS DOUBLE) AS first_v,"
-    " CAST(arg_max(v, (z * 32 + y) * 32 + x) AS DOUBLE) AS last_v FROM fx_fix GROUP BY 1, 2, 3, 4"
-)
+ORACLES["rechunk"] = sql("SELECT ds, z // 7 AS blk_z, y // 12 AS blk_y, x // 5 AS blk_x, z, y, x, v FROM fx_fix")
 QUERIES["spacing"] = lambda s, d: S.to_index(S.to_physical(X.fix(s, d), (6.5, 1.0, 1.0), (0.0, 0.5, 0.0)), (2.0, 0.5, 2.0))
 ORACLES["spacing"] = sql(
     "SELECT *, CAST(floor(pz / 2e0 + 0.5e0) AS BIGINT) AS iz, CAST(floor(py / 0.5e0 + 0.5e0) AS BIGINT) AS iy,"
