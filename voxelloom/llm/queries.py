@@ -127,5 +127,36 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS low FROM v GROUP BY k),
+g AS (SELECT DISTINCT v.doc_id, v.i + o AS i FROM v JOIN f USING (k), range(13) r(o) WHERE low < v.doc_id),
+h AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY e.i) AS kept FROM e ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN h USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), b AS (SELECT id, w, least(13, len(w)) AS n FROM w WHERE side = 'b' AND len(w) > 0),
+v AS (SELECT DISTINCT id AS item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+d AS (SELECT id, w FROM w WHERE side = 'd'),
+x AS (
+  SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v))
+), o AS (SELECT x.id, x.i, x.n, v.item FROM x JOIN v USING (n, k)),
+h AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM o) GROUP BY id),
+m AS (SELECT id, count(*) AS n_items, string_agg(item::VARCHAR, ',' ORDER BY item::VARCHAR) AS items FROM (SELECT DISTINCT id, item FROM o) GROUP BY id)
+SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (id) LEFT JOIN m USING (id)
+"""
+
 QUERIES = {"op5_license": op5_license, "op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_topk": OP10_SQL}
