@@ -374,3 +374,16 @@ def test_top_k_equals_brute_force(llm):
         want = sorted(((-s, c) for c, s in best.items()))[:5]
         assert sorted(got.get(q, [])) == [(i + 1, c, -s) for i, (s, c) in enumerate(want)], q
     assert topk.top(df.limit(0)).count() == 0
+
+
+def test_columns_with_clashing_names_come_through(llm, docs, sf):
+    """Filters and cleaners keep every column of their input, whatever it is called."""
+    odd = docs.where("doc_id < 8").withColumns({c: F.lit(c) for c in ("n_words", "N_Hit", "kept", "removed", "items", "score", "lang_pred", "fp", "key", "component_id")})
+    items = llm.createDataFrame([(1, "no such words here at all")], "item_id long, text string")
+    model = langid.fit(llm.read.parquet(f"{sf}/documents.parquet"))
+    for out in (substring.clean(odd), decontam.clean(odd, items), simhash.clean(odd), langid.clean(odd, model)):
+        assert out.columns == odd.columns
+        row = out.orderBy("doc_id").first()
+        assert row["n_words"] == "n_words" and row["kept"] == "kept" and row["score"] == "score" and row["N_Hit"] == "N_Hit"
+    clash = llm.createDataFrame([(1, "Released under the MIT License.", "a", "b")], "doc_id long, text string, license string, m string")
+    assert license.found(clash).first().license == "MIT statement"

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from voxelloom.llm import words as W
 from voxelloom.llm.fmindex import FMIndex
+from voxelloom.llm.setup import aside
 
 _SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
 #: Columns that `scan` adds.
@@ -210,7 +211,8 @@ def contaminated(share: int = 20):
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """The documents that are not contaminated, unchanged, with their own columns."""
-    return scan(docs, benchmark, **options).where(~contaminated(share)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    moved, columns = aside(docs, ADDED.names)
+    return scan(moved, benchmark, **options).where(~contaminated(share)).select(*columns.values())
 
 
 def cut(scanned: DataFrame, text: str = "text") -> DataFrame:

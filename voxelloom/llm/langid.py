@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.llm import words as W
+from voxelloom.llm.setup import aside
 
 #: Language codes (ISO 639-1) by family.  A code that is not listed is a family of its own.
 FAMILIES = {
@@ -266,6 +267,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
 def clean(docs: DataFrame, model: Model | None, text: str = "text", min_score: float = 0.0) -> DataFrame:
     """The rows whose language can be told (not `und`, score of `min_score` or more), unchanged."""
-    told = predict(docs.withColumns({"__" + c: F.col(c) for c in ADDED.names if c in docs.columns}), model, text)
-    told = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return told.select(*[F.col(f"`{'__' + c if c in ADDED.names else c}`").alias(c) for c in docs.columns])
+    moved, columns = aside(docs, ADDED.names)
+    told = predict(moved, model, text)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*columns.values())

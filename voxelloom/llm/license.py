@@ -215,6 +215,6 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
 
 def found(docs: DataFrame, **options) -> DataFrame:
-    """One row for each license found, with the columns of `docs` but the text."""
+    """One row for each license found, with the columns of `docs` but the text and those named like a field of a match."""
     text = options.get("text", "text")
-    return scan(docs, **options).drop(text).withColumn("m", F.explode("licenses")).select("*", "m.*").drop("m", "licenses")
+    return scan(docs.drop("m", *MATCH.names), **options).drop(text).withColumn("m", F.explode("licenses")).select("*", "m.*").drop("m", "licenses")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelloom.session import configure, scratch_path
 
@@ -20,6 +21,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """`df` with columns named like one of `names` (in any case) under other names, and how to select every column back."""
+    taken = {n.lower() for n in names}
+    held = {c: f"__own_{c}" if c.lower() in taken else c for c in df.columns}
+    return df.withColumnsRenamed({c: h for c, h in held.items() if c != h}), {c: F.col(f"`{h}`").alias(c) for c, h in held.items()}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: later reads survive any lost executor."""
     path = scratch_path(df.sparkSession, name)

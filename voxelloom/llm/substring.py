@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelloom.llm import words as W
+from voxelloom.llm.setup import aside
 
 #: Cells of a sketch segment.
 SEGMENT = 1 << 22
@@ -302,7 +303,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 
 def clean(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The same rows and columns; texts with repeated words lose them (and keep one space between words)."""
-    done = dedup(docs, text=text, **options)
+    moved, columns = aside(docs, ADDED.names)
     new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"`{text}`"))
-    columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ADDED.names]
-    return done.select(*columns)
+    return dedup(moved, text=text, **options).select(*[new.alias(c) if c == text else own for c, own in columns.items()])
