@@ -218,7 +218,7 @@ def test_strongest_equals_sort(spark):
     rng = np.random.default_rng(0)
     rows = [(0 if i % 3 else 1, i, int(rng.integers(9)), int(rng.integers(9)), float(rng.integers(30))) for i in range(500)]
     df = spark.createDataFrame(rows, "ds bigint, z bigint, y bigint, x bigint, v double")
-    got = SP.strongest(df, 40, parts=4).toPandas()
+    got = SP.strongest(df, 40, slice_rows=80).toPandas()
     for ds in (0, 1):
         want = sorted([r for r in rows if r[0] == ds], key=lambda r: (-r[4], r[1], r[2], r[3]))[:40]
         assert [tuple(r) for r in got[got.ds == ds].sort_values("rank")[["ds", "z", "y", "x", "v"]].to_numpy()] == want
