@@ -14,13 +14,69 @@ from voxelloom.operators.warp import warp
 from voxelloom.session import cut
 
 
-def _scores(f, m, real_f, real_m, reach, metric):
-    """Score (lower is better) and voxel count of every shift of `m` against `f`."""
+#: From so many shifts on, a block's scores are screened by Fourier transforms first.
+SCREEN = 64
+
+
+def _length(n: int) -> int:
+    """The next number whose only factors are 2, 3 and 5."""
+    while True:
+        left = n
+        for p in (2, 3, 5):
+            while left % p == 0:
+                left //= p
+        if left == 1:
+            return n
+        n += 1
+
+
+def _screen(f, m, real_f, real_m, reach, metric, fewest):
+    """The shifts that can have the best score: sums of all shifts by Fourier transforms, with room for their rounding."""
+    some = np.concatenate((f[real_f], m[real_m]))
+    if not some.size:
+        return []
+    one = some.mean()
+    a = np.where(real_f, f - (one if metric == "ssd" else f[real_f].mean() if real_f.any() else 0.0), 0.0)
+    b = np.where(real_m, m - (one if metric == "ssd" else m[real_m].mean() if real_m.any() else 0.0), 0.0)
+    size = [_length(n) for n in m.shape]
+    wide = [np.fft.rfftn(x, size, (0, 1, 2)) for x in (real_m.astype(float), b, b * b)]
+    valid = tuple(slice(0, 2 * r + 1) for r in reach)
+
+    def sums(g, *others):
+        own = np.conj(np.fft.rfftn(g, size, (0, 1, 2)))
+        return [np.fft.irfftn(own * wide[i], size, (0, 1, 2))[valid] for i in others]
+
+    n, sb, sbb = sums(real_f.astype(float), 0, 1, 2)
+    sa, sab = sums(a, 0, 1)
+    (saa,) = sums(a * a, 0)
+    n = np.rint(n)
+    use = n >= max(fewest, 1)
+    n = np.maximum(n, 1)
+    high_a, high_b = float((a * a).max()), float((b * b).max())
+    if metric == "ssd":
+        score, room, doubt = (saa - 2 * sab + sbb) / n, 1e-7 * (high_a + high_b), np.zeros(n.shape, dtype=bool)
+    else:
+        va, vb = saa / n - (sa / n) ** 2, sbb / n - (sb / n) ** 2
+        doubt = (va <= 1e-7 * high_a) | (vb <= 1e-7 * high_b)  # flat or nearly so
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score, room = -(sab / n - sa / n * sb / n) / np.sqrt(np.where(doubt, 1.0, va * vb)), 1e-5
+    sure = score[use & ~doubt]
+    best = sure.min() if sure.size else np.inf
+    return np.argwhere(use & (doubt | (score <= best + room))).tolist()
+
+
+def _scores(f, m, real_f, real_m, reach, metric, least=0.0):
+    """Score (lower is better) and voxel count of the shifts of `m` against `f`, at least of those with the best score."""
     out = []
-    for s in np.ndindex(*[2 * r + 1 for r in reach]):
+    fewest = least * int(real_f.sum())
+    shape = [2 * r + 1 for r in reach]
+    shifts = np.ndindex(*shape) if np.prod(shape) < SCREEN else _screen(f, m, real_f, real_m, reach, metric, fewest)
+    for s in shifts:
         box = tuple(slice(o, o + n) for o, n in zip(s, f.shape))
         use = real_m[box] & real_f
         n = int(use.sum())
+        if n < fewest:
+            continue
         a, b = f[use], m[box][use]
         if metric == "ssd":
             score = float(((a - b) ** 2).sum()) / n if n else np.inf
@@ -33,13 +89,14 @@ def _scores(f, m, real_f, real_m, reach, metric):
 
 
 def block_shifts(fix: DataFrame, mov: DataFrame, reach, overlap=(0, 0, 0), metric="ssd", mask: DataFrame | None = None,
-                 keys=("ds",)) -> DataFrame:
+                 keys=("ds",), least: float = 0.0) -> DataFrame:
     """Best integer shift of each block: keys, block id, dz, dy, dx, score, n.
 
     Voxel x of the fixed block is compared with x + shift of the moving volume; voxels
     beyond the border do not count, ties go to the smallest shift.  The blocks of both
     volumes meet by block id with just the halo that the search needs.  Blocks without
-    a usable score (flat, or outside `mask`, column `m`) have no row.
+    a usable score (flat, or outside `mask`, column `m`) have no row.  A shift that leaves
+    less than the share `least` of the block's voxels to compare does not count.
     """
     on = [*keys, *B.BLK]
     wide = [int(o) + int(r) for o, r in zip(overlap, reach)]
@@ -61,8 +118,8 @@ def block_shifts(fix: DataFrame, mov: DataFrame, reach, overlap=(0, 0, 0), metri
                 if mask is not None:
                     real_f = real_f & (B.assemble(row, "m", overlap) != 0)
                 w = B.assemble(row._replace(part_box=row.box_w), "w", wide)
-                found = _scores(a, w, real_f, N.inside(row, w.shape, wide), reach, metric)
-                score, _, shift, n = min(found)
+                found = _scores(a, w, real_f, N.inside(row, w.shape, wide), reach, metric, least)
+                score, _, shift, n = min(found, default=(np.inf, 0, (0, 0, 0), 0))
                 if np.isfinite(score):
                     out.append([*[getattr(row, c) for c in on], *shift, score, n])
             yield pd.DataFrame(out, columns=[*on, "dz", "dy", "dx", "score", "n"])
@@ -70,18 +127,23 @@ def block_shifts(fix: DataFrame, mov: DataFrame, reach, overlap=(0, 0, 0), metri
     return both.mapInPandas(run, f"{key_schema}, dz bigint, dy bigint, dx bigint, score double, n bigint")
 
 
-def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=None, overlap=(0, 2, 2),
+def align(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, reach=None, overlap=None,
           mask: DataFrame | None = None, smooth: float = 0.0, inverse_iterations: int = 0, keys=("ds",)) -> dict[str, DataFrame]:
     """Block-wise alignment after a global affine: transforms, field, aligned volume.
 
     The moving volume is sampled through the affine, each block finds its shift, blocks
     that fail keep the identity, and the shifts are blended (and optionally smoothed)
     to a field d on the fixed grid, so that aligned(x) = mov(A(x + d(x))).
+
+    `reach` (largest shift) and `overlap` are voxels per axis, each half a block where not given.  A shift counts if
+    it leaves an eighth of the block's voxels or more, as half a block in all three axes does.
     """
+    half = [int(n) // 2 for n in bsize]
+    reach, overlap = half if reach is None else reach, half if overlap is None else overlap
     on = [*keys, *B.BLK]
     target = fix.select(*on, "dims", "bsize").join(affine.select(*keys, "m"), list(keys))
     moved = warp(target, mov, dims, bsize, keys)
-    found = block_shifts(fix, moved, reach or overlap, overlap, "corr", mask, keys)
+    found = block_shifts(fix, moved, reach, overlap, "corr", mask, keys, 0.125)
     shift = A.translation(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in D.COMPONENTS])
     transforms = fix.select(*on).join(found, on, "left").select(
         *on, shift.alias("m"), F.col("score").isNotNull().alias("aligned"))

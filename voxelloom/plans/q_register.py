@@ -177,7 +177,7 @@ def local_align(spark, sf):
     """Field of the block-wise alignment after the identity; the truth is (0, 1, 2)."""
     bs = (7, 16, 16)
     start = X.datasets(spark, sf).select("ds", A.identity().alias("m"))
-    out = LO.align(cut(X.fix_blocks(spark, sf, bs)), cut(X.mov_blocks(spark, sf, bs)), start, X.DIMS, bs)
+    out = LO.align(cut(X.fix_blocks(spark, sf, bs)), cut(X.mov_blocks(spark, sf, bs)), start, X.DIMS, bs, overlap=(0, 2, 2))
     return B.unpack(out["field"], D.COMPONENTS).select("ds", "z", "y", "x", *[r6(c).alias(c) for c in D.COMPONENTS])
 
 

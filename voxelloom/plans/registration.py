@@ -19,7 +19,7 @@ from voxelloom.operators import stats as T
 from voxelloom.operators import warp as W
 from voxelloom.session import cut
 
-#: Defaults; sections of a phase override the section of the same name.  None: all spots; shifts up to the overlap.
+#: Defaults; sections of a phase override the section of the same name.  None: all spots; shifts and overlap of half a block.
 DEFAULTS = {
     "ransac": {
         "threshold": 30.0, "nspots": None, "cc_radius": 20, "match_threshold": 0.6, "max_spot_match_distance": None,
@@ -28,7 +28,7 @@ DEFAULTS = {
     },
     "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3},
     "global_align": {"steps": ["ransac"]},
-    "local_align": {"steps": ["deform"], "reach": None, "overlap": [0, 2, 2], "smooth": 0.0, "inverse_iterations": 0},
+    "local_align": {"steps": ["deform"], "reach": None, "overlap": None, "smooth": 0.0, "inverse_iterations": 0},
 }
 
 
