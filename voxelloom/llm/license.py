@@ -129,34 +129,48 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
     return best[1:]
 
 
+def places(target: list[int], words: np.ndarray, low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+    """(matched, first, end) of all places with diagonals from `low` to `high`: the best one, then left and right of it."""
+    out = []
+    need = least * len(target)
+    parts = [(max(low, 0), min(max(high + len(target), 0), len(words)))]
+    while parts:
+        start, stop = parts.pop()
+        if stop - start < need:
+            continue
+        matched, first, end = align(target, words[start:stop].tolist(), low - start, high - start)
+        if matched >= need:
+            out.append((matched, first + start, end + start))
+        if end > first and 2 * matched >= need:
+            parts += [(start, first + start), (end + start, stop)]
+    return out
+
+
 def find(words: np.ndarray, index: Index, band: int, least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first, end) in one text's word hashes, by place."""
     keys = W.windows(words, index.grams)
     picked = winnow(keys, index.window)
     at, a, b = index.hits(keys[picked])
-    found: dict[int, list[tuple[int, int]]] = {}
+    found: dict[int, set[int]] = {}
     for p, i, j in zip(picked[at].tolist(), a.tolist(), b.tolist()):
         for template, q in index.places[i:j]:
-            found.setdefault(template, []).append((p - q, p))
+            found.setdefault(template, set()).add(p - q)
     out = []
     for template, hits in found.items():
         target = index.words[template]
-        hits = sorted(set(hits))
-        group = [hits[0]]
+        # an alignment has fewer gaps and mismatches than twice its matches
+        far = 2 * len(target)
+        diagonals = np.array(sorted(hits))
         best = []
-        for diagonal, p in [*hits[1:], (None, None)]:
-            # hits whose diagonals are within the band of their neighbours are one candidate place
-            if diagonal is not None and diagonal - group[-1][0] <= band:
-                group.append((diagonal, p))
-                continue
-            low, high = group[0][0] - band, group[-1][0] + band
-            start = max(low, 0)
-            text = words[start:max(high + len(target), 0)].tolist()
-            matched, first, end = align(target, text, low - start, high - start)
-            if matched >= least * len(target):
-                best.append((matched, first + start, end + start))
-            group = [(diagonal, p)]
-        best.sort(key=lambda x: (-x[0], x[1]))
+        # hits whose diagonals are within the band of their neighbours are one group, aligned in runs of bounded spread
+        for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > band) + 1):
+            low, high = int(group[0]) - band, int(group[-1]) + band
+            i = 0
+            while i < len(group):
+                j = int(np.searchsorted(group, group[i] + far, "right"))
+                best += places(target, words, max(low, int(group[i]) - far - band), min(high, int(group[j - 1]) + far + band), least)
+                i = j
+        best = sorted(set(best), key=lambda x: (-x[0], x[2] - x[1], x[1]))
         kept: list[tuple[int, int, int]] = []
         taken = np.zeros(len(words), dtype=bool)
         for matched, first, end in best:  # of overlapping places of one template the best
