@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import chat, decontam, langid, license, packing, shard, simhash, substring, tokens, topk
+from voxelloom.llm import chat, decontam, langid, license, packing, shard, simhash, substring, tokens, topk, warc
+from voxelloom.llm import repair as repairs
 from voxelloom.llm.setup import ready
 
 
@@ -158,5 +159,89 @@ SELECT d.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN h USING (id) LEFT JOIN m USING (id)
 """
 
-QUERIES = {"op5_license": op5_license, "op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate}
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_topk": OP10_SQL}
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all `conversations`, damaged by a hash of conversation and turn."""
+    done = repairs.repair(repairs.damage(table(spark, sf_dir, "conversations")), gone="gone", texts=False)
+    return done.drop("repaired")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS name
+  FROM conversations
+), drawn AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, name), lambda h, c: list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS hit
+  FROM raw
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM drawn WHERE hit <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM hurt
+), rows AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two
+  FROM placed
+), moves(s, c, t) AS (VALUES ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(s, t, letters, said) AS (
+  VALUES ('e', 'e', '', []::VARCHAR[]), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []),
+    ('e', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('a', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:']),
+    ('e', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('a', 'a', 'II', ['user:', 'assistant:']),
+    ('u', 'u', 'II', ['assistant:', 'user:'])
+), edits AS (
+  SELECT r.conv_id, r.i, m.s, m.t, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cost, 'K' AS letter, [role || ':' || text] AS said
+  FROM rows r JOIN moves m ON r.role[1] = m.c WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT r.conv_id, r.i, m.s, m.t, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R', [CASE m.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM rows r JOIN moves m ON m.c IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT r.conv_id, r.i, x.s, x.s, 4, 'D', [] FROM rows r, (VALUES ('e'), ('s'), ('u'), ('a')) x(s)
+), walks(conv_id, i, s, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 'e', {'cost': 0, 'audit': '', 'said': []::VARCHAR[]} FROM conversations
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.t, min({'cost': best.cost + 3 * length(n.letters) + e.cost, 'audit': best.audit || n.letters || e.letter,
+    'said': best.said || n.said || e.said})
+  FROM walks w JOIN inserts n ON n.s = w.s JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.s = n.t
+  GROUP BY w.conv_id, w.i + 1, e.t
+), counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+), ends AS (
+  SELECT w.conv_id, min({'cost': best.cost + 3 * length(n.letters), 'audit': best.audit || n.letters, 'said': best.said || n.said}) AS best
+  FROM walks w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN inserts n ON n.s = w.s AND n.t IN ('e', 'a')
+  WHERE w.i = coalesce(c.n, 0) GROUP BY w.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+  sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `pages` as WARC records in whole-file gzip streams, normalised to one member a record and read back by offsets."""
+    files = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS n, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS first
+  FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n > 1 AND octet_length(encode(html)) >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND octet_length(encode(html)) >= 1000 THEN first END AS refers_to
+FROM r
+"""
+
+
+QUERIES = {"op5_license": op5_license, "op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate,
+           "op12_repair": op12_repair, "op13_warc": op13_warc}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_topk": OP10_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
