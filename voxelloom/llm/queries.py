@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import chat, decontam, langid, license, packing, shard, simhash, substring, tokens, topk, warc
+from voxelloom.llm import chat, collocate, decontam, langid, license, packing, shard, simhash, substring, tokens, topk, warc
 from voxelloom.llm import repair as repairs
 from voxelloom.llm.setup import ready
 
@@ -160,6 +160,39 @@ FROM d LEFT JOIN h USING (id) LEFT JOIN m USING (id)
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language of all `documents`."""
+    found = collocate.top(collocate.mine(table(spark, sf_dir, "documents")), 2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, x, count(*) AS a FROM (SELECT lang, w[i:i + k - 1] AS x FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) v(k)))
+  GROUP BY lang, x HAVING count(*) >= 30
+), c AS (SELECT * FROM f WHERE len(x) > 1),
+s AS (
+  SELECT c.lang, c.x, c.a, min({'score': (2000000 * c.a::HUGEINT) // (l.a::HUGEINT + r.a), 'k': k, 'l': l.a, 'r': r.a}) AS m
+  FROM (SELECT *, unnest(range(1, len(x))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.x = c.x[1:k] JOIN f r ON r.lang = c.lang AND r.x = c.x[k + 1:]
+  GROUP BY c.lang, c.x, c.a
+), b AS (
+  SELECT lang, y, max(a) AS b FROM (
+    SELECT lang, a, x[i:i + k - 1] AS y FROM (SELECT lang, a, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM c, range(2, 4) v(k) WHERE k < len(x)))
+  GROUP BY lang, y
+), o AS (
+  SELECT s.lang, array_to_string(s.x, ' ') AS phrase, s.a, m.l AS l, m.r AS r, n, m.score::BIGINT AS score
+  FROM s JOIN t ON t.lang = s.lang LEFT JOIN b ON b.lang = s.lang AND b.y = s.x WHERE b IS NULL OR 100 * b::HUGEINT < 80 * s.a::HUGEINT
+)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o) WHERE rank <= 2000
+"""
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of all `conversations`, damaged by a hash of conversation and turn."""
     done = repairs.repair(repairs.damage(table(spark, sf_dir, "conversations")), gone="gone", texts=False)
@@ -243,5 +276,5 @@ FROM r
 
 
 QUERIES = {"op5_license": op5_license, "op10_topk": op10_topk, "op9_tokens": op9_tokens, "op1_chat": op1_chat, "op6_sharding": op6_sharding, "op3_packing": op3_packing, "op7_language": op7_language, "op2_substring": op2_substring, "op4_simhash": op4_simhash, "op8_decontaminate": op8_decontaminate,
-           "op12_repair": op12_repair, "op13_warc": op13_warc}
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_topk": OP10_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
+           "op11_collocations": op11_collocations, "op12_repair": op12_repair, "op13_warc": op13_warc}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_topk": OP10_SQL, "op11_collocations": OP11_SQL, "op12_repair": OP12_SQL, "op13_warc": OP13_SQL}
