@@ -273,7 +273,7 @@ def test_ransac_ignores_outliers(spark):
     t = f @ m[:, :3].T + m[:, 3]
     t[80:] += rng.uniform(10, 30, (40, 3))
     df = spark.createDataFrame([(0, *map(float, a), *map(float, b)) for a, b in zip(f, t)], "ds bigint, fz double, fy double, fx double, mz double, my double, mx double")
-    out = R.ransac(df, 0.5, 128).first()
+    out = R.ransac(df, 0.5).first()
     assert out["inliers"] == 80
     np.testing.assert_allclose(np.array(out["m"]).reshape(3, 4), m, atol=1e-6)
 

@@ -171,8 +171,8 @@ def trials_needed(share: float, confidence: float, size: int = 4) -> float:
     return 1.0 if share >= 1 else math.log(1 - confidence) / math.log1p(-share**size)
 
 
-def ransac(matches: DataFrame, threshold: float, confidence: float = 0.999, least_share: float = 0.1, batch: int = 64, keys=("ds",)) -> DataFrame:
-    """Consensus affine per key: keys, m, inliers, hypothesis.
+def ransac(matches: DataFrame, threshold: float, *, confidence: float = 0.999, least_share: float = 0.1, batch: int = 64, keys=("ds",)) -> DataFrame:
+    """Consensus affine per key: keys, m, inliers, total, hypothesis.
 
     A hypothesis splits the matches of a key into four by hash and takes the one with the smallest hash of each part, an
     aggregate that combines map-side.  Its cost is the sum of squared distances, each at most threshold squared, so of
@@ -180,7 +180,9 @@ def ransac(matches: DataFrame, threshold: float, confidence: float = 0.999, leas
     `confidence`); a consensus of less than `least_share` of the matches is not searched for.  The winner is refitted to
     the matches that agree with it as closely as the median one does.
     """
-    keys, point = list(keys), [*FIX, *MOV]
+    if not 0 < confidence < 1 or not 0 < least_share <= 1:
+        raise ValueError(f"confidence must lie between 0 and 1 and least_share be over 0, 1 at most: {confidence}, {least_share}")
+    keys = list(keys)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys).schema)
     totals = matches.groupBy(*keys).agg(F.count("*").alias("total"))
     best, done = None, 0
@@ -199,7 +201,7 @@ def ransac(matches: DataFrame, threshold: float, confidence: float = 0.999, leas
     spread = close.groupBy(*keys).agg(F.percentile_approx("_d", 0.5).alias("_mid"))
     near = close.join(spread, keys).where(F.col("_d") <= F.greatest(F.col("_mid") * 3 * 1.4826, F.lit(0.1 * threshold)))
     refit = fit_affine(near, keys)
-    return best.join(refit, keys, "left").select(*keys, F.coalesce("m", "_m").alias("m"), "inliers", "hypothesis")
+    return best.join(refit, keys, "left").join(totals, keys).select(*keys, F.coalesce("m", "_m").alias("m"), "inliers", "total", "hypothesis")
 
 
 def _trials(matches, threshold: float, start: int, stop: int, keys, key_schema: str) -> DataFrame:
