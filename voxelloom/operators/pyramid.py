@@ -34,7 +34,8 @@ def level_count(dims, stop: int) -> int:
     return n
 
 
-def _halve(a):
+def halve(a: np.ndarray) -> np.ndarray:
+    """Means of 2x2x2 voxels; at odd borders of those that exist."""
     total, count = a, np.ones_like(a)
     for ax in range(3):
         at = np.arange(0, total.shape[ax], 2)
@@ -64,7 +65,7 @@ def full(blocks: DataFrame, levels: int, keys=("ds",), col="v") -> DataFrame:
                 dims = [int(d) for d in row.dims]
                 for s in range(levels + 1):
                     if s:
-                        a, dims, bsize = _halve(a), level_dims(dims), [b // 2 for b in bsize]
+                        a, dims, bsize = halve(a), level_dims(dims), [b // 2 for b in bsize]
                     rows.append({**{k: getattr(row, k) for k in (*keys, *B.BLK)}, "dims": dims,
                                  "bsize": bsize, "scale": s, col: a.ravel()})
             if rows:

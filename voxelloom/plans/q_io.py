@@ -13,10 +13,11 @@ from voxelloom.plans import fixture_files as FF
 from voxelloom.plans import fixtures as X
 from voxelloom.plans.fixtures import sql
 from voxelloom.plans.q_select import ORACLES as SEL
-from voxelloom.plans.q_select import r6
+from voxelloom.plans.q_select import _L1, r6
 from voxelloom.plans.registry import run_op
 from voxelloom.session import scratch_path
 from voxelloom.sources import chunked as C
+from voxelloom.sources import container as N
 from voxelloom.sources import images as I
 from voxelloom.sources import tables as T
 from voxelloom.streaming import grouping
@@ -49,6 +50,43 @@ QUERIES["src_chunked"] = src_chunked
 ORACLES["src_chunked"] = sql("SELECT f.*, kind FROM fx_fix f, (VALUES ('n5-gzip'), ('n5-raw'), ('zarr-zlib')) t(kind)")
 
 
+def src_nd(spark, sf):
+    """Five-dimensional images through N5 and Zarr, two channels of one time by filters that the source takes."""
+    vox, out = X.tczyx(spark, sf), None
+    blocks = B.pack(vox, X.DIMS, BS, keys=("ds", "t", "c"))
+    for fmt, codec in (("n5", "gzip"), ("zarr", "zlib")):
+        root = scratch_path(spark, f"src_nd_{fmt}")
+        C.write(blocks, root, F.concat(F.lit("d"), "ds", F.lit(".img/s0")), fmt, "uint16", codec, lead=("t", "c"))
+        found = N.read(spark, root, fmt).where((F.col("t") == 1) & F.col("c").isin(0, 2) & F.col("folder").endswith("/s0"))
+        part = B.unpack(found, keys=("folder", "t", "c")).where("v <> 0").select(
+            _number("folder"), "t", "c", "z", "y", "x", F.col("v").cast("bigint").alias("v"), F.lit(fmt).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["src_nd"] = src_nd
+ORACLES["src_nd"] = sql("SELECT f.*, kind FROM fx_tczyx f, (VALUES ('n5'), ('zarr')) k(kind) WHERE t = 1 AND c IN (0, 2)")
+
+
+def sink_multiscale(spark, sf):
+    """Pyramids of three levels in containers, blocks of one size, all levels read back from there."""
+    out = None
+    for fmt in ("n5", "zarr"):
+        root = scratch_path(spark, f"multiscale_{fmt}")
+        N.write_pyramid(X.fix_blocks(spark, sf, (4, 8, 8)), root, F.concat(F.lit("d"), "ds", F.lit(".img")), 2, fmt, "float64", "zlib")
+        vox = B.unpack(N.read(spark, root, fmt), keys=("folder",))
+        part = vox.select(_number("folder"), F.regexp_extract("folder", r"/s(\d+)$", 1).cast("int").alias("scale"), "z", "y", "x", r6("v").alias("v"),
+                          F.lit(fmt).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["sink_multiscale"] = sink_multiscale
+ORACLES["sink_multiscale"] = sql(
+    "SELECT f.*, kind FROM (SELECT ds, 0 AS scale, z, y, x, CAST(v AS DOUBLE) AS v FROM fx_fix UNION ALL SELECT ds, 1, z, y, x, round(v, 6) FROM l1"
+    " UNION ALL SELECT ds, 2, z, y, x, round(v, 6) FROM l2) f, (VALUES ('n5'), ('zarr')) k(kind)", l1=_L1.format("fx_fix"), l2=_L1.format("l1"))
+
+
 def _tiffs(spark, sf, deflate):
     root = scratch_path(spark, "tiff")
     vox = X.tczyx(spark, sf).groupBy("ds", "c", "z", "y", "x").agg(F.sum("v").alias("v"))
