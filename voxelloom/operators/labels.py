@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxelloom.operators import blocks as B
@@ -65,12 +65,14 @@ def threshold_model(a: np.ndarray, params) -> np.ndarray:
 
 
 def segment(blocks: DataFrame, name: str = "threshold", overlap=(0, 0, 0), keys=("ds",), per_key: DataFrame | None = None,
-            smooth: float = 0.0, **params) -> DataFrame:
+            smooth: float = 0.0, around: bool = False, **params) -> DataFrame:
     """Run a model on each block extended by `overlap`; keep the labels of its core.
 
     `per_key` adds columns (say a threshold per dataset) that override `params`.
     `smooth` is the sigma of the optional smoothing before the model.  A label becomes
     1 + the smallest linear voxel id it has in its block, which is unique in the volume.
+    With `around` the column `w` holds the labels of the extended block (clipped to the
+    volume), for `merge_overlap`; objects that do not reach the core are 0 there.
     """
     fn, soft = MODELS[name], N.radius(smooth)
     halo = [int(o) + soft for o in overlap]
@@ -85,13 +87,21 @@ def segment(blocks: DataFrame, name: str = "threshold", overlap=(0, 0, 0), keys=
         a = a[tuple(slice(b, s - e) for b, s, e in zip(before, a.shape, after))]
         labels = fn(a, {**params, **{c: getattr(row, c) for c in extra}})
         start = [int(v) - b for v, b in zip(overlap, before)]
-        labels = labels[tuple(slice(s, s + c) for s, c in zip(start, core))]
-        return [global_ids(labels, org, row.dims)]
+        inner = labels[tuple(slice(s, s + c) for s, c in zip(start, core))]
+        ids = global_ids(inner, org, row.dims)
+        return [ids, renamed(labels, inner, ids)] if around else [ids]
 
     parts = B.exchange(blocks, halo, ("v",), keys)
     if per_key is not None:
         parts = parts.join(per_key, list(keys))
-    return B.map_blocks(parts, kernel, halo, ("v",), [("v", "bigint")], keys)
+    return B.map_blocks(parts, kernel, halo, ("v",), [(c, "bigint") for c in ("v", "w")[:1 + around]], keys)
+
+
+def renamed(labels: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """`labels` with each label of `old` replaced by the one at the same place of `new`; others become 0."""
+    known, first = np.unique(old.ravel(), return_index=True)
+    at = np.minimum(np.searchsorted(known, labels), len(known) - 1)
+    return np.where((known[at] == labels) & (labels != 0), new.ravel()[first][at], 0)
 
 
 def global_ids(labels: np.ndarray, org, dims) -> np.ndarray:
@@ -145,14 +155,53 @@ def as_parts(blocks: DataFrame, keys=("ds",), col="v") -> DataFrame:
     return blocks.select(*keys, *B.BLK, "dims", "bsize", F.array(*org, *size).alias("part_box"), F.col(col).alias(f"part_{col}"))
 
 
+#: Graphs of so many edges are solved in one task; its memory is bounded by that.
+SMALL_GRAPH = 1 << 20
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of the edges a-b: the smallest node that each one reaches."""
+    nodes, back = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = back[:len(a)], back[len(a):]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame, keys=("ds",)) -> DataFrame:
     """Connected components of a graph: keys, label, root (the smallest label).
 
-    Alternating star contraction: the number of rounds grows with the logarithm of the
-    graph's size, and each round is joins and minima only.  Every round is checkpointed.
+    Every partition first contracts its own edges to stars.  What is left of at most SMALL_GRAPH edges is solved in one task;
+    a larger graph by alternating star contraction, whose number of rounds grows with the logarithm of the graph's size and
+    whose rounds are joins and minima only.  Every round is checkpointed; its checksum comes from the writing job.
     """
     keys = list(keys)
-    edges = cut(edges.select(*keys, "a", "b"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*keys).schema)
+
+    def contract(batches):
+        import pandas as pd
+
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        for key, rows in pd.concat(held).groupby(keys, sort=False, dropna=False):
+            nodes, roots = _roots(rows["a"].to_numpy(), rows["b"].to_numpy())
+            out = pd.DataFrame({"a": nodes, "b": roots})[nodes != roots]
+            for i, (name, value) in enumerate(zip(keys, key if isinstance(key, tuple) else (key,))):
+                out.insert(i, name, value)
+            yield out
+
+    edges = cut(edges.select(*keys, "a", "b").mapInPandas(contract, f"{schema}, a bigint, b bigint"))
+    if edges.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        edges = cut(edges.coalesce(1).mapInPandas(contract, f"{schema}, a bigint, b bigint"))
+        return edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct().unionByName(
+            edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
     seen = None
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -161,11 +210,13 @@ def components(edges: DataFrame, keys=("ds",)) -> DataFrame:
         low = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         hub = large.join(low, [*keys, "a"])
         small = hub.where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(hub.select(*keys, "a", F.col("m").alias("b"))).distinct())
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        seal = Observation()
+        stars = small.unionByName(hub.select(*keys, "a", F.col("m").alias("b"))).distinct()
+        edges = cut(stars.observe(seal, F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("h")))
+        mark = seal.get
+        if mark == seen:
             break
-        seen = tuple(mark)
+        seen = mark
     roots = edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct()
     return roots.unionByName(edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
 
@@ -217,6 +268,89 @@ def merge(labels: DataFrame, keys=("ds",), in_plane: bool = False, mask: DataFra
     return relabel(labels, changes, keys)
 
 
+def overlaps(segmented: DataFrame, overlap, keys=("ds",)) -> DataFrame:
+    """What neighbouring blocks both segmented: keys, the two block ids (blk_*, far_*), a, b, n, na, nb.
+
+    a is a label of the first block, b one of the second; n voxels have both, na and nb have the one or the other.  Counted
+    where one block's core lies within `overlap` of the other: the second column `w` of `segment` with `around`.  A block sends
+    its labels there to the (at most 26) pairs it is part of, one shuffle; a pair holds two slabs.
+    """
+    if any(int(o) < 0 for o in overlap):
+        raise ValueError("overlap must not be negative")
+    far = ["far_z", "far_y", "far_x"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segmented.select(*keys, *B.BLK).schema)
+    schema += "".join(f", {c} bigint" for c in far)
+
+    def reach(at, row):
+        """Core and extended box of a block: (first, end) per axis."""
+        core = [(i * int(s), min(i * int(s) + int(s), int(d))) for i, s, d in zip(at, row.bsize, row.dims)]
+        return core, [(max(a - int(o), 0), min(b + int(o), int(d))) for (a, b), o, d in zip(core, overlap, row.dims)]
+
+    def send(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if any(int(o) > int(s) for o, s in zip(overlap, row.bsize)):
+                    raise ValueError("overlap must not exceed a block")
+                own = tuple(int(getattr(row, b)) for b in B.BLK)
+                core, wide = reach(own, row)
+                labels = np.asarray(row.w, dtype=np.int64).reshape([b - a for a, b in wide])
+                grid = [-(-int(d) // int(s)) for d, s in zip(row.dims, row.bsize)]
+                for step in np.ndindex(3, 3, 3):
+                    other = tuple(o + int(i) - 1 for o, i in zip(own, step))
+                    if other == own or not all(0 <= i < n for i, n in zip(other, grid)):
+                        continue
+                    far_core, far_wide = reach(other, row)
+                    first, second = ((core, far_wide), (wide, far_core)) if own < other else ((wide, far_core), (core, far_wide))
+                    slabs = []
+                    for one, two in (first, second):
+                        box = [(max(a, c), min(b, d)) for (a, b), (c, d) in zip(one, two)]
+                        slabs.append(labels[tuple(slice(a - w[0], max(a, b) - w[0]) for (a, b), w in zip(box, wide))].ravel())
+                    slab = np.concatenate(slabs)
+                    if slab.any():
+                        out.append([*[getattr(row, k) for k in keys], *min(own, other), *max(own, other), int(own > other), slab])
+            yield pd.DataFrame(out, columns=[*keys, *B.BLK, *far, "side", "slab"])
+
+    sent = segmented.select(*keys, *B.BLK, "dims", "bsize", "w").mapInPandas(send, f"{schema}, side int, slab array<bigint>")
+    sides = [F.first(F.when(F.col("side") == i, F.col("slab")), ignorenulls=True).alias(c) for i, c in enumerate("ab")]
+    pairs = sent.groupBy(*keys, *B.BLK, *far).agg(*sides).where("a is not null and b is not null")
+
+    def count(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                a, b = np.asarray(row.a, dtype=np.int64), np.asarray(row.b, dtype=np.int64)
+                sizes = [dict(zip(*(x.tolist() for x in np.unique(v, return_counts=True)))) for v in (a, b)]
+                both = (a != 0) & (b != 0)
+                met, n = np.unique(np.stack((a[both], b[both])), axis=1, return_counts=True)
+                out += [[*row[:-2], p, q, k, sizes[0][p], sizes[1][q]] for p, q, k in zip(*met.tolist(), n.tolist())]
+            yield pd.DataFrame(out, columns=[*keys, *B.BLK, *far, "a", "b", "n", "na", "nb"])
+
+    return pairs.mapInPandas(count, f"{schema}, a bigint, b bigint, n bigint, na bigint, nb bigint")
+
+
+def merge_overlap(segmented: DataFrame, overlap, least: float = 0.5, keys=("ds",)) -> DataFrame:
+    """One label per object across blocks, joined where blocks agree on what both of them segmented.
+
+    Two labels of neighbouring blocks are one object if their intersection over union, where both blocks saw the volume, is
+    `least` or more; objects that only touch at a block face stay apart.  `segmented`: from `segment` with the same `overlap`
+    (over 0 on every axis that is cut into blocks) and `around`.  An object gets the smallest of its labels.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least must be over 0 and at most 1: {least}")
+    segmented = cut(segmented)  # the model's output is used twice
+    agreed = cut(overlaps(segmented, overlap, keys).where(F.col("n") >= F.lit(float(least)) * (F.col("na") + F.col("nb") - F.col("n"))))
+    places = agreed.select(*keys, F.col("a").alias("label"), *B.BLK).unionByName(
+        agreed.select(*keys, F.col("b").alias("label"), *[F.col(f"far_{c}").alias(f"blk_{c}") for c in "zyx"])).distinct()
+    roots = components(agreed.select(*keys, "a", "b"), keys).where("label <> root")
+    changes = places.join(roots, [*keys, "label"]).withColumnRenamed("root", "new")
+    return relabel(segmented.drop("w"), changes, keys)
+
+
 def label_places(labels: DataFrame, keys=("ds",)) -> DataFrame:
     """Voxel count of each label in each block: keys, block id, label, n."""
     rows = labels.select(*keys, *B.BLK, F.explode("v").alias("label")).where("label <> 0")

@@ -70,6 +70,62 @@ def merge_labels_masked(spark, sf):
 _CUT = " AND (y-16)*(y-16)+(x-16)*(x-16) <= 144"
 QUERIES["merge_labels_masked"] = merge_labels_masked
 ORACLES["merge_labels_masked"] = components_sql("SELECT * FROM lab", fg=_FG + _CUT)
+
+
+@L.model("bands")
+def bands_model(a, params):
+    """Instances that may touch: components of voxels above `threshold` in one band of `step` values."""
+    return L.connected(a > params["threshold"], labels=a // params["step"])
+
+
+_OV, _STEP = (1, 2, 2), 64
+
+
+def merge_overlap(spark, sf):
+    """Touching instances, joined across blocks by what both blocks segmented."""
+    return _labels(L.merge_overlap(_segmented_bands(spark, sf), _OV, 0.5))
+
+
+def _segmented_bands(spark, sf):
+    return L.segment(X.fix_blocks(spark, sf, BS), "bands", _OV, per_key=_threshold(spark, sf), around=True, step=_STEP)
+
+
+_NEAR = "(VALUES (-1), (0), (1)) {}({})"
+QUERIES["merge_overlap"] = merge_overlap
+ORACLES["merge_overlap"] = sql(
+    # every object has the smallest label that it reaches bj links
+    "SELECT l.ds, z, y, x, coalesce(m, label) AS label FROM core l LEFT JOIN (SELECT ds, a, min(b) AS m FROM reached GROUP BY ds, a) r"
+    " ON r.ds = l.ds AND r.a = l.label",
+    fg=f"SELECT ds, z, y, x, (z * 32 + y) * 32 + x + 1 AS id, v // {_STEP} AS band FROM fx_fix JOIN"
+       " (SELECT ds, quantile_cont(v, 0.8) AS q FROM fx_fix GROUP BY ds) USING (ds) WHERE v > q",
+    # voxels of every block with its overlap
+    ext="SELECT ds, z, y, x, id, band, z // 4 + a AS bk, y // 8 + b AS bj, x // 8 + c AS bi FROM fg, " + ", ".join(_NEAR.format(*p) for p in ("pa", "qb", "rc"))
+        + " WHERE z // 4 + a BETWEEN 0 AND 1 AND y // 8 + b BETWEEN 0 AND 3 AND x // 8 + c BETWEEN 0 AND 3"
+          f" AND z BETWEEN (z // 4 + a) * 4 - {_OV[0]} AND (z // 4 + a) * 4 + 3 + {_OV[0]}"
+          f" AND y BETWEEN (y // 8 + b) * 8 - {_OV[1]} AND (y // 8 + b) * 8 + 7 + {_OV[1]}"
+          f" AND x BETWEEN (x // 8 + c) * 8 - {_OV[2]} AND (x // 8 + c) * 8 + 7 + {_OV[2]}",
+    e="SELECT p.ds, p.bk, p.bj, p.bi, p.id AS a, q.id AS b FROM ext p CROSS JOIN (VALUES (0,1,0),(0,-1,0),(0,0,1),(0,0,-1),(1,0,0),(-1,0,0)) o(oz, oy, ox)"
+      " JOIN ext q ON q.ds = p.ds AND q.bk = p.bk AND q.bj = p.bj AND q.bi = p.bi AND q.z = p.z + oz AND q.y = p.y + oy AND q.x = p.x + ox AND q.band = p.band",
+    r="SELECT ds, bk, bj, bi, id AS a, id AS b FROM ext UNION SELECT r.ds, r.bk, r.bj, r.bi, r.a, e.b FROM r JOIN e"
+      " ON e.ds = r.ds AND e.bk = r.bk AND e.bj = r.bj AND e.bi = r.bi AND e.a = r.b",
+    # the label of a voxel in a block: the smallest voxel of its object in the block's core
+    lab="SELECT ds, bk, bj, bi, a AS id, min(b) AS label FROM r WHERE (b - 1) // 1024 // 4 = bk AND (b - 1) // 32 % 32 // 8 = bj AND (b - 1) % 32 // 8 = bi"
+        " GROUP BY 1, 2, 3, 4, 5",
+    seen="SELECT l.*, z, y, x, z // 4 = bk AND y // 8 = bj AND x // 8 = bi AS own FROM lab l JOIN fg USING (ds, id)",
+    core="SELECT ds, z, y, x, label, id FROM seen WHERE own",
+    # all voxels that two blocks segmented, in the core of one of them
+    region="SELECT p.ds, p.id, p.bk, p.bj, p.bi, q.bk AS ck, q.bj AS cj, q.bi AS ci FROM ext p JOIN ext q ON p.ds = q.ds AND p.id = q.id"
+           " AND (p.bk, p.bj, p.bi) < (q.bk, q.bj, q.bi)"
+           " WHERE p.z // 4 = p.bk AND p.y // 8 = p.bj AND p.x // 8 = p.bi OR q.z // 4 = q.bk AND q.y // 8 = q.bj AND q.x // 8 = q.bi",
+    met="SELECT g.*, s.label AS a, t.label AS b FROM region g LEFT JOIN lab s ON s.ds = g.ds AND s.id = g.id AND s.bk = g.bk AND s.bj = g.bj AND s.bi = g.bi"
+        " LEFT JOIN lab t ON t.ds = g.ds AND t.id = g.id AND t.bk = g.ck AND t.bj = g.cj AND t.bi = g.ci",
+    n="SELECT ds, bk, bj, bi, ck, cj, ci, a, b, count(*) AS n FROM met WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL",
+    na="SELECT ds, bk, bj, bi, ck, cj, ci, a, count(*) AS na FROM met WHERE a IS NOT NULL GROUP BY ALL",
+    nb="SELECT ds, bk, bj, bi, ck, cj, ci, b, count(*) AS nb FROM met WHERE b IS NOT NULL GROUP BY ALL",
+    links="SELECT ds, a, b FROM n JOIN na USING (ds, bk, bj, bi, ck, cj, ci, a) JOIN nb USING (ds, bk, bj, bi, ck, cj, ci, b) WHERE 2 * n >= na + nb - n",
+    sides="SELECT ds, a, b FROM links UNION SELECT ds, b, a FROM links",
+    reached="SELECT ds, a, a AS b FROM sides UNION SELECT r.ds, r.a, o.b FROM reached r JOIN sides o ON o.ds = r.ds AND o.a = r.b",
+)
 QUERIES["seg_2d"] = lambda s, d: _labels(L.merge(_segmented(s, d, in_plane=True), in_plane=True))
 ORACLES["seg_2d"] = components_sql("SELECT * FROM lab", planes=True)
 QUERIES["min_size"] = lambda s, d: _labels(L.drop_small(L.merge(_segmented(s, d)), 3))
