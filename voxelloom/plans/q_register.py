@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from voxelloom.functions import affine as A
@@ -11,6 +13,7 @@ from voxelloom.operators import filters as N
 from voxelloom.operators import local as LO
 from voxelloom.operators import register as R
 from voxelloom.operators import spots as P
+from voxelloom.operators import warp as W
 from voxelloom.plans import fixtures as X
 from voxelloom.plans import registration as G
 from voxelloom.plans.fixtures import sql
@@ -191,3 +194,44 @@ ORACLES["local_align"] = sql(
       " WHERE y BETWEEN cy*16 - 2 AND cy*16 + 17 AND x BETWEEN cx*16 - 2 AND cx*16 + 17 GROUP BY 1, 2, 3",
     j="SELECT g.ds, g.z, g.y, g.x, ok, " + _T16.format(a="y") + " * " + _T16.format(a="x") + " AS w"
       " FROM fx_grid g JOIN c ON g.ds = c.ds AND cy BETWEEN y // 16 - 1 AND y // 16 + 1 AND cx BETWEEN x // 16 - 1 AND x // 16 + 1")
+
+
+def _bent(spark, sf):
+    """A smooth displacement that keeps every voxel inside: ds, z, y, x, dz, dy, dx."""
+    y, x, ds = F.col("y"), F.col("x"), F.col("ds")
+    dy = F.sin(y * math.pi / 31) * F.cos(x / 6.0 + ds) * 0.9
+    dx = F.sin(x * math.pi / 31) * F.sin(y / 5.0) * 0.8
+    return X.grid(spark, sf).select("ds", "z", "y", "x", F.lit(0.0).alias("dz"), dy.alias("dy"), dx.alias("dx"))
+
+
+def _textured(spark, sf):
+    """The smoothed fixed volumes with waves of all directions, so that every part has something to align."""
+    z, y, x, ds = (F.col(c) for c in ("z", "y", "x", "ds"))
+    waves = F.sin(y * 0.55 + z * 0.2 + ds) + F.cos(x * 0.5 + z * 0.3 + y * 0.1) + F.sin((y - x) * 0.45 + z * 0.4) + F.cos((y + x) * 0.4 - z * 0.5)
+    add = B.pack(X.grid(spark, sf).withColumn("w", waves * 40), X.DIMS, BS, cols=("w",), ids=X.datasets(spark, sf))
+    soft = N.smooth(X.fix_blocks(spark, sf, BS), (1.5, 1.5, 1.5))
+    return soft.join(add.select("ds", *B.BLK, "w"), ["ds", *B.BLK]).withColumn("v", F.zip_with("v", "w", lambda a, b: a + b)).drop("w")
+
+
+def local_deform(spark, sf):
+    """Control points fitted to a volume and itself seen through a known smooth field: how near the fitted field comes."""
+    ids = X.datasets(spark, sf)
+    truth = _bent(spark, sf)
+    mov = cut(_textured(spark, sf))
+    known = B.pack(truth, X.DIMS, BS, cols=D.COMPONENTS, ids=ids)
+    start = ids.select("ds", A.identity().alias("m"))
+    fix = cut(W.warp(known.join(start, "ds"), mov, X.DIMS, BS, field=D.COMPONENTS))
+    found = LO.align(fix, mov, start, X.DIMS, BS, steps=("deform",), options={"deform": {"spacing": 16, "smooth": (1.0, 0.0), "iterations": 4}})
+    got = B.unpack(found["field"], D.COMPONENTS).select("ds", "z", "y", "x", *[F.col(c).alias(f"g{c}") for c in ("dy", "dx")])
+    off = F.sqrt(sum((F.col(f"g{c}") - F.col(c)) * (F.col(f"g{c}") - F.col(c)) for c in ("dy", "dx")))
+    size = F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
+    both = truth.join(got, ["ds", "z", "y", "x"]).where("z between 1 and 5 and y between 3 and 28 and x between 3 and 28")
+    return both.groupBy("ds").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("truth"), (F.avg(off) < 0.15 * F.avg(size)).alias("near"),
+                                  (F.percentile(off, 0.95) < 0.2).alias("everywhere"))
+
+
+QUERIES["local_deform"] = local_deform
+ORACLES["local_deform"] = sql(
+    "SELECT ds, count(*) AS n, round(avg(sqrt(dy * dy + dx * dx)), 6) AS truth, true AS near, true AS everywhere FROM u"
+    " WHERE z BETWEEN 1 AND 5 AND y BETWEEN 3 AND 28 AND x BETWEEN 3 AND 28 GROUP BY ds",
+    u="SELECT ds, z, y, x, sin(y * pi() / 31) * cos(x / 6e0 + ds) * 0.9e0 AS dy, sin(x * pi() / 31) * sin(y / 5e0) * 0.8e0 AS dx FROM fx_grid")

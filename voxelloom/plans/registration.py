@@ -19,22 +19,26 @@ from voxelloom.operators import stats as T
 from voxelloom.operators import warp as W
 from voxelloom.session import cut
 
-#: Defaults; sections of a phase override the section of the same name.  None: all spots; shifts and overlap of half a block.
+#: Defaults; sections of a phase override the section of the same name.  None: all spots; shifts and overlap of half a block.  Local steps: `shift`, `ransac`, `affine`, `deform`.
 DEFAULTS = {
     "ransac": {
         "threshold": 30.0, "nspots": None, "cc_radius": 20, "match_threshold": 0.6, "max_spot_match_distance": None,
         "point_matches_threshold": 50, "align_threshold": 2.0, "diagonal_constraint": 0.25,
-        "fix_spots_count_threshold": 100, "mov_spots_count_threshold": 100, "confidence": 0.999, "safeguard_exceptions": True,
+        "fix_spots_count_threshold": 100, "mov_spots_count_threshold": 100, "confidence": 0.999, "least_share": 0.1,
+        "safeguard_exceptions": True,
     },
     "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3},
     "global_align": {"steps": ["ransac"]},
-    "local_align": {"steps": ["deform"], "reach": None, "overlap": None, "smooth": 0.0, "inverse_iterations": 0},
+    "deform": {"spacing": 24, "factors": [1, 2], "smooth": [1.0, 0.25], "iterations": 10, "min_step": 0.02},
+    "local_align": {"steps": ["shift"], "reach": None, "overlap": None, "smooth": 0.0, "inverse_iterations": 0,
+                    "affine": {"iterations": 25, "min_step": 1e-2, "smooth": 1.0},
+                    "ransac": {"fix_spots_count_threshold": 20, "mov_spots_count_threshold": 20, "point_matches_threshold": 20}},
 }
 
 
 def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     """Spots, context matches, consensus affine on top of the current one; datasets that
-    miss a guard keep what they have."""
+    miss a guard, or whose best model agrees with less than `least_share` of the matches, keep what they have."""
     moved = through(fix, mov, current, dims, bsize)
     sides = {}
     for name, blocks in (("fix", fix), ("mov", moved)):
@@ -45,11 +49,12 @@ def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     limit = R.distance_limit(dims, p["max_spot_match_distance"], p["diagonal_constraint"])
     matches = cut(R.match(sides["fix"], sides["mov"], limit, p["match_threshold"]))
     enough = P.enough(matches, p["point_matches_threshold"]).select("ds")
-    found = R.ransac(matches.join(enough, "ds", "left_semi"), p["align_threshold"], p["confidence"])
+    found = R.ransac(matches.join(enough, "ds", "left_semi"), p["align_threshold"], confidence=p["confidence"], least_share=p["least_share"])
+    found = cut(found.where(F.col("inliers") >= F.col("total") * p["least_share"]))  # a smaller consensus was not searched for: chance
     if not p["safeguard_exceptions"]:
         lost = current.join(found, "ds", "left_anti").count()
         if lost:
-            raise ValueError(f"{lost} datasets have too few spots or matches")
+            raise ValueError(f"{lost} datasets have too few spots or matches, or no consensus")
     both = current.select("ds", F.col("m").alias("a")).join(found.select("ds", F.col("m").alias("b")), "ds", "left")
     return both.select("ds", A.compose(F.col("a"), F.coalesce("b", A.identity())).alias("m"))
 
@@ -116,8 +121,10 @@ def register(fix, mov, dims, bsize, global_steps=None, local_steps=None, config=
     if local_steps == "":
         out["aligned"] = W.warp(target, near.mov, near.dims, near.bsize)
     else:
-        p = cfg["local_align"]
-        out.update(LO.align(near.fix, near.mov, grid, near.dims, near.bsize, p["reach"], p["overlap"], mask, p["smooth"], p["inverse_iterations"]))
+        p, steps = cfg["local_align"], phase_steps(cfg, "local_align", local_steps)
+        options = {step: step_params(cfg, "local_align", step) for step in ("ransac", "affine", "deform")}
+        out.update(LO.align(near.fix, near.mov, grid, near.dims, near.bsize, p["reach"], p["overlap"], mask, p["smooth"], p["inverse_iterations"],
+                            steps=steps, options=options))
         target = cut(out["field"]).join(grid, "ds")
         out["field"] = target.drop("m")
     if extra is not None:

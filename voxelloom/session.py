@@ -69,6 +69,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read back.
+
+    Unlike a checkpoint it forgets what the optimizer has inferred about the columns: in a loop in which every table comes from
+    the one before, that grows from round to round.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors (once per application)."""
     sc = spark.sparkContext
