@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontam, langid, nearcopy, packing, substring
+from voxelloom.llm import decontam, langid, packing, simhash, substring
 from voxelloom.llm.queries import table
 from voxelloom.llm.setup import ready, stored
 
@@ -24,9 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-copies: five-word shingles with a similarity of 0.8 or more."""
+    """The first document of each group of near-copies: three-word SimHash fingerprints within three bits, by chains."""
     ready(spark)
-    return nearcopy.clean(docs)
+    return simhash.clean(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,57 +2,12 @@
 
 import random
 import string
-from itertools import combinations
-
-import numpy as np
 
 import corpus_pipeline
-from tests.llm import brute as X
-from voxelloom.llm import nearcopy
-from voxelloom.llm.setup import ready
-
-
-def shingles(text, k=5):
-    w = X.blank_words(X.lower(text))
-    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-
-
-def kept(texts, least=0.8):
-    """{id: text} -> ids that stay, by all pairs."""
-    sets = {d: shingles(t) for d, t in texts.items()}
-    low = {d: d for d in sets}
-
-    def root(x):
-        while low[x] != x:
-            x = low[x]
-        return x
-
-    for a, b in combinations(sorted(sets), 2):
-        common = len(sets[a] & sets[b])
-        if sets[a] == sets[b] or common and common >= least * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-            x, y = root(a), root(b)
-            low[max(x, y)] = min(x, y)
-    return {root(d) for d in sets}
+from pyspark.sql import functions as F
 
-
-def test_near_copies_are_those_of_five_word_jaccard(spark, sf):
-    docs = ready(spark).read.parquet(f"{sf}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == kept(texts)
-
-
-def test_near_copies_in_large_cells_and_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(nearcopy, "CELL", 8)
-    rng = np.random.default_rng(3)
-    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
-    texts = {0: None, 1: "", 2: " \t", 3: "one two", 4: "One  two", 5: "one three", 6: "a b c d e", 7: "a b c d e f"}
-    for d in range(10, 90):  # a hot group, some of it linked by chains only, some not at all
-        w = list(base)
-        for at in rng.integers(0, 200, d % 12):
-            w[at] = f"x{rng.integers(0, 10 ** 6)}"
-        texts[d] = " ".join(w)
-    docs = ready(spark).createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in nearcopy.clean(docs).collect()} == kept(texts)
+from voxelloom.llm import decontam, langid, simhash, tokens
+from voxelloom.llm.setup import ready
 
 
 OTHER = [
@@ -72,3 +27,66 @@ def test_unlearned_languages_and_letter_noise_go(spark, sf):
     more = spark.createDataFrame(rows, docs.schema)
     own = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), sf).collect()} == own
+
+
+def test_pipeline_of_an_empty_table(spark, sf):
+    docs = ready(spark).read.parquet(f"{sf}/documents.parquet")
+    left = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, sf)
+        assert left.count() == 0
+
+
+def test_clean_keeps_rows_with_null_ids_and_columns_of_any_name(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, 5, "a"), (2, text, 6, "b"), (1, text, 7, "c"), (None, text, 8, "d"), (3, None, 9, "e"), (4, " ", 9, "f")]
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string, __id int, __key string")
+    assert sorted(r["__key"] for r in simhash.clean(docs).collect()) == ["a", "c", "d", "e"]
+
+
+def test_a_label_whose_text_is_repeated_is_learned(spark, sf):
+    docs = ready(spark).read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    for word in ("zuzu", "xoxo", "qiqi"):  # whatever the text's hash is
+        text = f"{word} kala {word} mana " * 8
+        copies = spark.range(20_000).select((-F.col("id") - 1).alias("doc_id"), F.lit(text).alias("text"), F.lit("zz").alias("lang"))
+        model = langid.fit(docs.unionByName(copies))
+        assert "zz" in model.langs
+        assert langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().lang_pred == "zz"
+
+
+def test_the_sample_takes_every_text_before_copies(spark):
+    rows = [(f"text number {i} here", "a") for i in range(30)] + [("the same", "a")] * 500 + [("once", "b")]
+    docs = ready(spark).createDataFrame(rows, "text string, lang string")
+    seen = []
+
+    class Spy(langid.Model):
+        def __init__(self, samples):
+            seen.extend(lang for lang, _, _ in samples)
+            super().__init__(samples)
+
+    original, langid.Model = langid.Model, Spy
+    try:
+        langid.fit(docs, per_language=40)
+    finally:
+        langid.Model = original
+    pieces = {lang: seen.count(lang) for lang in "ab"}
+    assert pieces["b"] >= 1 and 40 <= pieces["a"] <= 40 * 6  # every sampled text gives itself and up to five excerpts
+
+
+def test_a_repeated_benchmark_row_counts_once(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = ready(spark).createDataFrame([(1, "a b " + item), (2, "nothing here")], "doc_id long, text string")
+    items = spark.range(5000).select(F.lit(7).alias("item_id"), F.lit(item).alias("text"))
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontam.scan(docs, items, block_bytes=4096).collect()}
+    assert got == {1: (20, [7]), 2: (0, [])}
+
+
+def test_repeated_rows_of_one_document_fill_many_files(spark):
+    import public_tokenizers
+
+    rows = ready(spark).range(3000).select(F.when(F.col("id") < 2000, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("some words " * 20).alias("text"))
+    files = tokens.write(rows, tokens.folder(rows), public_tokenizers.path("byte_bpe_50k.json"), 2, file_bytes=20_000)
+    sizes = [r.n_docs for r in files.collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 20 and max(sizes) < 600
+    got = tokens.read(files)
+    assert got.where("doc_id = 5").count() == 2000 and got.select("ids_crc32").distinct().count() == 1

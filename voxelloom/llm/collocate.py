@@ -36,6 +36,8 @@ UNKNOWN = "und"
 SHARD_WORDS, RANGE_WORDS = 1 << 20, 1 << 21
 #: Shards that give a sample of their phrases, one in STRIDE: range bounds come from at most about SAMPLED * SHARD_WORDS / STRIDE phrases.
 SAMPLED, STRIDE = 64, 4096
+#: Parts in which the phrases of a language are ranked before they meet.
+PARTS = 32
 
 
 class Shard:
@@ -273,7 +275,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
 
 
 def top(found: DataFrame, first: int = 2000) -> DataFrame:
-    """The first phrases of every language by score, then occurrences, both descending, then the phrase's bytes; with `rank` from 1."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    """The first phrases of every language by score, then occurrences, both descending, then the phrase's bytes; with `rank` from 1.
+
+    The first ones of each of PARTS parts of a language are ranked first, so a language never sends more than PARTS * first
+    rows to one task.
+    """
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    inner = Window.partitionBy("lang", "part").orderBy(*order)
+    near = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", F.row_number().over(inner)).where(F.col("rank") <= first)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
+    return ranked.withColumn("rank", F.col("rank").cast("long")).drop("part")

@@ -172,12 +172,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     Null or empty texts have no words and no spans; null or empty items have no phrases; an item whose id is null is
     left out; rows with equal ids are separate rows; an empty benchmark hits nothing.  Items go to the tasks in
-    blocks of about `block_bytes` of text, chosen by a hash, so the broadcast stays bounded.
+    blocks of about `block_bytes` of text, chosen by a hash of id and text; a row that is repeated counts once, so no
+    block grows with it and the broadcast stays bounded.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c in ADDED.names])
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
-    items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("t"))
+    items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("t")).dropDuplicates(["id", "t"])
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
     out = docs

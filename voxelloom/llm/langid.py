@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,32 +198,48 @@ def margins(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out + model.bias
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600) -> Model | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600) -> Model | None:
     """Model learned from labelled rows; None when there is no label.
 
-    At most about `per_language` documents of each language are learned from, those with the smallest hash of their key
-    and text; the bound is the only limit, everything else covers all rows.  Every sampled text gives itself and a few
-    short excerpts.
+    About `per_language` rows of each language at most are learned from: first every different text once, by its hash, then
+    second copies of repeated ones, and so on until there are enough; so a text that fills a language is learned, and not
+    more often than that.  The bound is the only limit, everything else covers all rows.  Every sampled text gives itself and
+    a few short excerpts.  Labels are few: `per_language` small rows a label at most, and the sample, go to the driver.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), key)
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    copies = labelled.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.least(F.count("*"), F.lit(per_language)).alias("n"))
+    sizes: dict[str, dict[int, int]] = {}
+    for r in copies.groupBy("lang", "n").count().collect():
+        sizes.setdefault(r["lang"], {})[r["n"]] = r["count"]
     if not sizes:
         return None
     top = (1 << 63) - 1
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, top if n <= per_language else top * per_language // n)])
-    rank = F.xxhash64(key, "text").bitwiseAND(F.lit(top))
-    chosen = labelled.where(rank <= share[F.col("lang")]).select("lang", "text")
+    whole, share = {}, {}  # how many copies of every text are taken, and up to which hash one more
+    for name, known in sizes.items():
+        left, taken = per_language, 0
+        while (more := sum(k for n, k in known.items() if n > taken)) and more <= left:
+            left, taken = left - more, taken + 1
+        whole[name], share[name] = taken, top * left // more if more else top
+
+    def by_label(values: dict[str, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+    rank = F.xxhash64("text").bitwiseAND(F.lit(top))
+    near = (rank <= by_label(share)) | (by_label(whole) > 0)
+    chosen = labelled.where(near).groupBy("lang", "text").agg(F.count("*").alias("n"))
+    one_more = ((F.col("n") > by_label(whole)) & (rank <= by_label(share))).cast("long")
+    chosen = chosen.select("lang", "text", (F.least(F.col("n"), by_label(whole).cast("long")) + one_more).alias("times"))
 
     def features(batches):
         for batch in batches:
             data, offsets = fold(*W.flat(batch.column(1)))
             out = []
-            for name, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for name, a, b, times in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist()):
                 for piece in excerpts(data[a:b]):
                     n = counts(piece)
                     at = np.flatnonzero(n)
                     if len(at):
-                        out.append((name, at.astype(np.int16).tobytes(), (n[at] / len(piece)).astype(np.float16).tobytes()))
+                        out += [(name, at.astype(np.int16).tobytes(), (n[at] / len(piece)).astype(np.float16).tobytes())] * times
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())],
                                              names=["lang", "at", "value"])

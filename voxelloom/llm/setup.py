@@ -28,6 +28,17 @@ def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]
     return df.withColumnsRenamed({c: h for c, h in held.items() if c != h}), {c: F.col(f"`{h}`").alias(c) for c, h in held.items()}
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: later reads survive any lost executor."""
     path = scratch_path(df.sparkSession, name)

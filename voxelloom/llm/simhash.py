@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from voxelloom.llm import words as W
 from voxelloom.llm.graph import components
-from voxelloom.llm.setup import stored
+from voxelloom.llm.setup import stored, unused
 
 #: Points of a cell that one task compares with one another; larger cells are split.
 CELL = 8192
@@ -189,6 +189,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     Rows that repeat both id and text are one document and stay together; rows with a null id stay.
     """
     groups = group(docs, doc_id, text, **options)
-    losers = groups.where("doc_id > component_id").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    same = (F.col(f"`{doc_id}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__key"))
+    own, key = unused(docs, "__id", "__key")
+    losers = groups.where("doc_id > component_id").select(F.col("doc_id").alias(own), F.col("key").alias(key)).distinct()
+    same = (F.col(f"`{doc_id}`").cast("long") == F.col(own)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(key))
     return docs.join(losers, same, "left_anti")

@@ -203,8 +203,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, doc_id: str =
     """
     rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows_in.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    keyed = rows_in.withColumn("key", F.xxhash64("text"))
-    ranged = keyed.repartitionByRange(max(1, -(-int(size) // file_bytes)), "doc_id", "key").sortWithinPartitions("doc_id", "key")
+    keyed = rows_in.withColumn("key", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())  # repeated rows spread, too
+    order = ["doc_id", "key", "row"]
+    ranged = keyed.repartitionByRange(max(1, -(-int(size) // file_bytes)), *order).sortWithinPartitions(*order)
 
     def encode(batches):
         known = encoder(tokenizer, end)
