@@ -42,6 +42,31 @@ def voxels(m: Column, fix_spacing, mov_spacing) -> Column:
     return physical(m, [1.0 / s for s in fix_spacing], [1.0 / s for s in mov_spacing])
 
 
+def shrunk(m: Column, factor) -> Column:
+    """The affine between voxels as one between voxels of both volumes shrunk by `factor` (z, y, x).
+
+    A coarse voxel lies in the middle of those that it stands for.
+    """
+    o = [(f - 1) / 2.0 for f in factor]
+    rows = []
+    for i in range(3):
+        linear = [m[4 * i + j] * float(factor[j] / factor[i]) for j in range(3)]
+        moved = sum((m[4 * i + j] * o[j] for j in range(1, 3)), m[4 * i] * o[0])
+        rows += [*linear, (moved + m[4 * i + 3] - o[i]) / float(factor[i])]
+    return F.array(*rows)
+
+
+def grown(m: Column, factor) -> Column:
+    """The inverse of `shrunk`: from voxels of the shrunk volumes to those of the whole ones."""
+    o = [(f - 1) / 2.0 for f in factor]
+    rows = []
+    for i in range(3):
+        linear = [m[4 * i + j] * float(factor[i] / factor[j]) for j in range(3)]
+        moved = sum((linear[j] * o[j] for j in range(1, 3)), linear[0] * o[0])
+        rows += [*linear, m[4 * i + 3] * float(factor[i]) + o[i] - moved]
+    return F.array(*rows)
+
+
 def invert(m: Column) -> Column:
     """Closed-form inverse; NULL when singular."""
     a = [[m[4 * i + j] for j in range(3)] for i in range(3)]

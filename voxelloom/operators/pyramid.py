@@ -44,6 +44,35 @@ def halve(a: np.ndarray) -> np.ndarray:
     return total / count
 
 
+def shrink(blocks: DataFrame, bsize, factor, keys=("ds",)) -> tuple[DataFrame, list[int]]:
+    """(block table shrunk by `factor` per axis, its block size): means of the voxels that exist, made where the blocks lie.
+
+    Blocks whose sides are no multiples of the factor are re-cut first (one shuffle); voxels never become rows.
+    """
+    factor = [int(f) for f in factor]
+    whole = [-(-int(b) // f) * f for b, f in zip(bsize, factor)]
+    if whole != [int(b) for b in bsize]:
+        blocks = B.rechunk(blocks, whole, ("v",), keys)
+    small = [w // f for w, f in zip(whole, factor)]
+    keep = [*keys, *B.BLK, "dims", "bsize"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*keep).schema)
+
+    def run(batches):
+        for pdf in batches:
+            dims, values = [], []
+            for row in pdf.itertuples(index=False):
+                a = np.asarray(row.v, dtype=float).reshape(B.core_shape(row))
+                count = np.ones_like(a)
+                for ax, f in enumerate(factor):
+                    at = np.arange(0, a.shape[ax], f)
+                    a, count = (np.add.reduceat(x, at, axis=ax) for x in (a, count))
+                dims.append(level_dims(row.dims, factor))
+                values.append((a / count).ravel())
+            yield pdf[[*keys, *B.BLK]].assign(dims=dims, bsize=[small] * len(dims), v=values)[[*keep, "v"]]
+
+    return blocks.select(*keep, "v").mapInPandas(run, f"{fields}, v array<double>"), small
+
+
 def full(blocks: DataFrame, levels: int, keys=("ds",), col="v") -> DataFrame:
     """All levels s0..sN of a block table without any shuffle.
 

@@ -257,6 +257,28 @@ def centres(fix: DataFrame, mov: DataFrame, keys=("ds",)) -> DataFrame:
     return both.select(*keys, A.translation(*[F.col(f"m{a}") - F.col(f"f{a}") for a in "zyx"]).alias("m"))
 
 
+def block_centres(fix: DataFrame, mov: DataFrame, keys=("ds",)) -> DataFrame:
+    """As `centres`, of two block tables: every block gives four sums, voxels stay where they are."""
+
+    def moments(blocks: DataFrame, p: str) -> DataFrame:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
+
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for row in pdf.itertuples(index=False):
+                    v = np.asarray(row.v, dtype=float).reshape(B.core_shape(row))
+                    at = block_positions(row)
+                    out.append([*[getattr(row, k) for k in keys], v.sum(), *[(v * a).sum() for a in at]])
+                yield pd.DataFrame(out, columns=[*keys, "t", "z", "y", "x"])
+
+        sums = blocks.select(*keys, *B.BLK, "dims", "bsize", "v").mapInPandas(run, f"{schema}, t double, z double, y double, x double")
+        return sums.groupBy(*keys).agg(*[(F.sum(a) / F.sum("t")).alias(f"{p}{a}") for a in "zyx"])
+
+    both = moments(fix, "f").join(moments(mov, "m"), list(keys))
+    return both.select(*keys, A.translation(*[F.col(f"m{a}") - F.col(f"f{a}") for a in "zyx"]).alias("m"))
+
+
 def gradients(fix: DataFrame, keys=("ds",)) -> DataFrame:
     """`fix` with central differences gz, gy, gx of its values, across block faces (half of it at the volume's border)."""
     halo = [1, 1, 1]

@@ -137,6 +137,16 @@ def enough(spots: DataFrame, minimum: int, keys=("ds",)) -> DataFrame:
     return spots.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= int(minimum))
 
 
+def inside(points: DataFrame, mask: DataFrame, bsize, keys=("ds",)) -> DataFrame:
+    """Points whose voxel lies in a mask (block table, column `m`): each looks into the block that holds it."""
+    on = [*keys, *B.BLK]
+    at = points.withColumns({b: F.floor(F.col(a) / int(n)).cast("bigint") for a, b, n in zip("zyx", B.BLK, bsize)})
+    size = [F.least(F.lit(int(n)), F.col("dims")[i] - F.col(b) * int(n)) for i, (b, n) in enumerate(zip(B.BLK, bsize))]
+    local = [F.floor(F.col(a)) - F.col(b) * int(n) for a, b, n in zip("zyx", B.BLK, bsize)]
+    place = ((local[0] * size[1] + local[1]) * size[2] + local[2] + 1).cast("int")
+    return at.join(mask.select(*on, "dims", "m"), on).where(F.element_at("m", place) != 0).select(*points.columns)
+
+
 def spots_image(points: DataFrame, dims, bsize, scale=(1.0, 1.0, 1.0), ids=None, keys=("ds",)) -> DataFrame:
     """Spots per voxel of a reference grid, as a block table (0 where there are none)."""
     at = [F.floor(F.col(a) / float(s)).cast("bigint").alias(a) for a, s in zip("zyx", scale)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators import stats as T
+from voxelloom.session import written
 
 
 def overlap_pairs(tiles: DataFrame, cell, keys=("ds",)) -> DataFrame:
@@ -110,17 +111,24 @@ def solve_places(tile: np.ndarray, a: np.ndarray, b: np.ndarray, shift: np.ndarr
     return out
 
 
+#: Datasets of so many links at most are solved in one task each; its memory is bounded by that.
+SMALL_LINKS = 1 << 18
+
+
 def place(tiles: DataFrame, links: DataFrame, keys=("ds",), fixed: int = 0, tolerance: float = 1e-10) -> DataFrame:
     """Corrections (dy, dx) per tile: the least-squares solution of all links.
 
     A link says that content of tile a at g lies at g + s in tile b, so the corrected positions differ by -s.  Tile `fixed`
-    does not move; tiles that no chain of links joins to it keep a mean correction of 0.  A task solves one dataset from its
-    tile and link rows (a few numbers each, no pixels); links to tiles that are not listed do not count.
+    does not move; tiles that no chain of links joins to it keep a mean correction of 0; links to tiles that are not listed do not
+    count.  Only tile and link rows are read (a few numbers each, no pixels).  If a dataset has more than SMALL_LINKS links, all
+    are solved by conjugate gradients in Spark rounds: a join of links and tiles, grouped sums, one written table a round.
     """
     keys = list(keys)
     both = links.select(*keys, "a_tile_id", "b_tile_id", F.col("sy").cast("double").alias("sy"), F.col("sx").cast("double").alias("sx"))
     both = both.join(tiles.select(*keys, F.col("tile_id").alias("a_tile_id")), [*keys, "a_tile_id"], "left_semi")
-    both = both.join(tiles.select(*keys, F.col("tile_id").alias("b_tile_id")), [*keys, "b_tile_id"], "left_semi")
+    both = written(both.join(tiles.select(*keys, F.col("tile_id").alias("b_tile_id")), [*keys, "b_tile_id"], "left_semi"), "links")
+    if both.groupBy(*keys).count().where(F.col("count") > SMALL_LINKS).head(1):
+        return _place_rounds(tiles.select(*keys, "tile_id").distinct(), both, keys, fixed, tolerance)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.select(*keys, "tile_id").schema) + ", dy double, dx double"
 
     def solve(mine: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
@@ -134,6 +142,38 @@ def place(tiles: DataFrame, links: DataFrame, keys=("ds",), fixed: int = 0, tole
     return grouped.applyInPandas(solve, schema)
 
 
+def _place_rounds(tiles: DataFrame, links: DataFrame, keys, fixed: int, tolerance: float) -> DataFrame:
+    """`place` by Spark rounds; y and x are two systems with steps of their own, all datasets go on together."""
+    one, both = [*keys, "tile_id"], ("y", "x")
+    ends = links.select(*keys, F.col("a_tile_id").alias("tile_id"), F.col("b_tile_id").alias("other"), *[F.col(f"s{c}") for c in both])
+    ends = ends.unionByName(links.select(*keys, F.col("b_tile_id").alias("tile_id"), F.col("a_tile_id").alias("other"), *[(-F.col(f"s{c}")).alias(f"s{c}") for c in both]))
+    ends = written(ends, "ends")
+    start = ends.groupBy(*one).agg(F.count("*").cast("double").alias("degree"), *[F.sum(f"s{c}").alias(f"s{c}") for c in both])
+    free = F.when(F.col("tile_id") == fixed, 0.0).otherwise(1.0)
+    state = tiles.join(start, one, "left").select(*one, free.alias("free"), F.coalesce("degree", F.lit(0.0)).alias("degree"),
+                                                  *[(free * F.coalesce(f"s{c}", F.lit(0.0))).alias(f"r{c}") for c in both])
+    state = written(state.select("*", *[F.lit(0.0).alias(f"x{c}") for c in both], *[F.col(f"r{c}").alias(f"p{c}") for c in both]), "state")
+    first = written(state.groupBy(*keys).agg(*[F.sum(F.col(f"r{c}") * F.col(f"r{c}")).alias(f"first{c}") for c in both]), "first")
+    while True:
+        near = ends.join(state.select(*keys, F.col("tile_id").alias("other"), "py", "px"), [*keys, "other"])
+        near = near.groupBy(*one).agg(*[F.sum(f"p{c}").alias(f"n{c}") for c in both])
+        held = state.join(near, one, "left").select(
+            *state.columns, *[(F.col("free") * (F.col("degree") * F.col(f"p{c}") - F.coalesce(f"n{c}", F.lit(0.0)))).alias(f"q{c}") for c in both])
+        held = written(held, "rounds")
+        dots = held.groupBy(*keys).agg(*[F.sum(F.col(f"r{c}") * F.col(f"r{c}")).alias(f"rr{c}") for c in both],
+                                       *[F.sum(F.col(f"p{c}") * F.col(f"q{c}")).alias(f"pq{c}") for c in both])
+        step = dots.select(*keys, "rry", "rrx", *[F.when(F.col(f"pq{c}") > 0, F.col(f"rr{c}") / F.col(f"pq{c}")).otherwise(0.0).alias(f"a{c}") for c in both])
+        moved = held.join(step, keys).select(*one, "free", "degree", "rry", "rrx", *[(F.col(f"x{c}") + F.col(f"a{c}") * F.col(f"p{c}")).alias(f"x{c}") for c in both],
+                                             *[(F.col(f"r{c}") - F.col(f"a{c}") * F.col(f"q{c}")).alias(f"r{c}") for c in both], "py", "px", "ay", "ax")
+        after = moved.groupBy(*keys).agg(*[F.sum(F.col(f"r{c}") * F.col(f"r{c}")).alias(f"now{c}") for c in both],
+                                         F.max(F.greatest("ay", "ax")).alias("went"))
+        state = moved.join(after, keys).select(*one, "free", "degree", "ry", "rx", "xy", "xx", *[
+            (F.col(f"r{c}") + F.when(F.col(f"rr{c}") > 0, F.col(f"now{c}") / F.col(f"rr{c}")).otherwise(0.0) * F.col(f"p{c}")).alias(f"p{c}") for c in both])
+        going = after.join(first, keys).where("went > 0").where(" or ".join(f"now{c} > first{c} * {tolerance ** 2}" for c in both))
+        if not going.head(1):
+            return state.select(*one, F.col("xy").alias("dy"), F.col("xx").alias("dx"))
+
+
 def fuse(vox: DataFrame, tiles: DataFrame, keys=("ds",)) -> DataFrame:
     """One volume from placed tiles (keys, tile_id, y0, x0, h, w): mean weighted by the
     distance to the tile's border; one shuffle, combined map-side."""

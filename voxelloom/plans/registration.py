@@ -13,6 +13,7 @@ from voxelloom.functions.params import deep_merge, phase_steps, step_params
 from voxelloom.operators import fields as D
 from voxelloom.operators import filters as N
 from voxelloom.operators import local as LO
+from voxelloom.operators import pyramid as Y
 from voxelloom.operators import register as R
 from voxelloom.operators import spots as P
 from voxelloom.operators import stats as T
@@ -27,7 +28,8 @@ DEFAULTS = {
         "fix_spots_count_threshold": 100, "mov_spots_count_threshold": 100, "confidence": 0.999, "least_share": 0.1,
         "safeguard_exceptions": True,
     },
-    "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3},
+    "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3, "initial_condition": None, "shrink_factors": None,
+               "smooth_sigmas": None, "alignment_spacing": None},
     "global_align": {"steps": ["ransac"]},
     "deform": {"spacing": 24, "factors": [1, 2], "smooth": [1.0, 0.25], "iterations": 10, "min_step": 0.02},
     "local_align": {"steps": ["shift"], "reach": None, "overlap": None, "smooth": 0.0, "inverse_iterations": 0,
@@ -36,13 +38,15 @@ DEFAULTS = {
 }
 
 
-def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
+def ransac_step(fix, mov, current, dims, bsize, p, mask=None) -> DataFrame:
     """Spots, context matches, consensus affine on top of the current one; datasets that
     miss a guard, or whose best model agrees with less than `least_share` of the matches, keep what they have."""
     moved = through(fix, mov, current, dims, bsize)
     sides = {}
     for name, blocks in (("fix", fix), ("mov", moved)):
         spots = R.contexts(blocks, p["cc_radius"], p["threshold"])
+        if mask is not None and name == "fix":
+            spots = P.inside(spots, mask, bsize)
         sides[name] = cut(P.strongest(spots, p["nspots"]).drop("rank"))
         ok = P.enough(sides[name], p[f"{name}_spots_count_threshold"])
         sides[name] = sides[name].join(ok.select("ds"), "ds", "left_semi")
@@ -59,12 +63,41 @@ def ransac_step(fix, mov, current, dims, bsize, p) -> DataFrame:
     return both.select("ds", A.compose(F.col("a"), F.coalesce("b", A.identity())).alias("m"))
 
 
-def affine_step(fix, mov, current, dims, bsize, p) -> DataFrame:
-    """Intensity refinement of the current affine on smoothed, standardised volumes."""
-    s = [p["smooth"]] * 3
-    sides = [T.standardize(cut(N.smooth(side, s))) for side in (fix, mov)]
-    margin = [max(1, min(N.radius(p["smooth"]), d // 8)) for d in dims]  # smoothing repeats border voxels
-    return R.refine_affine(*sides, current, dims, bsize, p["iterations"], p["learning_rate"], p["min_step"], margin=margin).select("ds", "m")
+def affine_step(fix, mov, current, dims, bsize, p, mask=None) -> DataFrame:
+    """Intensity refinement of the current affine on smoothed, standardised volumes, from coarse to fine.
+
+    A level shrinks both volumes by its factor of `shrink_factors` (axes that would keep fewer than eight voxels stay) and
+    smooths them with its sigma of `smooth_sigmas`, in voxels of the level; so the iterations of a coarse level move a small
+    volume.  With `alignment_spacing` (voxels) the volumes are first shrunk to about that.  `initial_condition` CENTER starts
+    from the difference of the centres of mass.  `mask` (block table of the fixed volume, column `m`): only voxels inside count.
+    """
+    if p["initial_condition"] == "CENTER":
+        current = cut(R.block_centres(fix, mov))
+    elif p["initial_condition"] is not None:
+        raise ValueError(f"unknown initial condition {p['initial_condition']}")
+    factors, sigmas = p["shrink_factors"] or [1], p["smooth_sigmas"] or [p["smooth"]]
+    if len(factors) != len(sigmas):
+        raise ValueError(f"one sigma a level: {factors}, {sigmas}")
+    base = max(1, int(p["alignment_spacing"] or 1))
+    for shrink, sigma in zip(factors, sigmas):
+        factor = [max(1, min(int(shrink) * base, d // 8)) for d in dims]
+        sides, small, own = [fix, mov], [int(b) for b in bsize], list(dims)
+        inside = mask if mask is None else mask.withColumnRenamed("m", "v")
+        if max(factor) > 1:
+            sides, own = [cut(Y.shrink(x, bsize, factor)[0]) for x in sides], Y.level_dims(dims, factor)
+            inside = inside if inside is None else Y.shrink(inside, bsize, factor)[0]
+            small = [-(-int(b) // f) for b, f in zip(bsize, factor)]
+        if sigma:
+            sides = [cut(N.smooth(x, [sigma] * 3)) for x in sides]
+        sides = [T.standardize(x) for x in sides]
+        if inside is not None:
+            on = ["ds", *W.B.BLK]
+            sides[0] = sides[0].join(inside.select(*on, F.transform("v", lambda v: F.when(v >= 0.5, 1.0).otherwise(0.0)).alias("mask")), on)
+        margin = [max(1, min(N.radius(sigma), d // 8)) for d in own]  # smoothing repeats border voxels
+        start = current.select("ds", A.shrunk(F.col("m"), factor).alias("m"))
+        found = R.refine_affine(*sides, start, own, small, p["iterations"], p["learning_rate"], p["min_step"], margin=margin)
+        current = cut(found.select("ds", A.grown(F.col("m"), factor).alias("m")))
+    return current
 
 
 STEPS: dict[str, Callable] = {"ransac": ransac_step, "affine": affine_step}
@@ -76,12 +109,12 @@ def through(fix, mov, affine, dims, bsize) -> DataFrame:
     return cut(W.warp(target, mov, dims, bsize))
 
 
-def global_align(fix, mov, dims, bsize, steps: str | None = None, config: dict | None = None, init: DataFrame | None = None):
-    """Fold the steps; each starts from the affine its predecessor produced."""
+def global_align(fix, mov, dims, bsize, steps: str | None = None, config: dict | None = None, init: DataFrame | None = None, mask: DataFrame | None = None):
+    """Fold the steps; each starts from the affine its predecessor produced.  `mask`: block table of the fixed volume, column `m`."""
     cfg = deep_merge(DEFAULTS, config)
     current = init if init is not None else fix.select("ds").distinct().select("ds", A.identity().alias("m"))
     for step in phase_steps(cfg, "global_align", steps):
-        current = cut(STEPS[step](fix, mov, current, dims, bsize, step_params(cfg, "global_align", step)))
+        current = cut(STEPS[step](fix, mov, current, dims, bsize, step_params(cfg, "global_align", step), mask))
     return current
 
 
@@ -98,12 +131,12 @@ class Pair:
 
 
 def register(fix, mov, dims, bsize, global_steps=None, local_steps=None, config=None, mask=None, extra=None, init=None,
-             spacing=(1.0, 1.0, 1.0), mov_spacing=None, local: Pair | None = None) -> dict:
+             spacing=(1.0, 1.0, 1.0), mov_spacing=None, local: Pair | None = None, global_mask=None) -> dict:
     """Both phases: affine, its inverse, field, aligned volumes; '' as steps skips a phase.
 
     The global phase runs on `fix` and `mov`, the local phase on `local` where given (another scale, say), else on the same
     pair.  Affines, `init` too, are in physical units: voxels times `spacing` (of the moving volume `mov_spacing`, if it
-    differs).  The field is in voxels of the local pair, and `mask` and `extra` lie on its grid.  `extra`: further images (block
+    differs).  The field is in voxels of the local pair, and `mask` and `extra` lie on its grid; `global_mask` lies on that of `fix`.  `extra`: further images (block
     table with `image` and `ds`) to warp with the result.
     """
     cfg = deep_merge(DEFAULTS, config)
@@ -112,7 +145,7 @@ def register(fix, mov, dims, bsize, global_steps=None, local_steps=None, config=
     affine = start
     if global_steps != "":
         start = start.select("ds", A.voxels(F.col("m"), whole.fix_spacing, whole.mov_spacing).alias("m"))
-        found = global_align(whole.fix, whole.mov, dims, bsize, global_steps, config, start)
+        found = global_align(whole.fix, whole.mov, dims, bsize, global_steps, config, start, global_mask)
         affine = cut(found.select("ds", A.physical(F.col("m"), whole.fix_spacing, whole.mov_spacing).alias("m")))
     out = {"affine": affine, "inverse_affine": affine.select("ds", A.invert(F.col("m")).alias("m"))}
     near = whole if local is None else replace(local, fix=cut(local.fix), mov=cut(local.mov))
