@@ -27,3 +27,24 @@ def test_very_many_copies_take_linear_time():
     begin = time.time()
     assert len(license.find(words, index, 8, 0.8)) == 3000
     assert time.time() - begin < 60
+
+
+def test_no_place_with_replaced_words_is_missed():
+    """Random replacements up to the least coverage, against alignment over all diagonals."""
+    import random
+
+    import numpy as np
+
+    index = license.Index(license.TEMPLATES, 3, 3)
+    rng = random.Random(6)
+    missed = tried = 0
+    for t, words in enumerate(index.words):
+        for _ in range(40):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), rng.randint(0, len(words) // 5)):
+                copy[at] = rng.getrandbits(63)
+            text = [rng.getrandbits(63) for _ in range(rng.randint(0, 9))] + copy + [rng.getrandbits(63) for _ in range(5)]
+            if license.align(words, text, -len(words), len(text))[0] >= 0.8 * len(words):
+                tried += 1
+                missed += not any(x[0] == t for x in license.find(np.array(text, dtype=np.uint64), index, 8, 0.8))
+    assert tried > 300 and missed == 0

@@ -204,9 +204,7 @@ def test_license_scan_equals_full_alignment(llm):
                 assert got[name].matched == matched and got[name].coverage == matched / len(target)
                 assert X.sign_words(r.text[got[name].char_start:got[name].char_end]) == words[got[name].first:got[name].end]
             else:
-                # a miss has no run of five equal words, which is what the fingerprints promise to find
-                runs = {tuple(words[i:i + 5]) for i in range(len(words))} & {tuple(target[i:i + 5]) for i in range(len(target) - 4)}
-                assert matched < 0.8 * len(target) or not runs, (r.doc_id, name)
+                assert matched < 0.8 * len(target), (r.doc_id, name)
     assert license.scan(df.limit(0)).count() == 0 and license.found(df).where("doc_id = 5 and license = 'MIT'").count() == 2
 
 

@@ -72,10 +72,42 @@ def winnow(hashed: np.ndarray, window: int) -> np.ndarray:
     return np.unique(len(hashed) - 1 - best)
 
 
+class Layer:
+    """Fingerprints of the templates that share one length of grams and one window: fingerprint -> (template, position)."""
+
+    def __init__(self, grams: int, window: int):
+        self.grams, self.window, self.rows = grams, window, []
+
+    def add(self, template: int, words: list[int]) -> None:
+        keys = W.windows(np.array(words, dtype=np.uint64), self.grams)
+        self.rows += [(int(keys[p]), template, int(p)) for p in winnow(keys, self.window)]
+
+    def close(self) -> None:
+        self.rows.sort()
+        self.keys = np.array([r[0] for r in self.rows], dtype=np.uint64)
+        self.places = [(t, p) for _, t, p in self.rows]
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in keys, first, end of its postings)."""
+        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        at = np.flatnonzero(b > a)
+        return at, a[at], b[at]
+
+
+def equal_run(length: int, least: float) -> int:
+    """Words in a row that a place of a template keeps at least, if other words stand in for the rest."""
+    kept = int(np.ceil(least * length - 1e-9))
+    return max(1, -(-kept // (length - kept + 1)))
+
+
 class Index:
-    """Word hashes of the templates and fingerprint -> (template, position)."""
+    """Word hashes of the templates, and their fingerprints in layers.
 
-    def __init__(self, templates: dict[str, str], grams: int, window: int):
+    A template's grams and window follow from its length and the least coverage: winnowing finds every run of
+    grams + window - 1 equal words, and every place in which words are replaced keeps a run of that length.
+    """
+
+    def __init__(self, templates: dict[str, str], grams: int, window: int, least: float = 0.8):
         self.names = sorted(templates)
         data, offsets = W.flat(pa.array([templates[n] for n in self.names], pa.string()))
         data = W.LOWER[data]
@@ -84,23 +116,15 @@ class Index:
             raise ValueError("the templates are too large to send to every task")
         hashed = W.hashes(data, starts, ends)
         self.words = [hashed[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
-        # the guarantee must hold for the shortest template
-        shortest = min((len(w) for w in self.words if w), default=grams)
-        self.grams = min(grams, shortest)
-        self.window = max(1, min(window, shortest - self.grams + 1))
-        rows = []
+        layers: dict[tuple[int, int], Layer] = {}
         for t, words in enumerate(self.words):
-            keys = W.windows(np.array(words, dtype=np.uint64), self.grams)
-            rows += [(int(keys[p]), t, int(p)) for p in winnow(keys, self.window)]
-        rows.sort()
-        self.keys = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.places = [(t, p) for _, t, p in rows]
-
-    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in keys, first, end of its postings)."""
-        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        at = np.flatnonzero(b > a)
-        return at, a[at], b[at]
+            if words:
+                run = equal_run(len(words), least)
+                shape = min(grams, run), min(window, run - min(grams, run) + 1)
+                layers.setdefault(shape, Layer(*shape)).add(t, words)
+        self.layers = [layers[shape] for shape in sorted(layers)]
+        for layer in self.layers:
+            layer.close()
 
 
 def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int]:
@@ -148,13 +172,14 @@ def places(target: list[int], words: np.ndarray, low: int, high: int, least: flo
 
 def find(words: np.ndarray, index: Index, band: int, least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first, end) in one text's word hashes, by place."""
-    keys = W.windows(words, index.grams)
-    picked = winnow(keys, index.window)
-    at, a, b = index.hits(keys[picked])
     found: dict[int, set[int]] = {}
-    for p, i, j in zip(picked[at].tolist(), a.tolist(), b.tolist()):
-        for template, q in index.places[i:j]:
-            found.setdefault(template, set()).add(p - q)
+    for layer in index.layers:
+        keys = W.windows(words, layer.grams)
+        picked = winnow(keys, layer.window)
+        at, a, b = layer.hits(keys[picked])
+        for p, i, j in zip(picked[at].tolist(), a.tolist(), b.tolist()):
+            for template, q in layer.places[i:j]:
+                found.setdefault(template, set()).add(p - q)
     out = []
     for template, hits in found.items():
         target = index.words[template]
@@ -187,14 +212,15 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
     coverage: share of the template's words that the alignment matches, `least` or more; first and end are words, char_* code
     points of the text, ends exclusive.  Equal or overlapping templates are all reported; of overlapping places of one
-    template the best.  A place is a candidate if it shares `grams` + `window` - 1 words in a row with the template (5 by
-    default, fewer for shorter templates).  Null, empty and unrelated texts have an empty list; a template without words is never found; a
+    template the best.  A place is a candidate if it shares a run of words with the template that every place keeps in which
+    words are replaced (four words, fewer for templates of less than eight; `grams` and `window` bound the fingerprints); words
+    put in between all runs can hide a place.  Null, empty and unrelated texts have an empty list; a template without words is never found; a
     column named `licenses` is replaced.  Whole texts are scanned; `band` is how far words may shift between fingerprints.
     """
     spark = docs.sparkSession
     kept = docs.drop("licenses")
     names = kept.columns
-    shared = spark.sparkContext.broadcast(Index({n: t for n, t in (TEMPLATES if templates is None else templates).items() if t}, grams, window))
+    shared = spark.sparkContext.broadcast(Index({n: t for n, t in (TEMPLATES if templates is None else templates).items() if t}, grams, window, least))
 
     def run(batches):
         index = shared.value
@@ -205,9 +231,9 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
                 starts, ends, first = W.bounds(lower, offsets, W.SIGN)
                 hashed = W.hashes(lower, starts, ends)
                 known = np.zeros(batch.num_rows, dtype=bool)
-                if len(index.keys):  # most texts share no fingerprint at all
-                    near = np.minimum(np.searchsorted(index.keys, keys := W.windows(hashed, index.grams)), len(index.keys) - 1)
-                    hit = np.flatnonzero(index.keys[near] == keys)
+                for layer in index.layers:  # most texts share no fingerprint at all
+                    near = np.minimum(np.searchsorted(layer.keys, keys := W.windows(hashed, layer.grams)), len(layer.keys) - 1)
+                    hit = np.flatnonzero(layer.keys[near] == keys)
                     known[np.searchsorted(first, hit, "right") - 1] = True
                 out = []
                 for i in range(batch.num_rows):
@@ -229,6 +255,6 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
 
 def found(docs: DataFrame, **options) -> DataFrame:
-    """One row for each license found, with the columns of `docs` but the text and those named like a field of a match."""
+    """One row for each license found (a document without one has none), with the columns of `docs` but the text and those named like a field of a match."""
     text = options.get("text", "text")
     return scan(docs.drop("m", *MATCH.names), **options).drop(text).withColumn("m", F.explode("licenses")).select("*", "m.*").drop("m", "licenses")
