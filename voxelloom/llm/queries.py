@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import chat, collocate, decontam, langid, license, packing, shard, simhash, substring, tokens, topk, warc
 from voxelloom.llm import repair as repairs
-from voxelloom.llm.setup import ready
+from voxelloom.llm.setup import ready, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
                        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
-    numbered = shard.number(shard.assign(rows, "doc_id", shards=40), ["doc_id", "text_crc32"])
+    assigned = stored(shard.assign(rows, "doc_id", shards=40), "assigned")  # ranging samples its input: the hashes are made once
+    numbered = shard.number(assigned, ["doc_id", "text_crc32"])
     return numbered.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
