@@ -106,3 +106,18 @@ def test_placement_in_rounds_equals_one_task(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k in want:
         np.testing.assert_allclose(got[k], want[k], atol=1e-5)
+
+
+@pytest.mark.parametrize("bsize,scale", [((4, 8, 8), (1, 4, 4)), ((4, 6, 9), (2, 2, 3)), ((3, 5, 7), (1, 1, 1))])
+def test_masks_meet_their_blocks(spark, bsize, scale):
+    from voxelloom.operators import select as M
+
+    shape = (7, 17, 20)
+    rng = np.random.default_rng(1)
+    a, low = rng.normal(size=shape), rng.integers(0, 2, [-(-n // s) for n, s in zip(shape, scale)]).astype(float)
+    small = [b // s for b, s in zip(bsize, scale)]
+    both = M.with_mask(table(spark, a, bsize), table(spark, low, small).withColumnRenamed("v", "m"), scale)
+    at = np.ix_(*[np.arange(n) // s for n, s in zip(shape, scale)])
+    np.testing.assert_array_equal(array(both, shape, "m"), low[at])
+    with pytest.raises(Exception, match="do not fit"):
+        M.with_mask(table(spark, a, (7, 17, 20)), table(spark, low, low.shape).withColumnRenamed("v", "m"), (1, 5, 5)).collect()

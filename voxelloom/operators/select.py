@@ -94,6 +94,30 @@ def apply_mask_blocks(blocks: DataFrame, mask_blocks: DataFrame, keys=("ds",), c
     return df.withColumn(col, F.coalesce(zeroed, F.transform(col, lambda v: zero))).drop(mask_col)
 
 
+def with_mask(blocks: DataFrame, mask_blocks: DataFrame, scale=(1, 1, 1), keys=("ds",), col="v", mask_col="m") -> DataFrame:
+    """`blocks` with the mask's value at every voxel (array `mask_col`); joins block rows, not voxels.
+
+    `scale`: image voxels per mask voxel and axis.  A mask of a lower resolution has blocks that are smaller by it, so a block
+    meets the mask block of its own number.  Blocks without a mask block are left out.
+    """
+    on = [*keys, "blk_z", "blk_y", "blk_x"]
+    own = mask_blocks.select(*on, mask_col, F.col("bsize").alias("_mb"))
+    df = blocks.join(own, on)
+    fits = F.lit(True)
+    for i, s in enumerate(scale):
+        fits = fits & (F.col("_mb")[i] * int(s) == F.col("bsize")[i])
+    size = [F.least(F.col("bsize")[i], F.col("dims")[i] - F.col(b) * F.col("bsize")[i]) for i, b in enumerate(on[-3:])]
+    if tuple(scale) != (1, 1, 1):
+        low = [F.ceil(n / int(s)) for n, s in zip(size, scale)]
+        df = df.withColumns({"_ny": size[1], "_nx": size[2], "_my": low[1], "_mx": low[2]})
+        place = F.transform(F.sequence(F.lit(0).cast("bigint"), F.size(col).cast("bigint") - 1), lambda p: F.get(mask_col, (
+            (F.floor(F.floor(p / (F.col("_ny") * F.col("_nx"))) / int(scale[0])) * F.col("_my")
+             + F.floor(F.floor(p / F.col("_nx")) % F.col("_ny") / int(scale[1]))) * F.col("_mx") + F.floor(p % F.col("_nx") / int(scale[2]))).cast("int")))
+        df = df.withColumn(mask_col, place).drop("_ny", "_nx", "_my", "_mx")
+    checked = F.when(fits, F.col(mask_col)).otherwise(F.raise_error(F.lit("block sizes of image and mask do not fit the scale")))
+    return df.withColumn(mask_col, checked).drop("_mb")
+
+
 def skip_factors(spacing, working: float) -> list[int]:
     """Voxels to step per axis so that sampling comes near the working spacing."""
     return [max(1, int(working / s + 0.5)) for s in spacing]

@@ -77,10 +77,20 @@ QUERIES["coord_scale"] = lambda s, d: S.scale_coords(X.points(s, d), (0.5, 0.25,
 ORACLES["coord_scale"] = sql(
     "SELECT ds, point_id, c, z * 0.5e0 AS z, y * 1e0 AS y, x * 1e0 AS x, intensity FROM fx_points"
 )
-QUERIES["mask_apply"] = lambda s, d: (
-    S.apply_mask(X.fix(s, d), X.mask(s, d).where("m = 1")).withColumn("side", F.lit("full"))
-    .unionByName(S.apply_mask(X.fix(s, d), X.low_mask(s, d).where("m = 1"), scale=(1, 4, 4)).withColumn("side", F.lit("low")))
-)
+
+
+def mask_apply(spark, sf):
+    """Voxels inside a full and inside a low-resolution mask, block by block."""
+    blocks, ids, out = X.fix_blocks(spark, sf, (7, 16, 16)), X.datasets(spark, sf), None
+    for side, mask, scale in (("full", X.mask(spark, sf), (1, 1, 1)), ("low", X.low_mask(spark, sf), (1, 4, 4))):
+        dims, bsize = [-(-d // s) for d, s in zip(X.DIMS, scale)], [b // s for b, s in zip((7, 16, 16), scale)]
+        both = S.with_mask(blocks, B.pack(mask.where("m = 1"), dims, bsize, cols=("m",), ids=ids), scale)
+        part = B.unpack(both, ("v", "m")).where("m <> 0").select("ds", "z", "y", "x", F.col("v").cast("bigint").alias("v"), F.lit(side).alias("side"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["mask_apply"] = mask_apply
 ORACLES["mask_apply"] = sql(
     "SELECT f.*, 'full' AS side FROM fx_fix f SEMI JOIN (SELECT * FROM fx_mask WHERE m = 1) m USING (ds, z, y, x)"
     " UNION ALL SELECT f.*, 'low' AS side FROM fx_fix f WHERE EXISTS (SELECT 1 FROM fx_lowmask m WHERE m.m = 1"
