@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.operators import blocks as B
 from voxelloom.operators import stats as T
 from voxelloom.session import written
 
@@ -181,3 +182,129 @@ def fuse(vox: DataFrame, tiles: DataFrame, keys=("ds",)) -> DataFrame:
     w = F.least(F.col("y") + 1, F.col("h") - F.col("y")) * F.least(F.col("x") + 1, F.col("w") - F.col("x"))
     return df.groupBy(*keys, "z", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x")).agg(
         (F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+
+
+def overlap_boxes(tiles: DataFrame, cell, keys=("ds",)) -> DataFrame:
+    """Pairs of tiles whose boxes intersect in three axes: a_* and b_* of both, lo_*, hi_* of the common box.
+
+    `tiles`: keys, tile_id, z0, y0, x0, d, h, w.  As `overlap_pairs`: a pair is reported by the one grid cell that holds the
+    common box's lower corner.
+    """
+    t, axes = tiles, list(zip("zyx", "dhw", cell))
+    for a, s, n in axes:
+        t = t.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / int(n)), F.floor((F.col(f"{a}0") + F.col(s) - 1) / int(n)))))
+    cols, at = ("tile_id", *[f"{a}0" for a in "zyx"], *"dhw"), [f"c{a}" for a in "zyx"]
+    one, other = (t.select(*keys, *at, *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in "ab")
+    df = one.join(other, [*keys, *at]).where("a_tile_id < b_tile_id")
+    for a, s, n in axes:
+        df = df.withColumns({f"lo_{a}": F.greatest(f"a_{a}0", f"b_{a}0"), f"hi_{a}": F.least(F.expr(f"a_{a}0 + a_{s}"), F.expr(f"b_{a}0 + b_{s}"))})
+        df = df.where((F.col(f"hi_{a}") > F.col(f"lo_{a}")) & (F.floor(F.col(f"lo_{a}") / int(n)) == F.col(f"c{a}")))
+    return df.drop(*at)
+
+
+def gather(wanted: DataFrame, blocks: DataFrame, bsize, ids, keys=("ds",)) -> DataFrame:
+    """The boxes [l0..l2, h0..h2) of `wanted` cut out of a block table: ids, part_box, part_v; blocks are cut before the shuffle.
+
+    `keys` join both sides, `ids` name a wanted box.
+    """
+    cut_at = wanted.select(*dict.fromkeys([*keys, *ids]), *[f"{c}{i}" for c in "lh" for i in range(3)])
+    for i, (b, n) in enumerate(zip(B.BLK, bsize)):
+        cut_at = cut_at.withColumn(b, F.explode(F.sequence(F.floor(F.col(f"l{i}") / int(n)), F.floor((F.col(f"h{i}") - 1) / int(n)))))
+    got = cut_at.join(blocks.select(*keys, *B.BLK, "dims", "v"), [*keys, *B.BLK])
+    for i, (b, n) in enumerate(zip(B.BLK, bsize)):
+        got = got.withColumns({f"_a{i}": F.col(b) * int(n), f"_b{i}": F.least(F.col(b) * int(n) + int(n), F.col("dims")[i])})
+        got = got.withColumns({f"_lo{i}": F.greatest(f"l{i}", f"_a{i}"), f"_hi{i}": F.least(f"h{i}", f"_b{i}")})
+    got = got.where(" and ".join(f"_hi{i} > _lo{i}" for i in range(3)))
+    box = F.array(*[F.col(f"_lo{i}") - F.col(f"l{i}") for i in range(3)], *[F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(3)])
+    parts = got.select(*ids, F.struct(box.alias("box"), B.slab("v").alias("v")).alias("p")).groupBy(*ids).agg(F.collect_list("p").alias("p"))
+    return parts.select(*ids, F.flatten("p.box").alias("part_box"), F.flatten("p.v").alias("part_v"))
+
+
+def _filled(shape, boxes, data) -> np.ndarray:
+    out, at, data = np.zeros(shape), 0, np.asarray(data, dtype=float)
+    for box in np.asarray(boxes, dtype=np.int64).reshape(-1, 6):
+        n = int(np.prod(box[3:]))
+        out[tuple(slice(a, a + k) for a, k in zip(box[:3], box[3:]))] = data[at:at + n].reshape(box[3:])
+        at += n
+    return out
+
+
+def moment_volumes(f: np.ndarray, m: np.ndarray, real: np.ndarray, reach) -> np.ndarray:
+    """(6, shifts): count and moment sums of `f` against `m`, which is larger by `reach` on both sides, for every shift.
+
+    All shifts at once as products of Fourier transforms; `real` marks the voxels of `m` that exist.
+    """
+    size = [a + b - 1 for a, b in zip(f.shape, m.shape)]
+    one = f.mean()  # shifted values keep the sums small; corrected below
+    a, b = f - one, np.where(real, m - one, 0.0)
+    wide = [np.fft.rfftn(x, size, (0, 1, 2)) for x in (real.astype(float), b, b * b)]
+    window = tuple(slice(0, 2 * r + 1) for r in reach)
+
+    def sums(g, i):
+        return np.fft.irfftn(np.conj(np.fft.rfftn(g, size, (0, 1, 2))) * wide[i], size, (0, 1, 2))[window].ravel()
+
+    unit = np.ones_like(f)
+    n = np.rint(sums(unit, 0))
+    sa, sb, saa, sbb, sab = sums(a, 0), sums(unit, 1), sums(a * a, 0), sums(unit, 2), sums(a, 1)
+    # back to the values as they are
+    return np.stack([n, sa + one * n, sb + one * n, saa + 2 * one * sa + one * one * n, sbb + 2 * one * sb + one * one * n, sab + one * (sa + sb) + one * one * n])
+
+
+def shift_volumes(pairs: DataFrame, blocks: DataFrame, bsize, reach, chunk=(16, 32, 32), keys=("ds",)) -> DataFrame:
+    """Correlation of each pair of tiles for every shift (sz, sy, sx) up to `reach` per axis.
+
+    `pairs`: from `overlap_boxes`; `blocks`: keys, tile_id, block id, dims, bsize, v in a tile's own coordinates.  Voxel g of the
+    first tile meets voxel g + s of the second.  The common box is taken in chunks: a chunk and its neighbourhood in the second
+    tile meet in a task, Fourier transforms give the moment sums of all its shifts, and sums add up over the chunks of a pair.
+    """
+    reach, names = [int(r) for r in reach], [*keys, "a_tile_id", "b_tile_id"]
+    ids = [*names, "k0", "k1", "k2"]
+    df = pairs
+    for i, (a, n) in enumerate(zip("zyx", chunk)):
+        df = df.withColumn(f"k{i}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(f"hi_{a}") - F.col(f"lo_{a}") - 1) / int(n)))))
+        df = df.withColumn(f"g{i}", F.col(f"lo_{a}") + F.col(f"k{i}") * int(n))
+        df = df.withColumn(f"e{i}", F.least(F.col(f"g{i}") + int(n), F.col(f"hi_{a}")))
+    sides = {}
+    for side, far in (("a", [0, 0, 0]), ("b", reach)):
+        low = [F.col(f"g{i}") - F.col(f"{side}_{a}0") - r for i, (a, r) in enumerate(zip("zyx", far))]
+        high = [F.col(f"e{i}") - F.col(f"{side}_{a}0") + r for i, (a, r) in enumerate(zip("zyx", far))]
+        box = df.select(*keys, "a_tile_id", "b_tile_id", "k0", "k1", "k2", F.col(f"{side}_tile_id").alias("tile_id"),
+                        *[c.cast("bigint").alias(f"l{i}") for i, c in enumerate(low)], *[c.cast("bigint").alias(f"h{i}") for i, c in enumerate(high)])
+        parts = gather(box, blocks, bsize, ids, [*keys, "tile_id"])
+        sides[side] = parts.select(*ids, F.col("part_box").alias(f"box_{side}"), F.col("part_v").alias(f"v_{side}"))
+    limits = [F.array(*[(F.col(f"b_{c}0") if what == "0" else F.col(f"b_{c}0") + F.col(f"b_{s}")).cast("bigint") for c, s in zip("zyx", "dhw")]) for what in "01"]
+    both = df.select(*ids, F.array(*[F.col(f"g{i}").cast("bigint") for i in range(3)]).alias("low"), F.array(*[F.col(f"e{i}").cast("bigint") for i in range(3)]).alias("high"),
+                     limits[0].alias("first"), limits[1].alias("last")).join(sides["a"], ids).join(sides["b"], ids)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
+    shifts = np.stack(np.unravel_index(np.arange(int(np.prod([2 * r + 1 for r in reach]))), [2 * r + 1 for r in reach]), 1) - reach
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                low, high = (np.asarray(x, dtype=np.int64) for x in (row.low, row.high))
+                f = _filled(high - low, row.box_a, row.v_a)
+                m = _filled(high - low + 2 * np.array(reach), row.box_b, row.v_b)
+                real = np.ones(m.shape, dtype=bool)
+                for ax in range(3):  # the second tile ends somewhere
+                    at = np.arange(m.shape[ax]) + low[ax] - reach[ax]
+                    real &= np.expand_dims((at >= row.first[ax]) & (at < row.last[ax]), [i for i in range(3) if i != ax])
+                out = pd.DataFrame(moment_volumes(f, m, real, reach).T, columns=list(T.SUMS))
+                for i, c in enumerate(names):
+                    out.insert(i, c, getattr(row, c))
+                yield out.assign(sz=shifts[:, 0], sy=shifts[:, 1], sx=shifts[:, 2])
+
+    sums = both.mapInPandas(run, f"{schema}, " + ", ".join(f"{c} double" for c in T.SUMS) + ", sz bigint, sy bigint, sx bigint")
+    sums = sums.groupBy(*names, "sz", "sy", "sx").agg(*[F.sum(c).alias(c) for c in T.SUMS]).where("n > 0.5")
+    spread = F.col("n") * F.greatest(F.abs("saa"), F.abs("sbb")) * 1e-9  # flat but for the rounding of the transforms
+    va, vb = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") for c in "ab")
+    return sums.withColumn("r", F.when((va > spread) & (vb > spread), T.corr_of_sums()))
+
+
+def best_shift_volume(scores: DataFrame, least: int = 2, keys=("ds",)) -> DataFrame:
+    """The shift (sz, sy, sx) with the highest correlation over `least` voxels or more; ties go to the smallest shift."""
+    r = F.round("r", 5)
+    away = F.abs("sz") + F.abs("sy") + F.abs("sx")
+    rank = F.struct(r.alias("r"), (-away).alias("d"), *[(-F.col(c)).alias(f"_{c}") for c in ("sz", "sy", "sx")])
+    best = F.max_by(F.struct("sz", "sy", "sx", r.alias("r"), F.round("n").cast("bigint").alias("n")), rank)
+    g = scores.where(F.col("r").isNotNull() & (F.col("n") >= int(least))).groupBy(*keys, "a_tile_id", "b_tile_id").agg(best.alias("b"))
+    return g.select(*keys, "a_tile_id", "b_tile_id", "b.*")
