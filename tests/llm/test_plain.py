@@ -45,6 +45,17 @@ def test_rows_with_null_ids_are_packed(spark):
     assert packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").limit(0)).count() == 0
 
 
+def test_near_copies_of_a_given_cluster_do_not_share_a_bin(spark):
+    rows = [(i, f"text {i} " * 20, None, i % 3 if i < 30 else None) for i in range(40)]
+    df = ready(spark).createDataFrame(rows, "doc_id long, text string, source string, component long").coalesce(1)
+    bins = {}
+    for r in packing.pack(df, cluster="component").collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    for held in bins.values():
+        known = [i % 3 for i in held if i < 30]
+        assert len(known) == len(set(known))
+
+
 def plain_decision(model, margins):
     """Language and score of one text, machine by machine."""
     sure = {kind: 1 / (1 + math.exp(-max(-30, min(30, 3 * m)))) for kind, m in zip(model.tasks, margins)}

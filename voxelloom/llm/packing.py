@@ -58,18 +58,20 @@ def best_fit(sizes, sources, clusters, capacity: int) -> tuple[list[int], list[i
     return placed, fill
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, run: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, run: int = 4096,
+         cluster: str | None = None) -> DataFrame:
     """(doc_id, piece, first, size, bin_id, slot, bin_fill): every piece of every document in a bin.
 
     Sizes are words (`[^\\x20\\x09-\\x0D]+`).  A document of more than `capacity` words is cut into pieces of `capacity`
     words and a rest; `first` is the first word of a piece.  Documents without words (null, empty) are one piece of size 0.
-    The duplicate cluster is the hash of the whole text (null texts: none); a null source conflicts with nothing.  Full
+    The duplicate cluster is the column `cluster` (say the component of near-copies; null: none), by default a hash of the whole
+    text (null texts: none); a null source conflicts with nothing.  Full
     pieces have bins of their own.  `run` pieces are packed together.  Repeated rows are separate pieces, told apart by
     their bin and slot.  Bin ids are unique: task number times 2^40 plus a count.
     """
     facts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("cluster"), F.col(text).alias("text"),
+        (F.when(F.col(text).isNotNull(), F.xxhash64(text)) if cluster is None else F.col(cluster).cast("string")).alias("cluster"), F.col(text).alias("text"),
     )
 
     def pieces(batches):
