@@ -121,3 +121,39 @@ def test_masks_meet_their_blocks(spark, bsize, scale):
     np.testing.assert_array_equal(array(both, shape, "m"), low[at])
     with pytest.raises(Exception, match="do not fit"):
         M.with_mask(table(spark, a, (7, 17, 20)), table(spark, low, low.shape).withColumnRenamed("v", "m"), (1, 5, 5)).collect()
+
+
+def round_blobs(shift=(0, 0, 0), spikes=0):
+    """Blobs of different shapes at whole voxels, and single bright voxels that are none."""
+    rng = np.random.default_rng(12)
+    shape = (16, 48, 48)
+    z, y, x = np.meshgrid(*[np.arange(n, dtype=float) for n in shape], indexing="ij")
+    out = np.zeros(shape)
+    for _ in range(45):
+        c = rng.integers((4, 6, 6), (12, 42, 42)) + shift
+        s = rng.uniform(1.3, 2.4, 3)
+        out += rng.uniform(50, 90) * np.exp(-(((z - c[0]) / s[0]) ** 2 + ((y - c[1]) / s[1]) ** 2 + ((x - c[2]) / s[2]) ** 2) / 2)
+    at = np.random.default_rng(100 + spikes).integers(0, shape, (spikes, 3))
+    out[tuple(at.T)] += 3000
+    return out
+
+
+def test_blobs_and_clipping_in_the_ransac_step(spark):
+    shape, bs = (16, 48, 48), (16, 24, 24)
+    fix, mov = table(spark, round_blobs(spikes=30), bs), table(spark, round_blobs((1, 2, -3), spikes=31), bs)
+    cfg = {"ransac": {"cc_radius": 3, "blob_sizes": [5, 8], "num_sigma_max": 3, "threshold": 3.0, "threshold_rel": 0.05, "winsorize_limits": [0.0, 0.02],
+                      "match_threshold": 0.6, "max_spot_match_distance": 6.0, "align_threshold": 1.0, "fix_spots_count_threshold": 8,
+                      "mov_spots_count_threshold": 8, "point_matches_threshold": 8, "mov_spot_detection_kwargs": {"blob_method": "log", "threshold": 2.5}}}
+    out = global_align(fix, mov, shape, bs, "ransac", cfg)
+    np.testing.assert_allclose(np.array(out.first()["m"]).reshape(3, 4), np.hstack([np.eye(3), [[1], [2], [-3]]]), atol=0.15)
+
+
+def test_contexts_at_given_positions_are_those_of_the_maxima(spark):
+    from voxelloom.operators import register as R
+
+    a = np.random.default_rng(2).normal(size=(6, 14, 12))
+    df = table(spark, a, (3, 7, 5))
+    want = R.contexts(df, 2, 1.0)
+    got = R.contexts_at(df, want.unionByName(want), 2, (3, 7, 5))
+    rows = [sorted((r.z, r.y, r.x, r.v, tuple(r.patch)) for r in x.collect()) for x in (want, got)]
+    assert rows[0] == rows[1] and len(rows[0]) > 5

@@ -7,8 +7,8 @@ A *block table* has one row per block:
 
 with the values in z-major order.  Blocks at the upper volume border are clipped
 to the volume.  Every neighbourhood operator works on block tables: one shuffle
-moves the border slabs that a block lacks, and a small array kernel then runs on
-each block with its halo.  A group never holds more than one block plus its halo.
+brings a block's core and the border slabs that it lacks together, and a small array
+kernel then runs on each block with its halo.  A group never holds more than one block plus its halo.
 """
 
 from __future__ import annotations

@@ -153,7 +153,7 @@ def branch(df: DataFrame, flag: Column, when_true, when_false) -> DataFrame:
 
 
 #: Fixed value: a valid tool version.
-VERSION = r"^[0-9].*|^[a-f0-9]{40}$"
+VERSION = r"^\d.*|^[a-f0-9]{40}$"
 
 
 def check_versions(df: DataFrame, col: str = "manifest") -> DataFrame:

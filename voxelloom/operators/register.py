@@ -45,6 +45,25 @@ def contexts(blocks: DataFrame, r: int, threshold: float, keys=("ds",)) -> DataF
                             "z bigint, y bigint, x bigint, v double, patch array<double>", halo, keys=keys)
 
 
+def contexts_at(blocks: DataFrame, spots: DataFrame, r: int, bsize, keys=("ds",)) -> DataFrame:
+    """Spots (keys, z, y, x, v at voxel positions) with the cube around each, as `contexts` makes it; one row a position."""
+    on, halo = [*keys, *B.BLK], [max(r, 1)] * 3
+    at = spots.groupBy(*keys, "z", "y", "x").agg(F.max("v").alias("v"))
+    at = at.withColumns({b: F.floor(F.col(a) / int(n)).cast("bigint") for a, b, n in zip("zyx", B.BLK, bsize)})
+    at = at.groupBy(*on).agg(F.collect_list(F.struct("z", "y", "x", "v")).alias("s"))  # voxels of one block at most
+    near = B.exchange(blocks, halo, ("v",), keys).join(at.select(*on, *[F.col(f"s.{c}").alias(f"s{c}") for c in "zyxv"]), on)
+    start = halo[0] - r
+
+    def kernel(arrays, row):
+        org = B.core_origin(row)
+        pos = [np.asarray(getattr(row, f"s{c}"), dtype=np.int64) for c in "zyx"]
+        first = np.stack([p - o + start for p, o in zip(pos, org)], 1)
+        cubes = [unit(arrays[0][tuple(slice(i, i + 2 * r + 1) for i in f)].ravel()) for f in first]
+        return {**dict(zip("zyx", pos)), "v": np.asarray(row.sv, dtype=float), "patch": cubes}
+
+    return B.map_block_rows(near, kernel, "z bigint, y bigint, x bigint, v double, patch array<double>", halo, keys=keys)
+
+
 def near_pairs(fix: DataFrame, mov: DataFrame, max_distance: float, keys=("ds",)) -> DataFrame:
     """Fixed and moving spots within a distance: fz .. mx, dist2.
 

@@ -147,8 +147,3 @@ def tile_overlap(vox: DataFrame, bsize, overlap, dims) -> DataFrame:
         hi = F.least(F.floor((F.col(a) + o) / int(b)).cast("bigint"), F.lit(last).cast("bigint"))
         df = df.withColumn(f"blk_{a}", F.explode(F.sequence(lo, hi)))
     return df
-
-
-def first_non_empty(*cols) -> Column:
-    """First value that is neither NULL nor ''."""
-    return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols])

@@ -1,8 +1,8 @@
 """Resampling: warped volumes, points looked up in fields, coordinate transforms.
 
 A warp is a gather: from the bounds of where a target block samples, the source
-blocks it needs are known, they are cut to the needed boxes, and one shuffle brings
-the boxes to the target block.  Voxels are never shuffled one by one.
+blocks it needs are known; target blocks and source blocks are joined, cut to the needed
+boxes, and the boxes are brought to the target block.  Voxels are never shuffled one by one.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ DEFAULTS = {
         "threshold": 30.0, "nspots": None, "cc_radius": 20, "match_threshold": 0.6, "max_spot_match_distance": None,
         "point_matches_threshold": 50, "align_threshold": 2.0, "diagonal_constraint": 0.25,
         "fix_spots_count_threshold": 100, "mov_spots_count_threshold": 100, "confidence": 0.999, "least_share": 0.1,
-        "safeguard_exceptions": True,
+        "safeguard_exceptions": True, "blob_sizes": None, "num_sigma_max": None, "threshold_rel": None, "winsorize_limits": None,
+        "fix_spot_detection_kwargs": None, "mov_spot_detection_kwargs": None,
     },
     "affine": {"smooth": 1.0, "iterations": 100, "learning_rate": 1.0, "min_step": 1e-3, "initial_condition": None, "shrink_factors": None,
                "smooth_sigmas": None, "alignment_spacing": None},
@@ -38,13 +39,36 @@ DEFAULTS = {
 }
 
 
+def find_spots(blocks: DataFrame, bsize, p: dict, side: str) -> DataFrame:
+    """Spots of one side with their contexts: ds, z, y, x, v, patch.
+
+    With `blob_sizes` (smallest and largest diameter) these are blobs of a Laplacian of Gaussian at scales between, of a response
+    of `threshold` and of `threshold_rel` times the strongest one; their strength v is the response.  Without, they are strict
+    maxima of `threshold` or more.  `winsorize_limits` (shares at both ends) clip the volume before.  The section
+    `<side>_spot_detection_kwargs` overrides these options for a side.  Contexts are cut from the volume as it is.
+    """
+    o = {k: p[k] for k in ("threshold", "threshold_rel", "winsorize_limits")} | (p[f"{side}_spot_detection_kwargs"] or {})
+    if o.get("blob_method", "log") != "log":
+        raise ValueError(f"unknown blob method {o['blob_method']}")
+    seen = blocks
+    if o["winsorize_limits"] is not None:
+        low, high = o["winsorize_limits"]
+        seen = cut(T.winsorize_blocks(blocks, T.quantiles(W.B.unpack(blocks), [low, 1.0 - high])))
+    if p["blob_sizes"] is None:
+        if seen is blocks:
+            return R.contexts(blocks, p["cc_radius"], o["threshold"])
+        return R.contexts_at(blocks, R.contexts(seen, 1, o["threshold"]), p["cc_radius"], bsize)
+    spots = P.detect_log(seen, P.sigma_range(p["blob_sizes"], p["num_sigma_max"]), o["threshold"], o["threshold_rel"])
+    return R.contexts_at(blocks, spots.select("ds", "z", "y", "x", F.col("response").alias("v")), p["cc_radius"], bsize)
+
+
 def ransac_step(fix, mov, current, dims, bsize, p, mask=None) -> DataFrame:
     """Spots, context matches, consensus affine on top of the current one; datasets that
     miss a guard, or whose best model agrees with less than `least_share` of the matches, keep what they have."""
     moved = through(fix, mov, current, dims, bsize)
     sides = {}
     for name, blocks in (("fix", fix), ("mov", moved)):
-        spots = R.contexts(blocks, p["cc_radius"], p["threshold"])
+        spots = find_spots(blocks, bsize, p, name)
         if mask is not None and name == "fix":
             spots = P.inside(spots, mask, bsize)
         sides[name] = cut(P.strongest(spots, p["nspots"]).drop("rank"))
