@@ -26,6 +26,15 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(int(v)).cast("bigint") for v in values])
 
 
+def never_broadcast(side: DataFrame) -> DataFrame:
+    """A join side of whole blocks: the join shuffles and merges.
+
+    Spark takes an array for one element, and a row that explodes for one row.  By that estimate large block tables look
+    small, and a join would collect them in the driver.
+    """
+    return side.hint("merge")
+
+
 def with_block_id(vox: DataFrame, bsize) -> DataFrame:
     """Add blk_z, blk_y, blk_x = floor(coordinate / block size)."""
     return vox.withColumns(
@@ -54,7 +63,7 @@ def pack(vox, dims, bsize, keys=("ds",), cols=("v",), dtype="double", fill=0, id
     entry = F.struct(off.alias("off"), *[F.col(c).cast(dtype).alias(c) for c in cols])
     sparse = with_block_id(vox, bsize).groupBy(*keys, *BLK).agg(F.collect_list(entry).alias("e"))
     base = block_skeleton(vox if ids is None else ids, dims, bsize, keys)
-    df = base.join(sparse, [*keys, *BLK], "left").select(
+    df = base.join(never_broadcast(sparse), [*keys, *BLK], "left").select(
         *keys, *BLK, _lit_array(dims).alias("dims"), _lit_array(bsize).alias("bsize"),
         F.coalesce("e.off", F.array().cast("array<bigint>")).alias("off"),
         *[F.coalesce(f"e.{c}", F.array().cast(f"array<{dtype}>")).alias(c) for c in cols],

@@ -143,13 +143,13 @@ def _equations(cells, mov, controls, affine, base, dims, bsize, spacing, margin,
     field = D.bspline(controls, dims, spacing, keys)
     if base is not None:
         add = base.select(*on, *[F.col(c).alias(f"_{c}") for c in D.COMPONENTS])
-        field = field.join(add, on).withColumns({c: F.zip_with(c, f"_{c}", lambda x, y: x + y) for c in D.COMPONENTS}).drop(*[f"_{c}" for c in D.COMPONENTS])
+        field = field.join(B.never_broadcast(add), on).withColumns({c: F.zip_with(c, f"_{c}", lambda x, y: x + y) for c in D.COMPONENTS}).drop(*[f"_{c}" for c in D.COMPONENTS])
     target = cut(field.join(affine.select(*keys, "m"), list(keys)))
     moved = warp(target, mov, dims, bsize, keys, field=D.COMPONENTS).select(*on, F.col("v").alias("w"))
     mask, start = "mask" in cells.columns, [f"_{c}" for c in D.COMPONENTS] if base is not None else []
     if start:
-        cells = cells.join(add, on)
-    both = cells.join(moved, on).join(target.select(*on, "m", *D.COMPONENTS), on)
+        cells = cells.join(B.never_broadcast(add), on)
+    both = cells.join(B.never_broadcast(moved), on).join(B.never_broadcast(target.select(*on, "m", *D.COMPONENTS)), on)
 
     def run(batches):
         for pdf in batches:
@@ -188,7 +188,7 @@ def _solve_small(equations: DataFrame, controls: DataFrame, gauge: DataFrame, di
     """As `_solve`, with the equations of a dataset in one task."""
     on, point = [*keys, *B.BLK], [*keys, *CONTROL]
     shape = [(int(d) - 1) // spacing + 4 for d in dims]
-    joined = equations.join(_gather(controls, D.COMPONENTS, dims, spacing, keys), on).join(gauge, list(keys))
+    joined = equations.join(B.never_broadcast(_gather(controls, D.COMPONENTS, dims, spacing, keys)), on).join(gauge, list(keys))
     offsets = np.ravel_multi_index(np.unravel_index(np.arange(64), (4, 4, 4)), shape)
 
     def solve(pdf):
@@ -252,7 +252,7 @@ def _solve(equations: DataFrame, controls: DataFrame, gauge: DataFrame, dims, sp
             yield pd.DataFrame(out, columns=[*point, "q0", "q1", "q2"])
 
     def cells(rows: DataFrame, values) -> DataFrame:
-        return equations.join(_gather(rows, values, dims, spacing, keys), on).join(gauge, list(keys))
+        return equations.join(B.never_broadcast(_gather(rows, values, dims, spacing, keys)), on).join(gauge, list(keys))
 
     first = cells(controls, D.COMPONENTS).mapInPandas(begin, kind + ", ".join(f"_{i} double" for i in range(6)))
     first = first.groupBy(*point).agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(6)])
@@ -314,7 +314,7 @@ def fit(fix: DataFrame, mov: DataFrame, affine: DataFrame, dims, bsize, spacing:
         on = [*keys, *B.BLK]
         if mask is not None:
             inside = B.rechunk(mask, (want,) * 3, ("m",), keys)
-            cells = cells.join(inside.select(*on, F.col("m").alias("mask")), on)
+            cells = cells.join(B.never_broadcast(inside.select(*on, F.col("m").alias("mask"))), on)
         own = None if base is None else cut(B.rechunk(base, (want,) * 3, D.COMPONENTS, keys).select(*on, *D.COMPONENTS))
         cells, moving = cut(cells), cut(sides[1])
         # a partition holds about 256 cells: 14 MB of matrices
@@ -373,4 +373,4 @@ def field(controls: DataFrame, dims, bsize, spacing: int, base: DataFrame | None
     if base is None:
         return out
     add = base.select(*on, *[F.col(c).alias(f"_{c}") for c in D.COMPONENTS])
-    return out.join(add, on).withColumns({c: F.zip_with(c, f"_{c}", lambda x, y: x + y) for c in D.COMPONENTS}).drop(*[f"_{c}" for c in D.COMPONENTS])
+    return out.join(B.never_broadcast(add), on).withColumns({c: F.zip_with(c, f"_{c}", lambda x, y: x + y) for c in D.COMPONENTS}).drop(*[f"_{c}" for c in D.COMPONENTS])

@@ -111,7 +111,7 @@ def bspline(controls: DataFrame, dims, spacing: int, keys=("ds",)) -> DataFrame:
     entry = F.struct(((at[0] * 4 + at[1]) * 4 + at[2]).alias("at"), *COMPONENTS)
     cells = df.groupBy(*keys, *B.BLK).agg(F.collect_list(entry).alias("e"))
     base = B.block_skeleton(controls, dims, (spacing,) * 3, keys)
-    cells = base.join(cells, [*keys, *B.BLK], "left").select(
+    cells = base.join(B.never_broadcast(cells), [*keys, *B.BLK], "left").select(
         *keys, *B.BLK, B._lit_array(dims).alias("dims"), B._lit_array((spacing,) * 3).alias("bsize"),
         F.col("e.at").alias("at"), *[F.col(f"e.{c}").alias(f"_{c}") for c in COMPONENTS],
     )

@@ -77,7 +77,7 @@ def warp(target: DataFrame, source: DataFrame, src_dims, src_bsize, keys=("ds",)
         s = int(src_bsize[i])
         wanted = wanted.withColumn(b, F.explode(F.sequence(F.floor(F.col(f"_n{i}") / s), F.floor((F.col(f"_m{i}") - 1) / s))))
     src = source.select(*keys, *B.BLK, *cols)
-    got = wanted.join(src, [*keys, *B.BLK])
+    got = wanted.join(B.never_broadcast(src), [*keys, *B.BLK])
     for i, b in enumerate(B.BLK):
         s, d = int(src_bsize[i]), int(src_dims[i])
         got = got.withColumns({f"_a{i}": F.col(b) * s, f"_b{i}": F.least(F.col(b) * s + s, F.lit(d).cast("bigint"))})
@@ -91,7 +91,7 @@ def warp(target: DataFrame, source: DataFrame, src_dims, src_bsize, keys=("ds",)
     keep = [*keys, *B.BLK, "dims", "bsize"]
     moved = ["_move_z", "_move_y", "_move_x"] if field else []
     side = target.select(*keep, *box, m.alias("_m"), *[F.col(f).alias(n) for f, n in zip(field or (), moved)])
-    both = side.join(parts, [*keys, *B.BLK], "left")
+    both = side.join(B.never_broadcast(parts), [*keys, *B.BLK], "left")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in target.select(*keep).schema)
     schema += "".join(f", {c} array<double>" for c in cols)
 
@@ -161,7 +161,7 @@ def sample_points(points: DataFrame, source: DataFrame, keys=("ds",), cols=("v",
     groups = at.groupBy(*on, "salt").agg(F.collect_list(F.struct(id_col, "_p0", "_p1", "_p2")).alias("q"))
     groups = groups.select(*on, F.col(f"q.{id_col}").alias("ids"), *[F.col(f"q._p{i}").alias(f"p{i}") for i in range(3)])
     near = B.exchange(source, (1, 1, 1), cols, keys)
-    both = groups.join(near, on, "left")
+    both = groups.join(B.never_broadcast(near), on, "left")
     id_type = points.schema[id_col].dataType.simpleString()
     keep = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)

@@ -210,7 +210,7 @@ def _textured(spark, sf):
     waves = F.sin(y * 0.55 + z * 0.2 + ds) + F.cos(x * 0.5 + z * 0.3 + y * 0.1) + F.sin((y - x) * 0.45 + z * 0.4) + F.cos((y + x) * 0.4 - z * 0.5)
     add = B.pack(X.grid(spark, sf).withColumn("w", waves * 40), X.DIMS, BS, cols=("w",), ids=X.datasets(spark, sf))
     soft = N.smooth(X.fix_blocks(spark, sf, BS), (1.5, 1.5, 1.5))
-    return soft.join(add.select("ds", *B.BLK, "w"), ["ds", *B.BLK]).withColumn("v", F.zip_with("v", "w", lambda a, b: a + b)).drop("w")
+    return soft.join(B.never_broadcast(add.select("ds", *B.BLK, "w")), ["ds", *B.BLK]).withColumn("v", F.zip_with("v", "w", lambda a, b: a + b)).drop("w")
 
 
 def local_deform(spark, sf):
@@ -225,7 +225,7 @@ def local_deform(spark, sf):
     got = B.unpack(found["field"], D.COMPONENTS).select("ds", "z", "y", "x", *[F.col(c).alias(f"g{c}") for c in ("dy", "dx")])
     off = F.sqrt(sum((F.col(f"g{c}") - F.col(c)) * (F.col(f"g{c}") - F.col(c)) for c in ("dy", "dx")))
     size = F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
-    both = truth.join(got, ["ds", "z", "y", "x"]).where("z between 1 and 5 and y between 3 and 28 and x between 3 and 28")
+    both = truth.join(B.never_broadcast(got), ["ds", "z", "y", "x"]).where("z between 1 and 5 and y between 3 and 28 and x between 3 and 28")
     return both.groupBy("ds").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("truth"), (F.avg(off) < 0.15 * F.avg(size)).alias("near"),
                                   (F.percentile(off, 0.95) < 0.2).alias("everywhere"))
 
