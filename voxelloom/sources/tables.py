@@ -24,8 +24,11 @@ def write_slot(df: DataFrame, path: str, by=("t", "c")) -> None:
 
 
 def write_points(points: DataFrame, path: str, keys=("ds",)) -> None:
-    """CSV with a header, one folder per key."""
-    points.hint("rebalance").write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
+    """CSV with a header, one folder per key.
+
+    A key's rows meet before they are written: else every task would write a file in every folder.
+    """
+    points.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
 
 
 def read_points(spark: SparkSession, path: str, keys="ds bigint") -> DataFrame:
@@ -37,7 +40,7 @@ def write_affines(affines: DataFrame, path: str, keys=("ds", "seq")) -> None:
     """Text matrices of three rows of four numbers, one folder per affine."""
     rows = [F.concat_ws(" ", *[F.col("m")[4 * i + j].cast("string") for j in range(4)]) for i in range(3)]
     text = affines.select(*keys, F.concat_ws("\n", *rows).alias("value"))
-    text.hint("rebalance").write.mode("overwrite").partitionBy(*keys).text(path)
+    text.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def read_affines(spark: SparkSession, path: str) -> DataFrame:
