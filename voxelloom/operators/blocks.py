@@ -26,6 +26,31 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(int(v)).cast("bigint") for v in values])
 
 
+#: Bytes of block values that a kernel makes before it hands them on.
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batches, size):
+    """Batches cut where their rows would make more than PIECE_BYTES; `size(row)` is what a row makes.
+
+    Arrow bounds a batch by what comes in: small rows (an empty block, a chunk's path) become whole blocks.
+    """
+    for pdf in batches:
+        first = total = 0
+        for i, row in enumerate(pdf.itertuples(index=False)):
+            n = size(row)
+            if total and total + n > PIECE_BYTES:
+                yield pdf.iloc[first:i]
+                first, total = i, 0
+            total += n
+        yield pdf.iloc[first:]
+
+
+def block_bytes(cols: int = 1):
+    """The size of `cols` arrays of a block row, for `pieces`."""
+    return lambda row: 8 * cols * int(np.prod(row.bsize))
+
+
 def never_broadcast(side: DataFrame) -> DataFrame:
     """A join side of whole blocks: the join shuffles and merges.
 
@@ -71,7 +96,7 @@ def pack(vox, dims, bsize, keys=("ds",), cols=("v",), dtype="double", fill=0, id
     np_type = np.int64 if dtype == "bigint" else np.float64
 
     def fill_blocks(batches):
-        for pdf in batches:
+        for pdf in pieces(batches, block_bytes(len(cols))):
             dense = {c: [] for c in cols}
             for row in pdf.itertuples(index=False):
                 _, core = _core(row)

@@ -119,7 +119,7 @@ def bspline(controls: DataFrame, dims, spacing: int, keys=("ds",)) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keep).schema)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in B.pieces(batches, B.block_bytes(3)):
             pdf = pdf.rename(columns={f"_{c}": f"c{c}" for c in COMPONENTS})
             made = {c: [] for c in COMPONENTS}
             for row in pdf.itertuples(index=False):
@@ -165,7 +165,7 @@ def blend(transforms: DataFrame, dims, bsize, overlap, keys=("ds",), affine="m")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.select(*keep).schema)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in B.pieces(batches, B.block_bytes(3)):
             made = {c: [] for c in COMPONENTS}
             for row in pdf.itertuples(index=False):
                 org, core, x = B.core_origin(row), B.core_shape(row), block_positions(row)

@@ -96,7 +96,7 @@ def warp(target: DataFrame, source: DataFrame, src_dims, src_bsize, keys=("ds",)
     schema += "".join(f", {c} array<double>" for c in cols)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in B.pieces(batches, B.block_bytes(len(cols))):
             pdf = pdf.rename(columns={c: c.lstrip("_") for c in pdf.columns})
             made = {c: [] for c in cols}
             for row in pdf.itertuples(index=False):

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what a Python worker gets at a time: some hundred blocks, however many lie in its partition
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

@@ -230,7 +230,7 @@ def read(spark: SparkSession, root: str, fmt: str = "n5", subpath: str | None =
     chunks = known.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))).repartition("folder", "at")
 
     def load(batches):
-        for pdf in batches:
+        for pdf in B.pieces(batches, lambda r: 8 * int(np.prod(r.chunk))):
             out = []
             for r in pdf.itertuples(index=False):
                 at = [int(i) for i in np.unravel_index(r.at, [int(g) for g in r.grid])]
