@@ -30,6 +30,8 @@ from voxelloom.llm.setup import aside
 SEGMENT = 1 << 22
 #: Windows that a task holds before it sends what it has.
 HELD = 1 << 20
+#: Bytes of text hashed at a time: its temporaries, and what HELD is overshot by, follow from it.
+SLICE = 1 << 20
 ADDED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -62,7 +64,7 @@ def cells(hashed: np.ndarray, row: int, width: int) -> np.ndarray:
 def _hashed(batches, text: str, window: int, both: bool):
     """(rows, their first words, start word and row of every window, its one or two hashes), slice by slice."""
     for whole in batches:
-        for batch in W.slices(whole, text):
+        for batch in W.slices(whole, text, SLICE):
             data, offsets = W.flat(batch.column(batch.schema.get_field_index(text)))
             starts, ends, first = W.bounds(data, offsets, W.BLANK)
             at, row = W.whole(first, window)
@@ -71,10 +73,13 @@ def _hashed(batches, text: str, window: int, both: bool):
 
 
 def _sketch_rows(cell_parts: list[list[np.ndarray]]):
-    """(segment, once, twice) of what a task holds; segment counts on over the rows of the sketch."""
+    """(segment, once, twice) of what a task holds, which is let go; segment counts on over the rows of the sketch."""
     out = {"segment": [], "once": [], "twice": []}
     for row, parts in enumerate(cell_parts):
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        joined = np.concatenate(parts)
+        parts.clear()
+        values, counts = np.unique(joined, return_counts=True)
+        del joined
         which = values // SEGMENT
         edges = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(values)])) if len(values) else [0, 0]
         for a, b in zip(edges[:-1], edges[1:]):
@@ -164,10 +169,19 @@ def _owner(ids, keys, parts: int) -> np.ndarray:
     return (W.mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _entries(h1, h2, ids, keys, pos, parts: int):
-    """Of a run of documents: marks it knows itself, and for each bucket the entries that others must judge."""
-    order = np.lexsort((ids, h2, h1))
-    h1, h2, ids, keys, pos = h1[order], h2[order], ids[order], keys[order], pos[order]
+def _entries(held: list, parts: int):
+    """Of a run of documents (h1, h2, ids, keys, pos by slice, let go): marks it knows itself, and for each bucket the entries
+    that others must judge."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    for i, column in enumerate(columns):
+        columns[i] = np.concatenate(column)
+        column.clear()
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    for i, column in enumerate(columns):
+        columns[i] = column[order]
+    h1, h2, ids, keys, pos = columns
+    del columns, column, order
     fresh = np.ones(len(h1), dtype=bool)
     fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     known = ids > ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
@@ -220,10 +234,6 @@ def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width:
         bits = repeated.value
         held, n = [], 0
 
-        def flush():
-            joined = [np.concatenate(x) for x in zip(*held)]
-            return _entries(*joined, parts)
-
         for batch, start, row, (h1, h2) in _hashed(batches, text, window, True):
             maybe = np.ones(len(h1), dtype=bool)
             for r in range(depth):
@@ -234,10 +244,10 @@ def marks(docs: DataFrame, text: str, window: int, repeated, depth: int, width:
             held.append((h1[maybe], h2[maybe], ids, keys, start[maybe]))
             n += int(maybe.sum())
             if n >= HELD // 2:
-                yield flush()
-                held, n = [], 0
+                yield _entries(held, parts)
+                n = 0
         if n:
-            yield flush()
+            yield _entries(held, parts)
 
     def judge(table: pa.Table) -> pa.Table:
         return _judge(table, parts)
