@@ -46,6 +46,41 @@ def pieces(batches, size):
         yield pdf.iloc[first:]
 
 
+def _held(column) -> int:
+    """Bytes of a column's values, about."""
+    if isinstance(column, np.ndarray) and column.dtype != object:
+        return column.nbytes
+    return sum(getattr(x, "nbytes", 64) for x in column)
+
+
+def _joined(columns: list):
+    """Columns one below the other; a list where values are no numbers."""
+    if all(isinstance(c, np.ndarray) and c.dtype != object for c in columns):
+        return np.concatenate(columns)
+    return [x for c in columns for x in c]
+
+
+def together(made, names, keys=()):
+    """Frames of about PIECE_BYTES from (key values, {name: column}) of single blocks; handing on each one alone costs far more."""
+    held, total = [], 0
+
+    def frame():
+        counts = [len(columns[names[0]]) for _, columns in held]
+        out = {k: np.repeat(pd.Series([key[i] for key, _ in held]), counts).reset_index(drop=True) for i, k in enumerate(keys)}
+        return pd.DataFrame({**out, **{n: _joined([columns[n] for _, columns in held]) for n in names}})
+
+    for key, columns in made:
+        if not len(columns[names[0]]):
+            continue
+        held.append((key, columns))
+        total += sum(_held(columns[n]) for n in names)
+        if total >= PIECE_BYTES:
+            yield frame()
+            held, total = [], 0
+    if held:
+        yield frame()
+
+
 def block_bytes(cols: int = 1):
     """The size of `cols` arrays of a block row, for `pieces`."""
     return lambda row: 8 * cols * int(np.prod(row.bsize))
@@ -252,14 +287,13 @@ def map_block_rows(halo_df, kernel, schema, halo=(0, 0, 0), cols=("v",), keys=("
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in halo_df.select(*keys).schema)
     names = [s.strip().split(" ")[0] for s in schema.split(",")]
 
-    def run(batches):
+    def made(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                made = pd.DataFrame(kernel([assemble(row, c, halo, pad, fill) for c in cols], row), columns=names)
-                if len(made):
-                    for i, k in enumerate(keys):
-                        made.insert(i, k, getattr(row, k))
-                    yield made
+                yield [getattr(row, k) for k in keys], kernel([assemble(row, c, halo, pad, fill) for c in cols], row)
+
+    def run(batches):
+        return together(made(batches), names, keys)
 
     return halo_df.mapInPandas(run, f"{key_schema}, {schema}")
 

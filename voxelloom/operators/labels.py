@@ -141,11 +141,17 @@ def touching(labels: DataFrame, keys=("ds",), in_plane: bool = False) -> tuple[D
         return {**out, **{b: np.full(len(out["z"]), getattr(row, b)) for b in B.BLK}}
 
     schema = "axis int, z bigint, y bigint, x bigint, side int, label bigint, blk_z bigint, blk_y bigint, blk_x bigint"
+    def homes(arrays, row):
+        """The labels on the faces that `faces` sends, once each."""
+        found = np.unique(faces(arrays, row)["label"])
+        return {"label": found, **{b: np.full(len(found), getattr(row, b)) for b in B.BLK}}
+
     rows = B.map_block_rows(as_parts(labels, keys), faces, schema, keys=keys)
     side = [F.max(F.when(F.col("side") == s, F.col("label"))) for s in (0, 1)]
     pairs = rows.groupBy(*keys, "axis", "z", "y", "x").agg(side[0].alias("a"), side[1].alias("b"))
     edges = pairs.where("a is not null and b is not null and a <> b").select(*keys, "a", "b").distinct()
-    return edges, rows.select(*keys, "label", *B.BLK).distinct()
+    places = B.map_block_rows(as_parts(labels, keys), homes, "label bigint, blk_z bigint, blk_y bigint, blk_x bigint", keys=keys)
+    return edges, places.distinct()
 
 
 def as_parts(blocks: DataFrame, keys=("ds",), col="v") -> DataFrame:
@@ -155,8 +161,10 @@ def as_parts(blocks: DataFrame, keys=("ds",), col="v") -> DataFrame:
     return blocks.select(*keys, *B.BLK, "dims", "bsize", F.array(*org, *size).alias("part_box"), F.col(col).alias(f"part_{col}"))
 
 
-#: Graphs of so many edges are solved in one task; its memory is bounded by that.
+#: A key's graph of so many edges is solved in one task; its memory is bounded by that.
 SMALL_GRAPH = 1 << 20
+#: Edges that a task holds before it contracts them.
+HELD_EDGES = 1 << 18
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,31 +185,56 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, keys=("ds",)) -> DataFrame:
     """Connected components of a graph: keys, label, root (the smallest label).
 
-    Every partition first contracts its own edges to stars.  What is left of at most SMALL_GRAPH edges is solved in one task;
-    a larger graph by alternating star contraction, whose number of rounds grows with the logarithm of the graph's size and
-    whose rounds are joins and minima only.  Every round is checkpointed; its checksum comes from the writing job.
+    Every task first contracts runs of its own edges to stars.  Keys are graphs of their own: one of which at most SMALL_GRAPH edges
+    are left is solved in one task, all of these in one shuffle.  Larger ones by alternating star contraction, whose number of
+    rounds grows with the logarithm of the graph's size and whose rounds are joins and minima only.  Every round is checkpointed;
+    its checksum comes from the writing job.
     """
     keys = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*keys).schema)
+    schema += ", a bigint, b bigint"
 
-    def contract(batches):
+    def stars(rows):
         import pandas as pd
 
-        held = [pdf for pdf in batches if len(pdf)]
-        if not held:
-            return
-        for key, rows in pd.concat(held).groupby(keys, sort=False, dropna=False):
+        for key, rows in rows.groupby(keys, sort=False, dropna=False):
             nodes, roots = _roots(rows["a"].to_numpy(), rows["b"].to_numpy())
             out = pd.DataFrame({"a": nodes, "b": roots})[nodes != roots]
             for i, (name, value) in enumerate(zip(keys, key if isinstance(key, tuple) else (key,))):
                 out.insert(i, name, value)
             yield out
 
-    edges = cut(edges.select(*keys, "a", "b").mapInPandas(contract, f"{schema}, a bigint, b bigint"))
-    if edges.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        edges = cut(edges.coalesce(1).mapInPandas(contract, f"{schema}, a bigint, b bigint"))
-        return edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct().unionByName(
-            edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
+    def contract(batches):
+        import pandas as pd
+
+        held, n = [], 0
+        for pdf in batches:
+            for at in range(0, len(pdf), HELD_EDGES):
+                held.append(pdf.iloc[at:at + HELD_EDGES])
+                n += len(held[-1])
+                if n >= HELD_EDGES:
+                    rows, held, n = pd.concat(held), [], 0
+                    yield from stars(rows)
+        if held:
+            yield from stars(pd.concat(held))
+
+    def solve(pdf):
+        import pandas as pd
+
+        return pd.concat([pdf[:0], *stars(pdf)])
+
+    def rooted(edges):
+        roots = edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct()
+        return roots.unionByName(edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
+
+    edges = cut(edges.select(*keys, "a", "b").mapInPandas(contract, schema))
+    large = edges.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL_GRAPH).drop("_n")
+    large = large.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    if not large.head(1):
+        return rooted(cut(edges.groupBy(*keys).applyInPandas(solve, schema)))
+    small = rooted(cut(edges.join(large, same, "left_anti").groupBy(*keys).applyInPandas(solve, schema)))
+    edges = edges.join(large, same, "left_semi")
     seen = None
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -209,16 +242,15 @@ def components(edges: DataFrame, keys=("ds",)) -> DataFrame:
         large = both.join(low, [*keys, "a"]).where("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         hub = large.join(low, [*keys, "a"])
-        small = hub.where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+        low = hub.where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
         seal = Observation()
-        stars = small.unionByName(hub.select(*keys, "a", F.col("m").alias("b"))).distinct()
-        edges = cut(stars.observe(seal, F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("h")))
+        met = low.unionByName(hub.select(*keys, "a", F.col("m").alias("b"))).distinct()
+        edges = cut(met.observe(seal, F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("h")))
         mark = seal.get
         if mark == seen:
             break
         seen = mark
-    roots = edges.select(*keys, F.col("b").alias("label"), F.col("b").alias("root")).distinct()
-    return roots.unionByName(edges.select(*keys, F.col("a").alias("label"), F.col("b").alias("root")))
+    return small.unionByName(rooted(edges))
 
 
 def relabel(labels: DataFrame, changes: DataFrame, keys=("ds",)) -> DataFrame:
