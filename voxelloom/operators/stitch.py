@@ -278,7 +278,7 @@ def shift_volumes(pairs: DataFrame, blocks: DataFrame, bsize, reach, chunk=(16,
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
     shifts = np.stack(np.unravel_index(np.arange(int(np.prod([2 * r + 1 for r in reach]))), [2 * r + 1 for r in reach]), 1) - reach
 
-    def run(batches):
+    def made(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 low, high = (np.asarray(x, dtype=np.int64) for x in (row.low, row.high))
@@ -288,10 +288,11 @@ def shift_volumes(pairs: DataFrame, blocks: DataFrame, bsize, reach, chunk=(16,
                 for ax in range(3):  # the second tile ends somewhere
                     at = np.arange(m.shape[ax]) + low[ax] - reach[ax]
                     real &= np.expand_dims((at >= row.first[ax]) & (at < row.last[ax]), [i for i in range(3) if i != ax])
-                out = pd.DataFrame(moment_volumes(f, m, real, reach).T, columns=list(T.SUMS))
-                for i, c in enumerate(names):
-                    out.insert(i, c, getattr(row, c))
-                yield out.assign(sz=shifts[:, 0], sy=shifts[:, 1], sx=shifts[:, 2])
+                out = dict(zip(T.SUMS, moment_volumes(f, m, real, reach)))
+                yield [getattr(row, c) for c in names], {**out, **dict(zip(("sz", "sy", "sx"), shifts.T))}
+
+    def run(batches):
+        return B.together(made(batches), [*T.SUMS, "sz", "sy", "sx"], names)
 
     sums = both.mapInPandas(run, f"{schema}, " + ", ".join(f"{c} double" for c in T.SUMS) + ", sz bigint, sy bigint, sx bigint")
     sums = sums.groupBy(*names, "sz", "sy", "sx").agg(*[F.sum(c).alias(c) for c in T.SUMS]).where("n > 0.5")
