@@ -8,7 +8,6 @@ boxes, and the boxes are brought to the target block.  Voxels are never shuffled
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,18 +166,20 @@ def sample_points(points: DataFrame, source: DataFrame, keys=("ds",), cols=("v",
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)
     schema += f", {id_col} {id_type}" + "".join(f", {c} double" for c in cols)
 
-    def run(batches):
+    def made(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                out = {k: getattr(row, k) for k in keep}
-                out[id_col] = row.ids
+                out = {id_col: row.ids}
                 p = [np.asarray(v, dtype=float) for v in (row.p0, row.p1, row.p2)]
                 inside = row.part_box is not None
                 if inside:
                     low = [o - 1 for o in B.core_origin(row)]
                 for c in cols:
                     out[c] = trilinear(B.assemble(row, c, (1, 1, 1), "constant"), low, p) if inside else np.zeros(len(p[0]))
-                yield pd.DataFrame(out)[[*keep, id_col, *cols]]
+                yield [getattr(row, k) for k in keep], out
+
+    def run(batches):
+        return B.together(made(batches), [id_col, *cols], keep)
 
     return both.mapInPandas(run, schema)
 
