@@ -19,19 +19,20 @@ from voxelloom.sources.images import encode_nrrd, encode_tiff
 
 
 def write_tiff(blocks: DataFrame, root: str, name, keys=("ds", "c"), channel: str = "c", dtype: str = "uint16", deflate=True) -> int:
-    """Block table -> one TIFF stack per dataset (small exports; a stack is one file)."""
+    """Block table -> one TIFF stack per dataset (small exports; a stack is one file).  Blocks meet as they are, not as voxel rows."""
     others = [k for k in keys if k != channel]
-    vox = B.unpack(blocks, keys=keys)
-    rows = vox.select(name.alias("name"), *keys, "z", "y", "x", "v")
+    rows = blocks.select(name.alias("name"), *keys, *B.BLK, "dims", "bsize", "v")
 
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
         cs = sorted(pdf[channel].unique())
-        shape = [int(pdf[a].max()) + 1 for a in "zyx"]
+        boxes = [(B.core_origin(row), B.core_shape(row)) for row in pdf.itertuples(index=False)]
+        shape = [max(o[i] + n[i] for o, n in boxes) for i in range(3)]
         pages = []
         for c in cs:
-            part = pdf[pdf[channel] == c]
             a = np.zeros(shape, dtype=dtype)
-            a[part["z"], part["y"], part["x"]] = part["v"].to_numpy()
+            for (o, n), own, v in zip(boxes, pdf[channel], pdf["v"]):
+                if own == c:
+                    a[tuple(slice(i, i + k) for i, k in zip(o, n))] = np.asarray(v).reshape(n)
             pages.extend(a)
         text = json.dumps({"SizeC": len(cs), "SizeZ": shape[0]})
         write_file(f"{root.rstrip('/')}/{pdf['name'].iloc[0]}.tif", encode_tiff(pages, deflate, text))
