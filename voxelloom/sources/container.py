@@ -14,7 +14,7 @@ import itertools
 import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,10 @@ KIND = pa.schema([("folder", pa.string()), *[(n, pa.int64()) for n in ("t", "c",
 AXIS = {"t": "t", "c": "c", "blk_z": "z", "blk_y": "y", "blk_x": "x"}
 #: Bytes of samples of a partition, about.
 RUN_BYTES = 64 << 20
+#: Bytes of samples that are worth a task of their own.
+LEAST_BYTES = 1 << 20
+#: Rows of a batch at most; its blocks make B.PIECE_BYTES at most, or one block.
+BATCH_ROWS = 1000
 
 #: How each pushed filter holds for a value that is not null.
 TESTS = {
@@ -51,7 +55,7 @@ def holds(tests: list[tuple[type, object]], value) -> bool:
 
 
 @dataclass
-class Chunks(DS.InputPartition):
+class Chunks:
     """A run of chunks of one dataset: `first` to `last` of the product of `places`, the chunk numbers of each axis."""
 
     folder: str
@@ -61,16 +65,50 @@ class Chunks(DS.InputPartition):
     first: int
     last: int
 
+
+@dataclass
+class Runs(DS.InputPartition):
+    """What a task reads: runs of any number of datasets."""
+
+    runs: list[Chunks]
+
     def __post_init__(self):
         super().__init__(None)
 
 
+def dealt(runs: list[Chunks], tasks: int) -> list[Runs]:
+    """Runs of whole datasets dealt to partitions of about equal bytes, in their order; long ones are cut.
+
+    At least `tasks` partitions, if they are worth it, of at most RUN_BYTES each.
+    """
+    sizes = [math.prod(r.about["chunk"]) * 8 for r in runs]
+    total = sum((r.last - r.first) * n for r, n in zip(runs, sizes))
+    limit = min(RUN_BYTES, max(LEAST_BYTES, -(-total // max(tasks, 1))))
+    out, held, filled = [], [], 0
+    for run, size in zip(runs, sizes):
+        at = run.first
+        while at < run.last:
+            if held and filled + size > limit:
+                out.append(Runs(held))
+                held, filled = [], 0
+            to = min(run.last, at + max(1, (limit - filled) // size))
+            held.append(replace(run, first=at, last=to))
+            filled += (to - at) * size
+            at = to
+    return [*out, Runs(held)]
+
+
+def batch_of(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in KIND], schema=KIND)
+
+
 @dataclass
 class Reader(DS.DataSourceReader):
     root: str
     fmt: str
     axes: str
     subpath: str | None
+    tasks: int = 1
     tests: dict[str, list[tuple[type, object]]] = field(default_factory=dict)
 
     def pushFilters(self, filters: list[DS.Filter]) -> Iterator[DS.Filter]:
@@ -82,7 +120,7 @@ class Reader(DS.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[Chunks]:
+    def partitions(self) -> Sequence[Runs]:
         out = []
         for folder in C.datasets(self.root, self.fmt, self.subpath):
             if not holds(self.tests.get("folder", []), folder):
@@ -99,13 +137,23 @@ class Reader(DS.DataSourceReader):
                 wanted = self.tests.get(name, [])
                 grid = range(-(-size // step))
                 places.append([i for i in grid if any(holds(wanted, j) for j in (range(i * step, min(size, i * step + step)) if axis in "tc" else (i,)))])
-            count = math.prod(map(len, places))
-            run = max(1, RUN_BYTES // (math.prod(about["chunk"]) * 8))
-            out += [Chunks(folder, about, axes, places, a, min(count, a + run)) for a in range(0, count, run)]
-        return out or [Chunks("", {}, "", [], 0, 0)]
-
-    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
-        p, about = partition, partition.about
+            out.append(Chunks(folder, about, axes, places, 0, math.prod(map(len, places))))
+        return dealt(out, self.tasks)
+
+    def read(self, partition: Runs) -> Iterator[pa.RecordBatch]:
+        rows, total = [], 0
+        for run in partition.runs:
+            for row in self.blocks(run):
+                rows.append(row)
+                total += row["v"].nbytes
+                if total >= B.PIECE_BYTES or len(rows) >= BATCH_ROWS:
+                    yield batch_of(rows)
+                    rows, total = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def blocks(self, p: Chunks) -> Iterator[dict]:
+        about = p.about
         for flat in range(p.first, p.last):
             at = [places[i] for places, i in zip(p.places, np.unravel_index(flat, [len(x) for x in p.places]))]
             content = read_optional("/".join([f"{self.root}/{p.folder}".rstrip("/"), C.chunk_name(at, self.fmt, about["sep"])]))
@@ -113,18 +161,16 @@ class Reader(DS.DataSourceReader):
                 continue
             block = C.decode(content, self.fmt, about["dtype"], about["codec"], about["dims"], about["chunk"], at)
             lead = p.axes[:-3]
-            rows = []
             for inner in itertools.product(*[range(n) for n in block.shape[:-3]]):
                 row = dict.fromkeys(("t", "c")) | {a: i * about["chunk"][k] + j for k, (a, i, j) in enumerate(zip(lead, at, inner))}
                 if all(holds(self.tests.get(a, []), row[a]) for a in ("t", "c")):
-                    rows.append({"folder": p.folder, **row, **dict(zip(B.BLK, at[-3:])), "dims": about["dims"][-3:], "bsize": about["chunk"][-3:],
-                                 "v": block[inner].astype(float).ravel()})
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in KIND], schema=KIND)
+                    yield {"folder": p.folder, **row, **dict(zip(B.BLK, at[-3:])), "dims": about["dims"][-3:], "bsize": about["chunk"][-3:],
+                           "v": block[inner].astype(float).ravel()}
 
 
 class ChunkedSource(DS.DataSource):
-    """Options: path, format (n5 or zarr), subpath (end of the paths read), axes (`tczyx`: the last ones are those of the data)."""
+    """Options: path, format (n5 or zarr), subpath (end of the paths read), axes (`tczyx`: the last ones are those of the data), tasks
+    (so many partitions at least, if there is enough to read)."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,14 +183,15 @@ class ChunkedSource(DS.DataSource):
         axes = self.options.get("axes", "tczyx")
         if axes[-3:] != "zyx" or not set(axes) <= set("tczyx"):
             raise ValueError(f"axes must end in zyx, after t and c in their order: {axes}")
-        return Reader(self.options["path"].rstrip("/"), self.options.get("format", "n5"), axes, self.options.get("subpath"))
+        return Reader(self.options["path"].rstrip("/"), self.options.get("format", "n5"), axes, self.options.get("subpath"),
+                      int(self.options.get("tasks", 1)))
 
 
 def read(spark: SparkSession, root: str, fmt: str = "n5", subpath: str | None = None, axes: str = "tczyx") -> DataFrame:
     """All datasets below `root` as blocks (see the module); missing chunks have no row."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChunkedSource)
-    found = spark.read.format("chunked").option("format", fmt).option("axes", axes)
+    found = spark.read.format("chunked").option("format", fmt).option("axes", axes).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     return (found if subpath is None else found.option("subpath", subpath)).load(qualified(spark, root))
 
 
