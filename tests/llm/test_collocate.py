@@ -1,9 +1,12 @@
 """Automata against dictionaries; collocations against plain counting."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,7 @@ from hypothesis import strategies as st
 from tests.llm import brute as X
 from voxelloom.llm import automata as A
 from voxelloom.llm import collocate as C
-from voxelloom.llm.setup import ready
+from voxelloom.llm.setup import ready, stored
 
 PHRASES = st.dictionaries(st.tuples(*[st.integers(1, 4)] * 4).flatmap(lambda p: st.integers(1, 4).map(lambda n: p[:n] + (0,) * (4 - n))), st.integers(1, 50), max_size=60)
 
@@ -63,6 +66,26 @@ def test_equal_states_are_one():
     assert len(automaton.size) == 5  # one state a length, though 199 phrases
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PHRASES, min_size=1, max_size=4), st.integers(1, 60), st.lists(st.tuples(*[st.integers(1, 4)] * 4), max_size=2))
+def test_union_that_drops_at_once_equals_pruning_afterwards(shards, least, spared):
+    dumped, spared = [A.build(A.levels(*arrays(c))[0]).dumps() for c in shards], [np.array(s) for s in spared]
+    got = A.union((A.loads(d) for d in dumped), 4, least, spared)
+    want = A.prune(A.union([A.loads(d) for d in dumped], 4), least, spared)
+    assert all(x.tolist() == y.tolist() for a, b in zip(got, want) for x, y in zip(a, b)) and len(got) == len(want) == 4
+
+
+def test_union_holds_what_is_frequent():
+    rng = np.random.default_rng(2)
+    rows = np.unique(rng.integers(1, 1 << 20, (200_000, 4)), axis=0)
+    dumped = [A.build(A.levels(rows[i::4], np.ones(len(rows[i::4]), np.int64))[0]).dumps() for i in range(4)]
+    tracemalloc.start()
+    tree = A.union((A.loads(d) for d in dumped), 4, 30)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(level.label) for level in tree] == [0] * 4 and most < 60_000_000  # 34 MB; 94 MB when all arrays were widened and the tree pruned at the end
+
+
 def plain(rows, least=30, longest=4):
     """rows: (text, lang) -> {(lang, phrase): (a, l, r, n, score)}."""
     counts, total = Counter(), Counter()
@@ -108,6 +131,26 @@ def test_collocations_equal_plain_counting(spark, rows, monkeypatch, options):
         assert [r.rank for r in first if r.lang == lang] == list(range(1, len(order) + 1))
 
 
+def test_ranges_stay_even_when_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD_WORDS", 2048)
+    monkeypatch.setattr(C, "STRIDE", 512)  # four phrases a shard, and shards that are alike
+    rng = np.random.default_rng(3)
+    docs = [(" ".join(f"w{x}" for x in rng.integers(0, 4000, 64)), "en") for _ in range(2048)]
+    df = ready(spark).createDataFrame(docs, "text string, lang string").coalesce(4)
+    _, _, transducers, bounds = C.count(df, least=1, range_words=1024)
+    held = [int(A.union([A.loads(r.block)], 4)[0].weight.sum()) for r in transducers.collect()]
+    assert sum(held) == 2048 * 64 and len(bounds) > 100 and max(held) < 4 * 1024
+
+
+def test_large_rows_make_small_groups(spark):
+    ready(spark)
+    rows = spark.range(12).coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"x": [np.random.default_rng(i).bytes(4 << 20)]}) for b in batches for i in b.column(0).to_pylist()), "x binary")
+    files = [f.removeprefix("file://") for f in stored(rows, "large", **C.LARGE_ROWS).inputFiles()]
+    groups = [g for m in (pq.ParquetFile(f).metadata for f in files) for g in (m.row_group(i).num_rows for i in range(m.num_row_groups))]
+    assert sum(groups) == 12 and max(groups) <= 5
+
+
 def test_no_documents_and_no_frequent_words(spark):
     df = ready(spark).createDataFrame([("a b c", "en"), (None, None)], "text string, lang string")
     assert C.mine(df).count() == 0 and C.mine(df.limit(0)).count() == 0

@@ -8,6 +8,7 @@ label, and equal states are one.  Phrases are rows of positive labels below 2^31
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -52,11 +53,13 @@ def levels(phrases: np.ndarray, counts: np.ndarray) -> tuple[list[Level], list[n
 
 
 class Automaton:
-    """Transitions of state s are first[s] to first[s + 1]; state 0 has none, the last state is where reading starts."""
+    """Transitions lie state by state, size[s] of them at state s; state 0 has none, the last state is where reading starts.
+
+    The arrays keep the types they come in: those of a dumped automaton are narrow.
+    """
 
     def __init__(self, size: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np.ndarray):
-        self.size, self.label, self.weight, self.target = (x.astype(np.int64) for x in (size, label, weight, target))
-        self.first = np.concatenate(([0], np.cumsum(self.size)))
+        self.size, self.label, self.weight, self.target = size, label, weight, target
 
     @property
     def root(self) -> int:
@@ -80,7 +83,8 @@ def loads(data: bytes) -> Automaton:
     out, at = [], 20
     for kind, n in heads:
         kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(body, kind, n, at))
+        x = np.frombuffer(body, kind, n, at)
+        out.append(x if kind != np.uint64 else x.astype(np.int64))  # with int64, uint64 would become float
         at += n * kind.itemsize
     return Automaton(*out)
 
@@ -169,43 +173,74 @@ def build(tree: list[Level]) -> Automaton:
     return builder.finish()
 
 
-def union(automata: list[Automaton], depth: int) -> list[Level]:
-    """All prefixes that any of the automata reads, their weights summed: the automata are walked together, length by length."""
-    base = np.concatenate(([0], np.cumsum([len(a.size) for a in automata])[:-1])).astype(np.int64)
-    size = np.concatenate([a.size for a in automata])
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    label, weight = (np.concatenate([getattr(a, x) for a in automata]) for x in ("label", "weight"))
-    target = np.concatenate([a.target + b for a, b in zip(automata, base)])
-    state = np.array([a.root for a in automata], dtype=np.int64) + base
+def union(automata: Iterable[Automaton], depth: int, least: int = 0, spared: Sequence[np.ndarray] = ()) -> list[Level]:
+    """All prefixes that any of the automata reads, their weights summed: the automata are walked together, length by length.
+
+    With `least`, what `prune` leaves of them: a prefix that occurs too seldom is dropped as soon as it is summed, and nothing
+    is read below it, as no longer phrase occurs more often.
+    """
+    sizes, labels, weights, targets, roots, states = [], [], [], [], [], 0
+    for a in automata:
+        sizes.append(a.size)
+        labels.append(a.label.astype(np.uint32))
+        weights.append(a.weight)
+        targets.append(a.target.astype(np.int64 if states + len(a.size) >= 1 << 31 else np.int32) + states)
+        roots.append(states + a.root)
+        states += len(a.size)
+    first = np.zeros(states + 1, np.int64)
+    np.cumsum(np.concatenate(sizes), dtype=np.int64, out=first[1:])
+    sizes.clear()
+    label, weight, target = (_joined(x) for x in (labels, weights, targets))
+    state = np.array(roots, dtype=np.int64)
     total, merged = np.zeros(len(state), np.int64), np.zeros(len(state), np.int64)
-    out = []
-    for _ in range(depth):
-        n = size[state]
+    out, paths = [], [0 for _ in spared]
+    for length in range(depth):
+        n = first[state + 1] - first[state]
         at = np.repeat(first[state] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         total = np.repeat(total, n) + weight[at]
         key = np.repeat(merged, n).astype(np.uint64) << np.uint64(32) | label[at].astype(np.uint64)
         order = np.argsort(key, kind="stable")
-        fresh = starts(key[order])
+        key = key[order]
+        fresh = starts(key)
         edge = np.flatnonzero(fresh)
-        keys = key[order][edge]
-        out.append(Level((keys >> np.uint64(32)).astype(np.int64), (keys & _LABEL).astype(np.int64),
-                         np.add.reduceat(total[order], edge) if len(edge) else total[:0]))
-        merged = np.empty(len(key), np.int64)
+        keys = key[edge]
+        del key
+        level = Level((keys >> np.uint64(32)).astype(np.int64), (keys & _LABEL).astype(np.int64),
+                      np.add.reduceat(total[order], edge) if len(edge) else total[:0])
+        keep = _kept(level, least, [p[length] for p in spared], paths)
+        moved = np.cumsum(keep) - 1
+        paths = [None if p is None else int(moved[p]) for p in paths]
+        out.append(Level(*(x[keep] for x in level)))
+        merged = np.empty(len(order), np.int64)
         merged[order] = np.cumsum(fresh) - 1
-        state = target[at]
+        on = keep[merged]
+        merged, total, state = moved[merged[on]], total[on], target[at[on]].astype(np.int64)
     return out
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; they are let go."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
+def _kept(level: Level, least: int, labels: Sequence[int], paths: list[int | None]) -> np.ndarray:
+    """Which prefixes stay; `paths`, the spared phrases' places in the level above, become those in this one."""
+    keep = level.weight >= least
+    for i, label in enumerate(labels):
+        if paths[i] is not None:
+            at = np.flatnonzero((level.parent == paths[i]) & (level.label == label))
+            paths[i] = int(at[0]) if len(at) else None
+            keep[at] = True
+    return keep
+
+
 def prune(tree: list[Level], least: int, spared: list[np.ndarray]) -> list[Level]:
     """The prefixes that occur `least` times or more, and all prefixes of the spared phrases."""
     out, moved, paths = [], np.zeros(1, np.int64), [0 for _ in spared]
     for depth, level in enumerate(tree):
-        keep = level.weight >= least
-        for i, phrase in enumerate(spared):
-            if paths[i] is not None:
-                at = np.flatnonzero((level.parent == paths[i]) & (level.label == phrase[depth]))
-                paths[i] = int(at[0]) if len(at) else None
-                keep[at] = True
+        keep = _kept(level, least, [p[depth] for p in spared], paths)
         out.append(Level(moved[level.parent[keep]], level.label[keep], level.weight[keep]))
         moved = np.cumsum(keep) - 1
     return out

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from voxelloom.llm import automata as A
 from voxelloom.llm import words as W
 from voxelloom.llm.setup import ready, stored
 from voxelloom.llm.shard import number
+from voxelloom.operators.blocks import never_broadcast
 
 #: Bytes at which a piece ends: [.,;:!?\x0A-\x0D]; blanks between words of a piece: [\x20\x09].
 STOP = np.zeros(256, dtype=bool)
@@ -34,8 +36,11 @@ APART[[0x20, 0x09]] = True
 UNKNOWN = "und"
 #: Words of a shard, and positions of a range, about.
 SHARD_WORDS, RANGE_WORDS = 1 << 20, 1 << 21
-#: Shards that give a sample of their phrases, one in STRIDE: range bounds come from at most about SAMPLED * SHARD_WORDS / STRIDE phrases.
-SAMPLED, STRIDE = 64, 4096
+#: Shards that give a sample of their phrases, one in STRIDE, or more so that a range has PER_RANGE of them: range bounds come from at
+#: most about SAMPLED * SHARD_WORDS / STRIDE phrases, or PER_RANGE a range.
+SAMPLED, STRIDE, PER_RANGE = 64, 4096, 64
+#: How shards and transducers are written: a group of rows ends at 16 MB, looked at row by row, as a row has megabytes.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Parts in which the phrases of a language are ranked before they meet.
 PARTS = 32
 
@@ -130,7 +135,7 @@ def keys(phrases: np.ndarray) -> np.ndarray:
 def numbered(tokens: DataFrame, words: DataFrame, count: int, work, schema: str) -> DataFrame:
     """`work(tokens, numbers)` -> record batch, for every shard with its words' numbers."""
     listed = tokens.select("shard", F.posexplode("words").alias("at", "w")).select("shard", "at", "w.lang", "w.word")
-    own = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("home"), "at", "id")
+    own = listed.join(never_broadcast(words.select("lang", "word", "id")), ["lang", "word"]).select(F.col("shard").alias("home"), "at", "id")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -159,11 +164,25 @@ def padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def sample_stride(ranges: int, amount: int) -> int:
+    """One position in how many is drawn, so that each of `ranges` has about PER_RANGE from the shards that are sampled, of `amount`."""
+    return max(1, min(STRIDE, min(amount, SAMPLED) * SHARD_WORDS // (PER_RANGE * max(1, ranges))))
+
+
+def drawn_at(size: int, stride: int, seed: int) -> np.ndarray:
+    """A position of each run of `stride`, anywhere in it: were it the same place in all shards, shards that are alike would draw the
+    same phrases, and no range could be shorter than a run.
+    """
+    at = np.arange(0, size, stride)
+    at += np.random.default_rng(seed).integers(0, stride, len(at))
+    return at[at < size]
+
+
 def count(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4,
           range_words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     """(words, totals, transducers, bounds): numbered words, all words of a language, and the count transducer of every range."""
     ready(docs.sparkSession)
-    cut = stored(shards(docs, text, lang), "shards")
+    cut = stored(shards(docs, text, lang), "shards", **LARGE_ROWS)
     listed = cut.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word").agg(F.sum("w.n").alias("n"))
     listed = stored(listed, "words")
     totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -174,10 +193,11 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     amount = cut.count()
     ranges = -(-int(totals.agg(F.sum("n")).first()[0] or 0) // (range_words or RANGE_WORDS))
 
+    stride = sample_stride(ranges, amount)
+
     def sample(tokens: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
         rows, counts = grams(tokens, numbers, longest)
-        last = np.cumsum(counts)  # every STRIDE-th position
-        at = np.searchsorted(last, np.arange(STRIDE // 2, int(last[-1]) if len(last) else 0, STRIDE), "right")
+        at = np.searchsorted(np.cumsum(counts), drawn_at(int(counts.sum()), stride, zlib.crc32(tokens)), "right")
         return pa.RecordBatch.from_arrays([lists(rows[at])], names=["phrase"])
 
     bounds = np.zeros((0, longest), dtype=np.int64)
@@ -199,12 +219,12 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
 
     def unite(table: pa.Table) -> pa.Table:
         which = table.column("range")[0].as_py()
-        tree = A.union([A.loads(x.as_py()) for x in table.column("block")], longest)
-        tree = A.prune(tree, least, [bounds[i] for i in (which - 1, which) if 0 <= i < len(bounds)])
+        spared = [bounds[i] for i in (which - 1, which) if 0 <= i < len(bounds)]
+        tree = A.union((A.loads(x.as_py()) for x in table.column("block")), longest, least, spared)
         return pa.table({"range": pa.array([which], pa.int32()), "block": pa.array([A.build(tree).dumps()], pa.binary())})
 
     parts = numbered(cut, words, -(-amount // 2), blocks, "range int, block binary").repartition(len(bounds) + 1, "range")
-    transducers = stored(parts.groupBy("range").applyInArrow(unite, "range int, block binary"), "transducers")
+    transducers = stored(parts.groupBy("range").applyInArrow(unite, "range int, block binary"), "transducers", **LARGE_ROWS)
     return words, totals, transducers, bounds
 
 
@@ -258,7 +278,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     cut = cut.select("phrase", "a", "k", F.slice("phrase", 1, F.col("k")).alias("head"), F.slice("phrase", F.col("k") + 1, F.size("phrase") - F.col("k")).alias("tail"))
     asked = cut.select(F.explode(F.array("head", "tail")).alias("phrase"))
     known = stored(lookup(asked, transducers, bounds, longest), "parts")
-    met = cut.join(known.select(F.col("phrase").alias("head"), F.col("f").alias("l")), "head").join(known.select(F.col("phrase").alias("tail"), F.col("f").alias("r")), "tail")
+    heads, tails = (never_broadcast(known.select(F.col("phrase").alias(part), F.col("f").alias(f))) for part, f in (("head", "l"), ("tail", "r")))
+    met = cut.join(heads, "head").join(tails, "tail")
     wide = "decimal(19,0)"
     score = F.expr(f"(cast({scale} as decimal(18,0)) * cast(a as {wide})) div (cast(l as {wide}) + cast(r as {wide}))")
     least_cut = met.groupBy("phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")).select("phrase", "a", "cut.*").drop("k")
@@ -268,7 +289,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     held = F.col("b").isNotNull() & (F.col("b").cast(wide) * 100 >= F.col("a").cast(wide) * cover)
     kept = least_cut.join(longer, "phrase", "left").where(~held).drop("b")
 
-    spelt = kept.select("phrase", F.posexplode("phrase").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
+    spelt = kept.select("phrase", F.posexplode("phrase").alias("at", "id")).join(never_broadcast(words.select("id", "lang", "word")), "id")
     spelt = spelt.groupBy("phrase").agg(F.first("lang").alias("lang"), F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
     out = kept.join(spelt, "phrase").join(totals, "lang")
     return out.select("lang", F.array_join("words", " ").alias("phrase"), "words", "a", "l", "r", "n", "score")

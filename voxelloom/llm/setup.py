@@ -39,8 +39,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: later reads survive any lost executor."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """`df` written to the shared folder and read back: later reads survive any lost executor.  `options` of the writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
