@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm.setup import stored
+from voxelloom.operators.blocks import never_broadcast
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +14,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn: each moves links to smaller nodes by grouped minima and one join, so a
     node with very many links is only a hot join key (split at run time).  Each round is written to the shared folder.
-    It ends when a round changes nothing; the number of rounds grows with the logarithm of the longest chain.
+    It ends when a round changes nothing; the number of rounds grows with the logarithm of the longest chain.  Links are
+    known to Spark by the size of their compressed files only, so no join may broadcast them.
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -21,9 +23,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(never_broadcast(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(never_broadcast(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

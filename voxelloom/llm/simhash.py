@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from voxelloom.llm import words as W
 from voxelloom.llm.graph import components
 from voxelloom.llm.setup import stored, unused
+from voxelloom.operators.blocks import never_broadcast
 
 #: Points of a cell that one task compares with one another; larger cells are split.
 CELL = 8192
@@ -144,7 +145,8 @@ def links(points: DataFrame, fp: str = "fp", distance: int = 3) -> DataFrame:
     # only cells where two points meet matter, and at least one of them lives there
     counts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("own"))
     met = counts.where("n > 1 and own > 0").select("cell", F.ceil(F.col("n") / CELL).alias("parts"))
-    placed = placed.join(met, "cell")
+    # Spark takes what a row of points becomes, some 45 cells, for one row
+    placed = never_broadcast(placed).join(met, "cell")
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
     spread = placed.select("cell", "fp", "probe", part.alias("part"), F.explode(pairs).alias("pair")).select("cell", "pair.i", "pair.j", "fp", "probe", "part")
@@ -178,9 +180,10 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     prints = stored(fingerprints(rows, "text", k, seed), "fingerprints")
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(points, "fp", distance)).withColumnsRenamed({"node": "fp"})
-    labelled = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = points.join(never_broadcast(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(labelled.select("fp", "root").join(lowest, "root").drop("root"), "fp").select("doc_id", "key", "fp", "component_id")
+    found = labelled.select("fp", "root").join(never_broadcast(lowest), "root").drop("root")
+    return never_broadcast(prints).join(found, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
