@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from voxelloom.llm import words as W
 from voxelloom.llm.setup import aside
+from voxelloom.operators.blocks import never_broadcast
 
 #: Cells of a sketch segment.
 SEGMENT = 1 << 22
@@ -282,7 +283,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         bits[segment % depth, at:at + SEGMENT // 8] = np.frombuffer(zstandard.decompress(bytes(data)), np.uint8)
     repeated = spark.sparkContext.broadcast(bits)
     found = marks(keyed, text, window, repeated, depth, width, max(16, guess >> 21))
-    joined = keyed.join(found, [_ID, _KEY], "left")
+    joined = keyed.join(never_broadcast(found), [_ID, _KEY], "left")  # Spark takes the runs of a document for one, and marks come packed
     names = docs.columns
 
     def remove(batches):
