@@ -35,8 +35,22 @@ LEAST_INSIDE = 0.75
 PAIR = np.zeros((4, 4), dtype=int)
 for _k, (_a, _b) in enumerate(itertools.combinations_with_replacement(range(4), 2)):
     PAIR[_a, _b] = PAIR[_b, _a] = _k
+FIRST, SECOND = (list(x) for x in zip(*itertools.combinations_with_replacement(range(4), 2)))
 #: The six products of two of three components.
 BOTH = list(itertools.combinations_with_replacement(range(3), 2))
+#: Cells whose matrices a task writes out at a time: 19 MB.
+WRITTEN_OUT = 64
+
+
+def _full() -> np.ndarray:
+    """Where each entry of a cell's 192 x 192 matrix is among its 6000 numbers."""
+    numbers = np.arange(6000).reshape(6, 10, 10, 10)
+    a, b, c = np.unravel_index(np.arange(64), (4, 4, 4))
+    pairs = [PAIR[x[:, None], x[None]] for x in (a, b, c)]
+    return np.block([[numbers[BOTH.index((min(i, j), max(i, j)))][tuple(pairs)] for j in range(3)] for i in range(3)])
+
+
+FULL = _full()
 
 
 def _bending() -> np.ndarray:
@@ -103,26 +117,30 @@ def _scatter(row, values: np.ndarray, keys) -> list[list]:
     return [[*[getattr(row, k) for k in keys], *c, *v] for c, v in zip(at.tolist(), values.T.tolist())]
 
 
+def _contract(a: np.ndarray, weights) -> np.ndarray:
+    """(k, z, y, x) with one matrix an axis, (p, z), (q, y) and (r, x): (k, p, q, r)."""
+    wz, wy, wx = weights
+    a = np.matmul(wy, a @ wx.T)
+    return np.matmul(wz, a.reshape(*a.shape[:2], -1)).reshape(len(a), len(wz), len(wy), len(wx))
+
+
 def normal_cell(v, w, use, grads, spacing: int) -> tuple[np.ndarray, np.ndarray]:
     """(192 right-hand sides, 6000 matrix entries) of a cell of residuals v - w with gradients (3, z, y, x)."""
     weights = [D.bspline_weights(np.arange(n) / spacing) for n in v.shape]
-    pairs = [np.stack([x[a] * x[b] for a, b in itertools.combinations_with_replacement(range(4), 2)]) for x in weights]
-    r = (v - w) * use
-    right = np.stack([np.einsum("zyx,az,by,cx->abc", r * g, *weights, optimize=True) for g in grads])
-    matrix = np.stack([np.einsum("zyx,pz,qy,rx->pqr", grads[i] * grads[j] * use, *pairs, optimize=True) for i, j in BOTH])
+    pairs = [x[FIRST] * x[SECOND] for x in weights]
+    right = _contract((v - w) * use * grads, weights)
+    matrix = _contract(np.stack([grads[i] * grads[j] * use for i, j in BOTH]), pairs)
     return right.ravel(), matrix.ravel()
 
 
 def product(matrix: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The cell's matrix times (3, 64) values."""
-    m, p = matrix.reshape(6, 10, 10, 10), p.reshape(3, 4, 4, 4)
-    out = np.zeros((3, 4, 4, 4))
-    for k, (i, j) in enumerate(BOTH):
-        full = m[k][PAIR][:, :, PAIR][:, :, :, :, PAIR]  # a a' b b' c c'
-        out[i] += np.einsum("adbecf,def->abc", full, p[j], optimize=True)
-        if i != j:
-            out[j] += np.einsum("adbecf,def->abc", full, p[i], optimize=True)
-    return out.reshape(3, 64)
+    return (matrix[FULL] @ p.ravel()).reshape(3, 64)
+
+
+def products(matrices: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Matrices of cells that are written out, (n, 192, 192), times (n, 3, 64) values."""
+    return np.matmul(matrices, p.reshape(len(p), 192, 1)).reshape(p.shape)
 
 
 def diagonal(matrix: np.ndarray) -> np.ndarray:
@@ -134,8 +152,8 @@ def _schema(df: DataFrame, names) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
 
-def _equations(cells, mov, controls, affine, base, dims, bsize, spacing, margin, keys, parts) -> DataFrame:
-    """Normal equations of every cell at `controls`: error, n, seen, trace, g, h; partitioned and sorted by cell.
+def _equations(cells, mov, controls, affine, base, dims, bsize, spacing, margin, keys) -> DataFrame:
+    """Normal equations of every cell at `controls`: error, n, seen, trace, g, h.
 
     The error is that of the n voxels which start at least `margin` inside both volumes and still are inside; `seen` started so.
     """
@@ -172,8 +190,7 @@ def _equations(cells, mov, controls, affine, base, dims, bsize, spacing, margin,
                             float(diagonal(h).sum()), g, h])
             yield pd.DataFrame(out, columns=[*on, "error", "n", "seen", "trace", "g", "h"])
 
-    sums = both.mapInPandas(run, f"{_schema(cells, on)}, error double, n double, seen double, trace double, g array<double>, h array<double>")
-    return cut(sums.repartition(parts, *on).sortWithinPartitions(*on))
+    return both.mapInPandas(run, f"{_schema(cells, on)}, error double, n double, seen double, trace double, g array<double>, h array<double>")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -184,46 +201,73 @@ def _axpy(x: Column, scale: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda p, q: p + scale * q)
 
 
-def _solve_small(equations: DataFrame, controls: DataFrame, gauge: DataFrame, dims, spacing: int, keys, rounds: int, tolerance: float, damping: float) -> DataFrame:
-    """As `_solve`, with the equations of a dataset in one task."""
-    on, point = [*keys, *B.BLK], [*keys, *CONTROL]
+def _solve_small(rights: np.ndarray, matrices: list[np.ndarray], places: np.ndarray, controls: np.ndarray, stiff: float, rounds: int, tolerance: float,
+                 damping: float) -> np.ndarray:
+    """As `_solve`, for a dataset alone: steps (3, control points), from cells' (n, 3, 64) right-hand sides, n matrices and (n, 64)
+    places among the control points."""
+    runs = [slice(i, i + WRITTEN_OUT) for i in range(0, len(matrices), WRITTEN_OUT)]
+    few = np.stack(matrices)[:, FULL] if len(runs) == 1 else None
+
+    def total(parts):
+        return np.stack([np.bincount(places.ravel(), parts[:, k].ravel(), controls.shape[1]) for k in range(3)])
+
+    def at(values):
+        return values[:, places].transpose(1, 0, 2)
+
+    def times(p):
+        return products(few, p) if few is not None else np.concatenate([products(np.stack(matrices[x])[:, FULL], p[x]) for x in runs])
+
+    now = at(controls)
+    r = total(rights - stiff * now @ BENDING)
+    own = np.stack([diagonal(h) for h in matrices])
+    d = total(own + stiff * np.diag(BENDING))
+    m, more = d * (1 + damping) + 1e-9, d * damping + 1e-9
+    x, p = np.zeros_like(r), r / m
+    rz = start = float((r * p).sum())
+    for _ in range(rounds):
+        if rz <= start * tolerance ** 2:
+            break
+        here = at(p)
+        q = total(times(here) + stiff * here @ BENDING) + more * p
+        alpha = rz / float((p * q).sum())
+        x, r = x + alpha * p, r - alpha * q
+        before, rz = rz, float((r * r / m).sum())
+        p = r / m + rz / before * p
+    return x
+
+
+def _judged_small(sums: DataFrame, tried: DataFrame, known: DataFrame | None, last: bool, dims, spacing: int, keys, stiffness: float, rounds: int,
+                  tolerance: float, damping: float) -> DataFrame:
+    """Each control point with `error` and `before` of its dataset, whether that is `better`, and if so and not `last` its new step.
+
+    The equations of a dataset go to one task and are never written.
+    """
+    point = [*keys, *CONTROL]
     shape = [(int(d) - 1) // spacing + 4 for d in dims]
-    joined = equations.join(B.never_broadcast(_gather(controls, D.COMPONENTS, dims, spacing, keys)), on).join(gauge, list(keys))
     offsets = np.ravel_multi_index(np.unravel_index(np.arange(64), (4, 4, 4)), shape)
-
-    def solve(pdf):
-        first = np.ravel_multi_index([pdf[b].to_numpy() for b in B.BLK], shape)
-        rows = list(pdf.itertuples(index=False))
-        places = first[:, None] + offsets
-        matrices = [np.asarray(r.h) for r in rows]
-
-        def total(parts, k=3):
-            out = np.zeros((k, int(np.prod(shape))))
-            for at, part in zip(places, parts):
-                out[:, at] += part
-            return out
-
-        now = [_placed(r, D.COMPONENTS) for r in rows]
-        r = total(np.asarray(x.g).reshape(3, 64) - x.stiff * c @ BENDING for x, c in zip(rows, now))
-        d = total(diagonal(h) + x.stiff * np.diag(BENDING) for x, h in zip(rows, matrices))
-        m, more = d * (1 + damping) + 1e-9, d * damping + 1e-9
-        x, p = np.zeros_like(r), r / m
-        rz = start = float((r * p).sum())
-        for _ in range(rounds):
-            if rz <= start * tolerance ** 2:
-                break
-            q = total(product(h, p[:, at]) + row.stiff * p[:, at] @ BENDING for row, h, at in zip(rows, matrices, places)) + more * p
-            alpha = rz / float((p * q).sum())
-            x, r = x + alpha * p, r - alpha * q
-            before, rz = rz, float((r * r / m).sum())
-            p = r / m + rz / before * p
-        at = np.stack(np.unravel_index(np.arange(x.shape[1]), shape), 1) - 1
-        out = pd.DataFrame(at, columns=list(CONTROL))
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out.assign(x=list(x.T))
-
-    return cut(joined.groupBy(*keys).applyInPandas(solve, f"{_schema(controls, point)}, x array<double>"))
+    mine = tried.select(*point, *D.COMPONENTS)
+    mine = mine.withColumn("before", F.lit(float("inf"))) if known is None else mine.join(known, list(keys))
+    first = known is None
+
+    def judge(cells: pd.DataFrame, controls: pd.DataFrame) -> pd.DataFrame:
+        out = controls[point].assign(before=controls["before"])
+        if not len(cells) or not len(controls):
+            return out[:0].assign(error=0.0, better=False, new=None)
+        before, n = float(controls["before"].iloc[0]), float(cells["n"].sum())
+        error = float(cells["error"].sum()) / max(n, 1.0) if n >= LEAST_INSIDE * float(cells["seen"].sum()) else float("inf")
+        better, new = first or error < before, [None] * len(out)
+        if better and not last:
+            here = np.ravel_multi_index([controls[c].to_numpy() + 1 for c in CONTROL], shape)
+            values = np.zeros((3, int(np.prod(shape))))
+            values[:, here] = controls[list(D.COMPONENTS)].to_numpy(dtype=float).T
+            places = np.ravel_multi_index([cells[b].to_numpy() for b in B.BLK], shape)[:, None] + offsets
+            stiff = float(cells["trace"].sum()) / (len(cells) * 192) * stiffness
+            steps = _solve_small(np.stack(cells["g"]).reshape(-1, 3, 64), list(cells["h"]), places, values, stiff, rounds, tolerance, damping)
+            new = list(steps[:, here].T)
+        return out.assign(error=error, better=better, new=new)
+
+    schema = f"{_schema(mine, point)}, before double, error double, better boolean, new array<double>"
+    return sums.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInPandas(judge, schema)
 
 
 def _solve(equations: DataFrame, controls: DataFrame, gauge: DataFrame, dims, spacing: int, keys, rounds: int, tolerance: float, damping: float) -> DataFrame:
@@ -328,26 +372,34 @@ def _level(cells, moving, controls, affine, base, dims, bsize, spacing, margin,
 
     A step that does not lower a dataset's error is halved, twice at most; datasets leave the loop when they are done.
     """
-    point, best = [*keys, *CONTROL], [f"b{c}" for c in D.COMPONENTS]
-    solve = _solve_small if int(np.prod([-(-int(d) // spacing) for d in dims])) <= SMALL_CELLS else _solve
+    point, best, on = [*keys, *CONTROL], [f"b{c}" for c in D.COMPONENTS], [*keys, *B.BLK]
+    small = int(np.prod([-(-int(d) // spacing) for d in dims])) <= SMALL_CELLS
     tried = controls.select(*point, *D.COMPONENTS, *[F.col(c).alias(b) for c, b in zip(D.COMPONENTS, best)],
                             F.array(*[F.lit(0.0)] * 3).alias("x"), F.lit(1.0).alias("gain"))
     tried, known, finished = written(tried, "controls"), None, None
     for turn in range(iterations + 1):
-        equations = _equations(cells, moving, tried, affine, base, dims, bsize, spacing, margin, keys, parts)
-        left = F.sum("n") >= LEAST_INSIDE * F.sum("seen")  # a fit that pushes more than that out of the volume is no fit
-        errors = equations.groupBy(*keys).agg(F.when(left, F.sum("error") / F.greatest(F.sum("n"), F.lit(1.0))).otherwise(float("inf")).alias("error"),
-                                              (F.sum("trace") / (F.count("*") * 192) * stiffness).alias("stiff"))
-        before = F.lit(float("inf")).alias("before")
-        errors = errors.withColumn("before", before) if known is None else errors.join(known, keys)
-        better = (F.col("error") < F.col("before")) if known is not None else F.lit(True)
-        errors = written(errors.withColumn("better", better), "errors")
-        took = tried.join(errors.select(*keys, "better"), keys)
+        equations = _equations(cells, moving, tried, affine, base, dims, bsize, spacing, margin, keys)
+        if small:
+            judged = written(_judged_small(equations, tried, known, turn == iterations, dims, spacing, keys, stiffness, rounds, tolerance, damping), "judged")
+            errors = judged.select(*keys, "error", "before").distinct()
+            took = tried.join(B.never_broadcast(judged.select(*point, "better", "new")), point)
+        else:
+            equations = cut(equations.repartition(parts, *on).sortWithinPartitions(*on))
+            left = F.sum("n") >= LEAST_INSIDE * F.sum("seen")  # a fit that pushes more than that out of the volume is no fit
+            errors = equations.groupBy(*keys).agg(F.when(left, F.sum("error") / F.greatest(F.sum("n"), F.lit(1.0))).otherwise(float("inf")).alias("error"),
+                                                  (F.sum("trace") / (F.count("*") * 192) * stiffness).alias("stiff"))
+            before = F.lit(float("inf")).alias("before")
+            errors = errors.withColumn("before", before) if known is None else errors.join(known, keys)
+            better = (F.col("error") < F.col("before")) if known is not None else F.lit(True)
+            errors = written(errors.withColumn("better", better), "errors")
+            took = tried.join(errors.select(*keys, "better"), keys)
         if turn == iterations:
             break
-        step = solve(equations, took.where("better").select(*point, *D.COMPONENTS), errors.where("better").select(*keys, "stiff"), dims, spacing, keys,
-                     rounds, tolerance, damping).withColumnRenamed("x", "new")
-        held = took.join(step, point, "left").select(
+        if not small:
+            step = _solve(equations, took.where("better").select(*point, *D.COMPONENTS), errors.where("better").select(*keys, "stiff"), dims, spacing, keys,
+                          rounds, tolerance, damping).withColumnRenamed("x", "new")
+            took = took.join(step, point, "left")
+        held = took.select(
             *point, *[F.when(F.col("better"), F.col(c)).otherwise(F.col(b)).alias(b) for c, b in zip(D.COMPONENTS, best)],
             F.when(F.col("better"), F.col("new")).otherwise(F.col("x")).alias("x"), F.when(F.col("better"), 1.0).otherwise(F.col("gain") / 2).alias("gain"))
         held = held.select(*point, *[(F.col(b) + F.col("x")[i] * F.col("gain")).alias(c) for i, (c, b) in enumerate(zip(D.COMPONENTS, best))], *best, "x", "gain")

@@ -123,12 +123,13 @@ def bspline(controls: DataFrame, dims, spacing: int, keys=("ds",)) -> DataFrame:
             pdf = pdf.rename(columns={f"_{c}": f"c{c}" for c in COMPONENTS})
             made = {c: [] for c in COMPONENTS}
             for row in pdf.itertuples(index=False):
-                w = [bspline_weights(np.arange(n) / spacing) for n in B.core_shape(row)]
-                for c in COMPONENTS:
-                    k = np.zeros(64)
-                    if row.at is not None:
-                        k[np.asarray(row.at, dtype=np.int64)] = getattr(row, f"c{c}")
-                    made[c].append(np.einsum("az,by,cx,abc->zyx", *w, k.reshape(4, 4, 4)).ravel())
+                wz, wy, wx = (bspline_weights(np.arange(n) / spacing) for n in B.core_shape(row))
+                k = np.zeros((3, 64))
+                if row.at is not None:
+                    k[:, np.asarray(row.at, dtype=np.int64)] = [getattr(row, f"c{c}") for c in COMPONENTS]
+                lines = np.matmul(wy.T, k.reshape(3, 4, 4, 4) @ wx)
+                for c, v in zip(COMPONENTS, np.matmul(wz.T, lines.reshape(3, 4, -1))):
+                    made[c].append(v.ravel())
             yield pdf[keep].assign(**made)
 
     return cells.mapInPandas(run, schema + "".join(f", {c} array<double>" for c in COMPONENTS))

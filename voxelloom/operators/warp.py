@@ -21,15 +21,15 @@ def trilinear(a: np.ndarray, lo, pos) -> np.ndarray:
     a = np.pad(a, 1)
     base = [np.floor(p).astype(np.int64) for p in pos]
     frac = [p - b for p, b in zip(pos, base)]
-    out = 0.0
+    weight = [(1.0 - f, f) for f in frac]
+    step = (a.shape[1] * a.shape[2], a.shape[2], 1)
+    at = [[np.clip(b + (d - q + 1), 0, n - 1) * s for d in (0, 1)] for b, q, n, s in zip(base, lo, a.shape, step)]
+    a, out = a.ravel(), 0.0
     for dz in (0, 1):
         for dy in (0, 1):
+            w, line = weight[0][dz] * weight[1][dy], at[0][dz] + at[1][dy]
             for dx in (0, 1):
-                w, at = 1.0, []
-                for i, d in enumerate((dz, dy, dx)):
-                    w = w * (frac[i] if d else 1.0 - frac[i])
-                    at.append(np.clip(base[i] + d - lo[i] + 1, 0, a.shape[i] - 1))
-                out = out + w * a[tuple(at)]
+                out = out + w * weight[2][dx] * a[line + at[2][dx]]
     return out
 
 
