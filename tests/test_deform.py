@@ -8,6 +8,7 @@ from tests.test_properties import array, table
 from voxelloom.functions import affine as A
 from voxelloom.operators import deform as Q
 from voxelloom.operators import fields as D
+from voxelloom.operators import warp as W
 
 SHAPE = (12, 24, 28)
 
@@ -81,6 +82,44 @@ def test_rounds_equal_the_solution_in_one_task(spark, monkeypatch):
     np.testing.assert_allclose(out[0], out[1], atol=1e-7)
 
 
+def test_small_datasets_write_no_equations(spark, monkeypatch):
+    a, d, seen = texture(), known(), []
+    fix, mov = table(spark, texture(d=d), (12, 24, 28)), table(spark, a, (12, 24, 28))
+    start = spark.createDataFrame([(0,)], "ds long").select("ds", A.identity().alias("m"))
+    for name in ("cut", "written"):
+        keep = getattr(Q, name)
+        monkeypatch.setattr(Q, name, lambda df, *more, keep=keep: seen.append(df.columns) or keep(df, *more))
+    Q.fit(fix, mov, start, SHAPE, (12, 24, 28), 12, iterations=1, rounds=2)
+    assert seen and not any("h" in columns for columns in seen)
+
+
+def test_cells_of_many_runs_solve_as_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    shape, cells = (4, 5, 6), 6
+    places = np.array([np.ravel_multi_index(np.unravel_index(np.arange(64), (4, 4, 4)), shape) + np.ravel_multi_index((0, i, j), shape) for i in range(2) for j in range(3)])
+    made = [Q.normal_cell(*(rng.normal(size=(6, 6, 6)) for _ in range(2)), np.ones((6, 6, 6)), rng.normal(size=(3, 6, 6, 6)), 6) for _ in range(cells)]
+    rights, matrices = np.stack([g for g, _ in made]).reshape(-1, 3, 64), [h for _, h in made]
+    out = []
+    for size in (64, 4):
+        monkeypatch.setattr(Q, "WRITTEN_OUT", size)
+        out.append(Q._solve_small(rights, matrices, places, rng.normal(size=(3, 120)) * 0, 0.1, 5, 0.0, 0.02))
+    np.testing.assert_allclose(*out, atol=1e-12)
+    p = rng.normal(size=(3, 64))
+    np.testing.assert_allclose(Q.products(matrices[0][Q.FULL][None], p[None])[0], Q.product(matrices[0], p), atol=1e-9)
+
+
+def test_ends_of_a_field_change_nothing(spark):
+    d = known()
+    field = table(spark, d[0], (5, 8, 9)).withColumnsRenamed({"v": "dz"})
+    for c, values in zip(("dy", "dx"), d[1:]):
+        field = field.join(table(spark, values, (5, 8, 9)).select("ds", "blk_z", "blk_y", "blk_x", F.col("v").alias(c)), ["ds", "blk_z", "blk_y", "blk_x"])
+    field = field.withColumn("m", A.translation(F.lit(0.5), F.lit(-1.0), F.lit(0.25)))
+    mov, ends = table(spark, texture(), (6, 7, 8)), W.field_ends(D.COMPONENTS)
+    want = array(W.warp(field, mov, SHAPE, (6, 7, 8), field=D.COMPONENTS), SHAPE)
+    got = array(W.warp(field.withColumns(ends), mov, SHAPE, (6, 7, 8), field=D.COMPONENTS, ends=list(ends)), SHAPE)
+    np.testing.assert_array_equal(got, want)
+
+
 def test_masked_and_flat_volumes_stay_where_they_are(spark):
     a, d = texture(), known()
     fix, mov = table(spark, np.zeros(SHAPE), (12, 24, 28)), table(spark, a, (12, 24, 28))

@@ -23,7 +23,7 @@ from voxelloom.operators import fields as D
 from voxelloom.operators import filters as N
 from voxelloom.operators import register as R
 from voxelloom.operators import stats as T
-from voxelloom.operators.warp import block_positions, warp
+from voxelloom.operators.warp import block_positions, field_ends, warp
 from voxelloom.session import cut, written
 
 CONTROL = ("cz", "cy", "cx")
@@ -162,8 +162,9 @@ def _equations(cells, mov, controls, affine, base, dims, bsize, spacing, margin,
     if base is not None:
         add = base.select(*on, *[F.col(c).alias(f"_{c}") for c in D.COMPONENTS])
         field = field.join(B.never_broadcast(add), on).withColumns({c: F.zip_with(c, f"_{c}", lambda x, y: x + y) for c in D.COMPONENTS}).drop(*[f"_{c}" for c in D.COMPONENTS])
-    target = cut(field.join(affine.select(*keys, "m"), list(keys)))
-    moved = warp(target, mov, dims, bsize, keys, field=D.COMPONENTS).select(*on, F.col("v").alias("w"))
+    ends = field_ends(D.COMPONENTS)
+    target = cut(field.withColumns(ends).join(affine.select(*keys, "m"), list(keys)))
+    moved = warp(target, mov, dims, bsize, keys, field=D.COMPONENTS, ends=list(ends)).select(*on, F.col("v").alias("w"))
     mask, start = "mask" in cells.columns, [f"_{c}" for c in D.COMPONENTS] if base is not None else []
     if start:
         cells = cells.join(B.never_broadcast(add), on)

@@ -8,7 +8,7 @@ boxes, and the boxes are brought to the target block.  Voxels are never shuffled
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import affine as A
@@ -44,20 +44,29 @@ def with_grid(blocks: DataFrame, grid: DataFrame, keys=("ds",)) -> DataFrame:
     return blocks.join(grid, list(keys))
 
 
+def field_ends(field) -> dict[str, Column]:
+    """Columns for `ends` of `warp`."""
+    return {f"_{end}{i}": f(c) for i, c in enumerate(field) for end, f in (("least", F.array_min), ("most", F.array_max))}
+
+
 def warp(target: DataFrame, source: DataFrame, src_dims, src_bsize, keys=("ds",), cols=("v",), field=None,
-         affine: str | None = "m", spacing=(1.0, 1.0, 1.0), src_spacing=(1.0, 1.0, 1.0), displacement=False) -> DataFrame:
+         affine: str | None = "m", spacing=(1.0, 1.0, 1.0), src_spacing=(1.0, 1.0, 1.0), displacement=False, ends=None) -> DataFrame:
     """out(x) = source(A(x + d(x))), trilinear, 0 outside; a block table like `target`.
 
     `target` is a block table: its columns may hold the affine (`affine`) and three
     displacement arrays (`field`), both in physical units.  With `displacement` the
     sampled vectors get the movement A(x + d(x)) - x added, which composes fields.
+    `ends`: names of columns of a stored `target` with the least and greatest value of each displacement array (`field_ends`);
+    without them Spark looks through the arrays anew for every condition on the box.
     """
     m = F.col(affine) if affine else A.identity()
     lo, hi = [], []
     for i, b in enumerate(B.BLK):
         first = F.col(b) * F.col("bsize")[i]
         last = F.least(first + F.col("bsize")[i], F.col("dims")[i]) - 1
-        add = (F.array_min(field[i]), F.array_max(field[i])) if field else (F.lit(0.0), F.lit(0.0))
+        add = (F.lit(0.0), F.lit(0.0))
+        if field:
+            add = [F.col(c) for c in ends[2 * i:2 * i + 2]] if ends else (F.array_min(field[i]), F.array_max(field[i]))
         lo.append(first * float(spacing[i]) + add[0])
         hi.append(last * float(spacing[i]) + add[1])
     need = {}

@@ -218,9 +218,10 @@ def local_deform(spark, sf):
     ids = X.datasets(spark, sf)
     truth = _bent(spark, sf)
     mov = cut(_textured(spark, sf))
-    known = B.pack(truth, X.DIMS, BS, cols=D.COMPONENTS, ids=ids)
+    ends = W.field_ends(D.COMPONENTS)
     start = ids.select("ds", A.identity().alias("m"))
-    fix = cut(W.warp(known.join(start, "ds"), mov, X.DIMS, BS, field=D.COMPONENTS))
+    known = cut(B.pack(truth, X.DIMS, BS, cols=D.COMPONENTS, ids=ids).withColumns(ends).join(start, "ds"))
+    fix = cut(W.warp(known, mov, X.DIMS, BS, field=D.COMPONENTS, ends=list(ends)))
     found = LO.align(fix, mov, start, X.DIMS, BS, steps=("deform",), options={"deform": {"spacing": 16, "smooth": (1.0, 0.0), "iterations": 4}})
     got = B.unpack(found["field"], D.COMPONENTS).select("ds", "z", "y", "x", *[F.col(c).alias(f"g{c}") for c in ("dy", "dx")])
     off = F.sqrt(sum((F.col(f"g{c}") - F.col(c)) * (F.col(f"g{c}") - F.col(c)) for c in ("dy", "dx")))
